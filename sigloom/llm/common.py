@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows in an Arrow batch: a batch of long texts then stays well below a worker's memory.
 BATCH_ROWS = 1000
@@ -36,11 +37,11 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/sigloom/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write a table to the shared folder and read it back: the plan is cut, and no lost executor loses a row."""
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -69,3 +70,7 @@ def fold(column: str | Column, folds: int) -> Column:
 
 def task_count(df: DataFrame) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def extended(schema: StructType, ddl: str) -> StructType:
+    return StructType([*schema.fields, *StructType.fromDDL(ddl).fields])

@@ -28,13 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_name, shared_path
+from .common import extended, fresh_name, shared_path
 
 WINDOW = 10
 SHARD_WORDS = 1_000_000
 BLOCK_ITEMS = 20_000
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
-_RESULT = "n_words long, n_hit long, items array<string>, longest_match long, spans array<struct<start:long,stop:long>>"
+_RESULT = {"n_words": "long", "n_hit": "long", "items": "array<string>", "longest_match": "long", "spans": "array<struct<start:long,stop:long>>"}
 _blocks: dict[tuple[str, int], "Block"] = {}
 
 
@@ -205,10 +205,8 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_co
     paths = sorted(spark.read.schema("item string, text string").parquet(path).inputFiles())
     kept = docs.select(*keep)
     hidden = fresh_name(kept, "text_")
-    names = {c: fresh_name(kept, c) for c in ("n_words", "n_hit", "items", "longest_match", "spans")}
-    schema = kept.schema
-    for field in spark.createDataFrame([], _RESULT).schema:
-        schema = schema.add(names[field.name], field.dataType)
+    names = {c: fresh_name(kept, c) for c in _RESULT}
+    schema = extended(kept.schema, ", ".join(f"`{names[n]}` {kind}" for n, kind in _RESULT.items()))
     budget = 6 * shard_words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, sharding
-from .common import read_table
+from . import decontaminate, ogg, packing, sharding, token_files
+from .common import read_table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -19,6 +19,17 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+@query
+def op2_swap_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read_table(spark, sf_dir, "documents")).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query
+def op3_repair_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read_back = token_files.read_files(token_files.write_files(read_table(spark, sf_dir, "documents")))
+    return read_back.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
 @query
 def op5_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read_table(spark, sf_dir, "documents"), shards=24)
@@ -63,3 +74,8 @@ SELECT d.doc_id, len(d.w) AS n_words, coalesce(hit.n_hit, 0) AS n_hit, coalesce(
   sha256(coalesce(it.items, '')) AS items_sha256, coalesce(hit.n_hit, 0) > 0 AS contaminated, CAST(coalesce(run.longest, 0) AS BIGINT) AS longest_match
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id) LEFT JOIN run USING (doc_id)
 """
+
+
+@query
+def op10_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ogg.media_features(written(ogg.with_media(read_table(spark, sf_dir, "documents")), "media", compression="zstd"))

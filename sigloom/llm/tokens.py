@@ -1,8 +1,8 @@
 """Token ids of whole texts with a public tokenizer file.
 
 The word tokenizer normalises, cuts at white space and never joins across it, so the ids of a text are the ids of its
-white-space-separated chunks in order. Chunks repeat, so a worker remembers the ids of those it has met (at most
-`REMEMBERED`, then it starts anew) and hands only new ones to the library. Special tokens written in a text are matched
+white-space-separated chunks in order. Chunks repeat, so a worker remembers the ids of those it has met (when
+there are more than `REMEMBERED` it starts anew) and hands only new ones to the library. Special tokens written in a text are matched
 by the library inside their chunk, as in the whole text.
 """
 
@@ -13,11 +13,13 @@ import re
 
 import numpy as np
 
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 END_ID = 1
+_MARKS = ".,;:!?|#$%&*)"
 _CUT = re.compile(r"[ \t\n\r]+")
 _tokenizers: dict[str, object] = {}
 _known: dict[str, dict[str, bytes]] = {}
+_word_ends: dict[str, np.ndarray] = {}
 
 
 def default_path() -> str:
@@ -35,18 +37,65 @@ def tokenizer(path: str):
     return _tokenizers[path]
 
 
+def _parts(chunk: str) -> tuple[str, ...]:
+    """Pieces of a chunk that the library encodes independently: letter case of ASCII is dropped, and marks after a
+    letter at the end are words of their own for it. What may hold a special token stays as it is."""
+    if "<|" in chunk:
+        return (chunk,)
+    if chunk.isascii():
+        chunk = chunk.lower()
+    stem = chunk.rstrip(_MARKS)
+    # a letter that may turn into a letter and a mark, by its lower case or its normal form, isn't cut from what follows
+    plain = stem != chunk and stem[-1:].isalpha() and stem[-1] < "\u0250" and stem[-1] != "\u0130"
+    return (stem, chunk[len(stem) :]) if plain else (chunk,)
+
+
+def _ids_of(parts: list[str], path: str) -> list[bytes]:
+    """Ids of each part. Words of letters go to the library side by side in one text, where the library cuts between
+    them; the ids that end a word tell them apart. Should their number differ from the words', all go one by one."""
+    library = tokenizer(path)
+    if path not in _word_ends:
+        vocabulary = library.get_vocab(with_added_tokens=False)
+        ends = np.zeros(max(vocabulary.values(), default=0) + 2, bool)
+        ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        _word_ends[path] = ends
+    if len(parts) > 1 and all(map(str.isalpha, parts)):
+        ids = np.array(library.encode(" ".join(parts), add_special_tokens=False).ids, "<u4")
+        stops = np.flatnonzero(_word_ends[path][np.minimum(ids, len(_word_ends[path]) - 1)]) + 1
+        if len(stops) == len(parts) and stops[-1] == len(ids):
+            raw, at = ids.tobytes(), [0, *(4 * stops).tolist()]
+            return [raw[a:b] for a, b in zip(at, at[1:])]
+    return [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch_fast(parts, add_special_tokens=False)]
+
+
+def _learn(new: set[str], known: dict[str, bytes], path: str) -> None:
+    cut = {c: _parts(c) for c in new}
+    unknown = sorted({p for ps in cut.values() for p in ps if p not in known}, key=str.isalpha)
+    words = next((i for i, p in enumerate(unknown) if p.isalpha()), len(unknown))
+    for low, high, step in ((0, words, 5000), (words, len(unknown), 500)):
+        for at in range(low, high, step):
+            part = unknown[at : min(at + step, high)]
+            known.update(zip(part, _ids_of(part, path), strict=True))
+    for chunk, parts in cut.items():
+        if chunk not in known:
+            known[chunk] = b"".join([known[p] for p in parts])
+
+
+def _chunks(text: str) -> list[str]:
+    # str.split cuts where the library sees white space, and at four control characters more
+    return _CUT.split(text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
+
+
 def encode(texts: list[str | None], path: str, end_id: int | None = END_ID) -> list[bytes]:
     """For each text its ids as little-endian unsigned 32-bit integers, then the end id. Null counts as empty."""
     known = _known.setdefault(path, {})
-    end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
-    chunks = [_CUT.split(t) if t else [] for t in texts]
-    new = list({c for cs in chunks for c in cs if c not in known})
-    if len(known) + len(new) > REMEMBERED:
+    if len(known) > REMEMBERED:
         known.clear()
-        new = list({c for cs in chunks for c in cs})
-    for at in range(0, len(new), 10_000):
-        part = new[at : at + 10_000]
-        for chunk, e in zip(part, tokenizer(path).encode_batch_fast(part, add_special_tokens=False), strict=True):
-            known[chunk] = np.array(e.ids, "<u4").tobytes()
+    end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
+    chunks = [_chunks(t) if t else [] for t in texts]
+    found = [list(map(known.get, cs)) for cs in chunks]
+    new = {c for cs, ids in zip(chunks, found, strict=True) if None in ids for c, i in zip(cs, ids, strict=True) if i is None}
+    if new:
+        _learn(new, known, path)
     get = known.__getitem__
-    return [b"".join(map(get, cs)) + end for cs in chunks]
+    return [b"".join(map(get, cs) if None in ids else ids) + end for cs, ids in zip(chunks, found, strict=True)]
