@@ -30,7 +30,7 @@ from . import tokens
 from .common import extended, written
 
 CAPACITY = 4096
-GROUP_ROWS = 20_000
+GROUP_ROWS = 1_000
 SEARCH_MOVES = 20_000
 Pattern = tuple[tuple[int, int], ...]  # (length, how many), longest first
 
