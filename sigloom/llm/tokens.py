@@ -13,13 +13,13 @@ import re
 
 import numpy as np
 
-REMEMBERED = 800_000
+REMEMBERED = 1_200_000
 END_ID = 1
 _MARKS = ".,;:!?|#$%&*)"
 _CUT = re.compile(r"[ \t\n\r]+")
 _tokenizers: dict[str, object] = {}
 _known: dict[str, dict[str, bytes]] = {}
-_word_ends: dict[str, np.ndarray] = {}
+_tables: dict[str, dict[int, str]] = {}
 
 
 def default_path() -> str:
@@ -50,32 +50,29 @@ def _parts(chunk: str) -> tuple[str, ...]:
     return (stem, chunk[len(stem) :]) if plain else (chunk,)
 
 
-def _ids_of(parts: list[str], path: str) -> list[bytes]:
-    """Ids of each part. Words of letters go to the library side by side in one text, where the library cuts between
-    them; the ids that end a word tell them apart. Should their number differ from the words', all go one by one."""
-    library = tokenizer(path)
-    if path not in _word_ends:
-        vocabulary = library.get_vocab(with_added_tokens=False)
-        ends = np.zeros(max(vocabulary.values(), default=0) + 2, bool)
-        ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        _word_ends[path] = ends
-    if len(parts) > 1 and all(map(str.isalpha, parts)):
-        ids = np.array(library.encode(" ".join(parts), add_special_tokens=False).ids, "<u4")
-        stops = np.flatnonzero(_word_ends[path][np.minimum(ids, len(_word_ends[path]) - 1)]) + 1
-        if len(stops) == len(parts) and stops[-1] == len(ids):
-            raw, at = ids.tobytes(), [0, *(4 * stops).tolist()]
-            return [raw[a:b] for a, b in zip(at, at[1:])]
-    return [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch_fast(parts, add_special_tokens=False)]
+def _word_table(path: str) -> dict[int, str]:
+    """What the library's byte-level step makes of Latin letters that have one lower case and one normal form."""
+    if path not in _tables:
+        cut = tokenizer(path).pre_tokenizer.pre_tokenize_str
+        _tables[path] = {c: cut(chr(c))[0][0] for c in range(0xAA, 0x250) if chr(c).isalpha() and chr(c).lower() == chr(c)}
+    return _tables[path]
 
 
 def _learn(new: set[str], known: dict[str, bytes], path: str) -> None:
+    """Plain words go straight to the library's model, which is what its pipeline would hand it; all else goes through
+    the whole pipeline."""
     cut = {c: _parts(c) for c in new}
-    unknown = sorted({p for ps in cut.values() for p in ps if p not in known}, key=str.isalpha)
-    words = next((i for i, p in enumerate(unknown) if p.isalpha()), len(unknown))
-    for low, high, step in ((0, words, 5000), (words, len(unknown), 500)):
-        for at in range(low, high, step):
-            part = unknown[at : min(at + step, high)]
-            known.update(zip(part, _ids_of(part, path), strict=True))
+    table, model, rest = _word_table(path), tokenizer(path).model, []
+    for part in {p for ps in cut.values() for p in ps if p not in known}:
+        word = part.lower()
+        if word.isalpha() and len(word) == len(part) and max(word) < "\u0250":
+            known[part] = np.array([t.id for t in model.tokenize(word.translate(table))], "<u4").tobytes()
+        else:
+            rest.append(part)
+    for at in range(0, len(rest), 10_000):
+        part = rest[at : at + 10_000]
+        for chunk, e in zip(part, tokenizer(path).encode_batch_fast(part, add_special_tokens=False), strict=True):
+            known[chunk] = np.array(e.ids, "<u4").tobytes()
     for chunk, parts in cut.items():
         if chunk not in known:
             known[chunk] = b"".join([known[p] for p in parts])
