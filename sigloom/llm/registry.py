@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import decontaminate, langid, near_dup, ogg, packing, sharding, token_files, toxicity
+from . import decontaminate, html_wrapper, langid, near_dup, ogg, packing, sharding, token_files, toxicity, warc
 from .common import fold, read_table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,6 +49,21 @@ def op5_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read_table(spark, sf_dir, "documents"), shards=24)
 
 
+@query
+def op6_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.read_warcs(warc.convert(warc.write_arcs(read_table(spark, sf_dir, "pages"))))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+SQL["op6_arc_to_warc"] = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages
+), d AS (SELECT page_id, octet_length(b) AS payload_bytes, sha256(b) AS payload_digest FROM p
+), f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN first <> page_id THEN first END AS refers_to FROM f
+"""
+
+
 @query
 def op7_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
@@ -56,6 +71,11 @@ def op7_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+@query
+def op8_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_wrapper.extract(read_table(spark, sf_dir, "pages"))
+
+
 @query
 def op9_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_matches(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), ["doc_id"])
