@@ -96,27 +96,48 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
 
 def _sampling_tables() -> tuple:
     """A multiplier per sample, and 65,536 draws of the sampler's three variates, found by hash: 1/r, beta, and
-    ln c - r + r * beta, beside r itself (r and c are Gamma(2, 1), beta is uniform)."""
+    ln c - r + r * beta, beside r itself (r and c are Gamma(2, 1), beta is uniform). Most shingles are rare and occur once;
+    for their weight the draws are worked out beforehand."""
     if not _tables:
         g = np.random.Generator(np.random.PCG64(20240229))
         r, c, beta = g.gamma(2.0, 1.0, 1 << 16), g.gamma(2.0, 1.0, 1 << 16), g.random(1 << 16)
         table = np.stack((1 / r, beta, np.log(c) - r + r * beta, r), 1).astype(np.float32)
-        _tables.append((g.integers(1, 1 << 63, ROWS * BANDS, np.uint64) * _U(2) + _U(1), table))
+        multipliers = (g.integers(0, 1 << 31, ROWS * BANDS, np.uint32) << np.uint32(1)) | np.uint32(1)
+        t = np.floor(np.float32(np.log(1.0 + IDF_SHARE)) * table[:, 0] + table[:, 1])
+        _tables.append((multipliers, table, table[:, 2] - table[:, 3] * t, t))
     return _tables[0]
 
 
 def sketch(h: np.ndarray, w: np.ndarray) -> np.ndarray:
     """The consistent weighted samples of a text: a 32-bit hash each of the drawn shingle and its quantised weight."""
-    multipliers, table = _sampling_tables()
-    log_w, out = np.log(w).astype(np.float32), np.empty(len(multipliers), np.uint64)
-    step = max(1, (1 << 17) // len(h))
-    for at in range(0, len(multipliers), step):
-        draw = table[(multipliers[at : at + step, None] * h >> _U(48)).astype(np.int64)]
-        t = np.floor(log_w * draw[..., 0] + draw[..., 1])
-        best = (draw[..., 2] - draw[..., 3] * t).argmin(1)
-        quantum = t[np.arange(len(best)), best].astype(np.int64).astype(np.uint64)
-        out[at : at + step] = _mix(h[best] + quantum * _Q) >> _U(32)
-    return out
+    multipliers, table, usual, usual_t = _sampling_tables()
+    least = np.full(len(multipliers), np.inf, np.float32)
+    chosen, quantum = np.zeros(len(multipliers), np.uint64), np.zeros(len(multipliers), np.int64)
+    plain = w == 1.0 + IDF_SHARE
+    for part, fixed in ((plain, True), (~plain, False)):
+        own = h[part]
+        if not len(own):
+            continue
+        short, log_w = (own >> _U(32)).astype(np.uint32), np.log(w[part]).astype(np.float32)
+        step = max(1, (1 << 16) // len(own))
+        for at in range(0, len(multipliers), step):
+            to = slice(at, at + step)
+            draw = (multipliers[to, None] * short >> np.uint32(16)).astype(np.intp)
+            if fixed:
+                value, t = usual.take(draw), None
+            else:
+                d = table.take(draw, 0)
+                t = np.floor(log_w * d[..., 0] + d[..., 1])
+                value = d[..., 2] - d[..., 3] * t
+            best = value.argmin(1)
+            rows = np.arange(len(best))
+            won = value[rows, best]
+            better = won < least[to]
+            q = usual_t[draw[rows, best]] if t is None else t[rows, best]
+            least[to] = np.where(better, won, least[to])
+            chosen[to] = np.where(better, own[best], chosen[to])
+            quantum[to] = np.where(better, q.astype(np.int64), quantum[to])
+    return _mix(chosen + quantum.astype(np.uint64) * _Q) >> _U(32)
 
 
 def band_keys(samples: np.ndarray) -> np.ndarray:
@@ -200,8 +221,8 @@ def _sketches(texts: DataFrame, counters: str) -> DataFrame:
     return texts.mapInArrow(run, "node long, h1 long, h2 long, samples binary, bands array<long>")
 
 
-def propose(ids: np.ndarray, classes: np.ndarray, samples: np.ndarray, tried: set[tuple[int, int]]) -> list[tuple[int, int]]:
-    """In one bucket: each member's most promising untried partners of another class, at most PROPOSALS.
+def propose(ids: np.ndarray, classes: np.ndarray, samples: np.ndarray, tried: set[tuple[int, int]], most: int = PROPOSALS) -> list[tuple[int, int]]:
+    """In one bucket: each member's most promising untried partners of another class, at most `most`.
 
     Members come in id order. One that is almost equal to an earlier representative, and of its class already or about to
     be proposed to it, is no partner for later ones. So long buckets of almost equal texts take time in proportion.
@@ -218,7 +239,7 @@ def propose(ids: np.ndarray, classes: np.ndarray, samples: np.ndarray, tried: se
                 if pair not in tried:
                     out.append(pair)
                     made += 1
-                    if made == PROPOSALS:
+                    if made == most:
                         break
             if alike.max() >= ALIKE:
                 continue
@@ -226,7 +247,7 @@ def propose(ids: np.ndarray, classes: np.ndarray, samples: np.ndarray, tried: se
     return out
 
 
-def _proposals(buckets: DataFrame, labels: DataFrame, sketches: DataFrame, tried: DataFrame | None) -> DataFrame:
+def _proposals(buckets: DataFrame, labels: DataFrame, sketches: DataFrame, tried: DataFrame | None, most: int) -> DataFrame:
     members = buckets.join(sketches, "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("other"), "samples")
     rows = members if tried is None else members.unionByName(tried.select("key", F.col("a").alias("node"), F.col("b").alias("other"), F.lit(None).cast("binary").alias("samples")))
 
@@ -238,7 +259,7 @@ def _proposals(buckets: DataFrame, labels: DataFrame, sketches: DataFrame, tried
             if len(ids) > 1:
                 order = np.argsort(np.array(ids), kind="stable")
                 stacked = np.frombuffer(b"".join(samples), np.uint8).reshape(len(ids), -1)[order]
-                out.extend((key, a, b) for a, b in propose(np.array(ids)[order], np.array(classes)[order], stacked, done))
+                out.extend((key, a, b) for a, b in propose(np.array(ids)[order], np.array(classes)[order], stacked, done, most))
 
         for batch in batches:
             for k, node, other, s in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
@@ -337,18 +358,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sketches = written(every.select("node", "samples", "bands").join(distinct, "node", "leftsemi").where(F.length("samples") > 0).dropDuplicates(["node"]), "distinct-sketches")
     buckets = written(_buckets(sketches), "bucket-members")
     texts = source.select("node", "text").where("node is not null")
-    labels, links, tried = spark.createDataFrame([], "node long, label long"), None, None
+    labels, links, tried, most = spark.createDataFrame([], "node long, label long"), None, None, PROPOSALS
     while True:
-        found = written(_proposals(buckets, labels, sketches.select("node", "samples"), tried), "proposals")
-        pairs = found.select("a", "b").distinct()
+        found = written(_proposals(buckets, labels, sketches.select("node", "samples"), tried, most), "proposals")
         if found.isEmpty():
             break
-        checked = written(_verified(pairs, texts, counters), "verified")
+        # a bucket that proposes nothing never will again: classes only grow
+        buckets = written(buckets.join(found.select("key").distinct(), "key", "leftsemi"), "bucket-members")
+        if links is None:
+            texts = written(texts.join(buckets.select("node").distinct(), "node", "leftsemi"), "candidate-texts")
+        checked = written(_verified(found.select("a", "b").distinct(), texts, counters), "verified")
         good = checked.where(F.col("similarity") >= threshold).select("a", "b")
         failed = found.join(checked.where(F.col("similarity") < threshold).select("a", "b"), ["a", "b"]).select("key", "a", "b")
         tried = written(failed if tried is None else tried.unionByName(failed), "tried")
         links = good if links is None else links.unionByName(good)
         labels = written(components(links), "classes")
+        most *= 4
     classes = first.join(labels, "node", "left").select("h1", "h2", F.coalesce("label", "node").alias("class_id"))
     return every.select(F.col("node").alias("doc_id"), "h1", "h2").join(classes, ["h1", "h2"]).select("doc_id", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(False)).alias("is_kept"))
 
