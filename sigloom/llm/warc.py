@@ -36,6 +36,7 @@ from .common import shared_path, written
 REVISIT_BYTES = 100
 FILE_BYTES = 16 << 20
 LEVEL = 3
+STEP = 8192
 _NAMESPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:sigloom:archive")
 _EPOCH = datetime(2001, 1, 1, tzinfo=timezone.utc)
 #: The header lines that the two ARC versions define.
@@ -59,14 +60,16 @@ def _member(data: bytes) -> bytes:
 
 def members(data: bytes) -> Iterator[tuple[int, bytes]]:
     """Offset and content of each gzip member; a member that is cut off ends the file."""
-    at = 0
+    at, view = 0, memoryview(data)
     while at < len(data):
-        d = zlib.decompressobj(31)
-        content = d.decompress(memoryview(data)[at:])
+        d, parts, to = zlib.decompressobj(31), [], at
+        while not d.eof and to < len(data):  # in steps: what is left over of a step is copied
+            parts.append(d.decompress(view[to : to + STEP]))
+            to += STEP
         if not d.eof:
             return
-        yield at, content
-        at = len(data) - len(d.unused_data)
+        yield at, b"".join(parts)
+        at = min(to, len(data)) - len(d.unused_data)
 
 
 def arc_address(url: str | None, page_id: int | None) -> str:
