@@ -10,12 +10,13 @@ from __future__ import annotations
 
 import os
 import re
-
-import numpy as np
+import sys
+from array import array
 
 REMEMBERED = 1_200_000
 END_ID = 1
 _MARKS = ".,;:!?|#$%&*)"
+assert array("I").itemsize == 4 and sys.byteorder == "little"
 _CUT = re.compile(r"[ \t\n\r]+")
 _tokenizers: dict[str, object] = {}
 _known: dict[str, dict[str, bytes]] = {}
@@ -62,17 +63,18 @@ def _learn(new: set[str], known: dict[str, bytes], path: str) -> None:
     """Plain words go straight to the library's model, which is what its pipeline would hand it; all else goes through
     the whole pipeline."""
     cut = {c: _parts(c) for c in new}
-    table, model, rest = _word_table(path), tokenizer(path).model, []
+    table, tokenize, rest = _word_table(path), tokenizer(path).model.tokenize, []
     for part in {p for ps in cut.values() for p in ps if p not in known}:
-        word = part.lower()
-        if word.isalpha() and len(word) == len(part) and max(word) < "\u0250":
-            known[part] = np.array([t.id for t in model.tokenize(word.translate(table))], "<u4").tobytes()
+        if part.isalpha() and part.isascii():
+            known[part] = array("I", [t.id for t in tokenize(part.lower())]).tobytes()
+        elif (word := part.lower()).isalpha() and len(word) == len(part) and max(word) < "\u0250":
+            known[part] = array("I", [t.id for t in tokenize(word.translate(table))]).tobytes()
         else:
             rest.append(part)
     for at in range(0, len(rest), 10_000):
         part = rest[at : at + 10_000]
         for chunk, e in zip(part, tokenizer(path).encode_batch_fast(part, add_special_tokens=False), strict=True):
-            known[chunk] = np.array(e.ids, "<u4").tobytes()
+            known[chunk] = array("I", e.ids).tobytes()
     for chunk, parts in cut.items():
         if chunk not in known:
             known[chunk] = b"".join([known[p] for p in parts])
@@ -94,5 +96,5 @@ def encode(texts: list[str | None], path: str, end_id: int | None = END_ID) -> l
     new = {c for cs, ids in zip(chunks, found, strict=True) if None in ids for c, i in zip(cs, ids, strict=True) if i is None}
     if new:
         _learn(new, known, path)
-    get = known.__getitem__
-    return [b"".join(map(get, cs) if None in ids else ids) + end for cs, ids in zip(chunks, found, strict=True)]
+        found = [[known[c] if i is None else i for c, i in zip(cs, ids, strict=True)] if None in ids else ids for cs, ids in zip(chunks, found, strict=True)]
+    return [b"".join(ids) + end for ids in found]
