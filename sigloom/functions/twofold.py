@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 _SPLIT = 134217729.0  # 2**27 + 1
 
@@ -15,42 +16,48 @@ def make(hi: Column, lo: Column | float = 0.0) -> Column:
     return F.struct(hi.cast("double").alias("hi"), (F.lit(lo) if isinstance(lo, float) else lo).cast("double").alias("lo"))
 
 
+def _bound(f, *args: Column) -> Column:
+    """f of the arguments, each worked out once: without names, nested arithmetic would repeat its operands."""
+    return F.transform(F.array(F.struct(*(a.alias(f"v{k}") for k, a in enumerate(args)))), lambda v: f(*(v[f"v{k}"] for k in range(len(args)))))[0]
+
+
 def _quick(a: Column, b: Column) -> Column:
-    s = a + b
-    return make(s, b - (s - a))
+    return _bound(lambda s, x, y: make(s, y - (s - x)), a + b, a, b)
 
 
 def add(a: Column, b: Column) -> Column:
-    s = a.hi + b.hi
-    t = s - a.hi
-    e = (a.hi - (s - t)) + (b.hi - t)
-    return _quick(s, e + a.lo + b.lo)
+    return _bound(lambda x, y: _bound(lambda s, t: _quick(s, (x.hi - (s - t)) + (y.hi - t) + x.lo + y.lo), x.hi + y.hi, (x.hi + y.hi) - x.hi), a, b)
 
 
 def sub(a: Column, b: Column) -> Column:
-    return add(a, make(-b.hi, -b.lo))
+    return add(a, _bound(lambda y: make(-y.hi, -y.lo), b))
 
 
 def mul(a: Column, b: Column) -> Column:
-    p = a.hi * b.hi
-    ah, bh = _SPLIT * a.hi - (_SPLIT * a.hi - a.hi), _SPLIT * b.hi - (_SPLIT * b.hi - b.hi)
-    al, bl = a.hi - ah, b.hi - bh
-    e = ((ah * bh - p) + ah * bl + al * bh) + al * bl
-    return _quick(p, e + a.hi * b.lo + a.lo * b.hi)
+    def split(x: Column) -> Column:
+        return _SPLIT * x - (_SPLIT * x - x)
+
+    def whole(x: Column, y: Column, xh: Column, yh: Column) -> Column:
+        p = x.hi * y.hi
+        e = ((xh * yh - p) + xh * (y.hi - yh) + (x.hi - xh) * yh) + (x.hi - xh) * (y.hi - yh)
+        return _quick(p, e + x.hi * y.lo + x.lo * y.hi)
+
+    return _bound(lambda x, y: _bound(lambda xh, yh: whole(x, y, xh, yh), split(x.hi), split(y.hi)), a, b)
 
 
 def div(a: Column, b: Column) -> Column:
-    q = make(a.hi / b.hi)
-    r = sub(a, mul(q, b))
-    return _quick(q.hi, (r.hi + r.lo) / b.hi)
+    def corrected(x: Column, y: Column, q: Column) -> Column:
+        return _bound(lambda r: _quick(q, (r.hi + r.lo) / y.hi), sub(x, mul(make(q), y)))
+
+    return _bound(lambda x, y: _bound(lambda q: corrected(x, y, q), x.hi / y.hi), a, b)
 
 
 def absolute(a: Column) -> Column:
-    return F.when(a.hi < 0, make(-a.hi, -a.lo)).otherwise(a)
+    return _bound(lambda x: F.when(x.hi < 0, make(-x.hi, -x.lo)).otherwise(x), a)
 
 
 def value(a: Column) -> Column:
-    return a.hi + a.lo
+    return _bound(lambda x: x.hi + x.lo, a)
 
 
 def is_small(a: Column, eps: float = 1e-9) -> Column:
@@ -60,6 +67,7 @@ def is_small(a: Column, eps: float = 1e-9) -> Column:
 def compensated_sum(df: DataFrame, keys: list[str], value_col: str, name: str = "total") -> DataFrame:
     """Sum per key, correctly rounded within a task: partial sums as double-double, two shuffled numbers a key and task."""
     schema = df.select(*keys).schema.add("hi", "double").add("lo", "double")
+    arrow = to_arrow_schema(schema)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import math
@@ -77,7 +85,7 @@ def compensated_sum(df: DataFrame, keys: list[str], value_col: str, name: str =
         for key, xs in held.items():
             hi = math.fsum(xs)
             rows.append((*key, hi, math.fsum([*xs, -hi])))
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows]) for i in range(len(keys) + 2)] if rows else [pa.array([], f.type) for f in batch.schema][: len(keys)] + [pa.array([], pa.float64())] * 2, names=[*keys, "hi", "lo"])
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(arrow)], schema=arrow)
 
     parts = df.select(*keys, F.col(value_col).cast("double")).mapInArrow(partial, schema)
     folded = F.aggregate(F.array_sort(F.collect_list(F.struct("hi", "lo"))), make(F.lit(0.0)), add)

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from sigloom.config import Basis
@@ -86,9 +87,7 @@ def orthonormalise_groups(rows: DataFrame, keys: list[str]) -> DataFrame:
     """keys, basis_index, q for bases given as rows (keys, basis_index, y); a basis has at most 300 rows."""
     gathered = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("basis_index", "y"))).alias("b"))
     schema = StructType([*gathered.select(*keys).schema.fields, *StructType.fromDDL("basis_index int, q array<double>").fields])
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    arrow, width = to_arrow_schema(schema, timestamp_utc=True), len(keys)
+    arrow, width = to_arrow_schema(schema), len(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

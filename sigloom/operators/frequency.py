@@ -55,19 +55,16 @@ def dominant_frequency(s: DataFrame, keys: list[str], p: Frequency | None = None
     return best.unionByName(s.where("n < 4").select(*keys).distinct().withColumn("w", F.lit(0.0)))
 
 
-def _energy() -> Column:
-    return (F.col("ys") ** 2 + F.col("yc") ** 2) / (F.col("m") * F.col("m") / 4)
-
-
-def _cyclic_sums(rows: DataFrame, by: list, f: Column) -> DataFrame:
+def _cyclic_energy(f: Column) -> Column:
     phase = 2 * math.pi * f * F.col("t")
-    return rows.groupBy(*by).agg(F.sum(F.col("y") * F.sin(phase)).alias("ys"), F.sum(F.col("y") * F.cos(phase)).alias("yc"), F.max("n").alias("m"))
+    ys, yc, m = F.sum(F.col("y") * F.sin(phase)), F.sum(F.col("y") * F.cos(phase)), F.max("n")
+    return (ys**2 + yc**2) / (m * m / 4)
 
 
 def cyclic_scan(s: DataFrame, keys: list[str], p: Frequency | None = None) -> DataFrame:
     """keys, k, f, energy with phase 2 pi f t, over n**2 / 4."""
     grid = _gridded(s, cyclic_grid((p or Frequency()).validate()))
-    return _cyclic_sums(grid, [*keys, "k", "f"], F.col("f")).select(*keys, "k", "f", _energy().alias("energy"))
+    return grid.groupBy(*keys, "k", "f").agg(_cyclic_energy(F.col("f")).alias("energy"))
 
 
 def refined_frequency(s: DataFrame, keys: list[str], p: Frequency | None = None, previous: DataFrame | None = None) -> DataFrame:
@@ -80,11 +77,9 @@ def refined_frequency(s: DataFrame, keys: list[str], p: Frequency | None = None,
     timed = s.withColumn("t", _time())
     for _ in range(p.refine):
         inner = at.withColumn("c", F.col("b") - (F.col("b") - F.col("a")) / PHI).withColumn("d", F.col("a") + (F.col("b") - F.col("a")) / PHI)
-        x = timed.join(inner, keys)
-        left = _cyclic_sums(x, [*keys, "a", "b", "c", "d"], F.col("c")).withColumn("ec", _energy()).drop("ys", "yc", "m")
-        right = _cyclic_sums(x, keys, F.col("d")).withColumn("ed", _energy()).drop("ys", "yc", "m")
+        both = timed.join(inner, keys).groupBy(*keys, "a", "b", "c", "d").agg(_cyclic_energy(F.col("c")).alias("ec"), _cyclic_energy(F.col("d")).alias("ed"))
         up = F.col("ec") < F.col("ed")
-        at = left.join(right, keys).select(*keys, F.when(up, F.col("c")).otherwise(F.col("a")).alias("a"), F.when(up, F.col("b")).otherwise(F.col("d")).alias("b"))
+        at = both.select(*keys, F.when(up, F.col("c")).otherwise(F.col("a")).alias("a"), F.when(up, F.col("b")).otherwise(F.col("d")).alias("b"))
     found = at.select(*keys, ((F.col("a") + F.col("b")) / 2).alias("f"))
     if previous is not None:
         mixed = F.when(F.col("f_prev") > 0, p.inertia * F.col("f") + (1 - p.inertia) * F.col("f_prev")).otherwise(F.col("f"))

@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from sigloom.config import Pursuit
@@ -74,9 +75,7 @@ def events_of(picks: list[tuple[int, float, float]], d: Dictionary) -> list[tupl
 def _mapped(f: DataFrame, columns: list[str], ddl: str, one, d: Dictionary, p: Pursuit, tune: bool = False) -> DataFrame:
     """`one(picks, residual, dictionary)` gives rows for a frame; f has columns, y, sigma and, to retune, frequency."""
     schema = StructType([*f.select(*columns).schema.fields, *StructType.fromDDL(ddl).fields])
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    arrow, width = to_arrow_schema(schema, timestamp_utc=True), len(columns)
+    arrow, width = to_arrow_schema(schema), len(columns)
     specs = d.specs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from sigloom.functions.scalar import clean
@@ -89,11 +90,9 @@ def folded(df: DataFrame, keys: list[str], order: list[str], columns: list[str],
         if out:
             yield _batch(out, arrow)
 
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     spec = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     whole = StructType([*df.select(*keys).schema.fields, *spec.fields])
-    arrow = to_arrow_schema(whole, timestamp_utc=True)
+    arrow = to_arrow_schema(whole)
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).select(*keys, *columns).mapInArrow(run, whole)
 
 

@@ -125,7 +125,7 @@ def decode_dictionary(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 def encode_basis(q: np.ndarray, r: np.ndarray) -> bytes:
     """Version 1 for one basis, version 2 for a batch (first axis)."""
     batch = q.ndim == 3
-    head = struct.pack("<II", BASIS_MAGIC, 1 + batch) + struct.pack("<i" * (2 + batch), *q.shape)
+    head = struct.pack("<II", BASIS_MAGIC, 1 + batch) + struct.pack("<" + "i" * (2 + batch), *q.shape)
     zeros = lambda x: np.zeros(x.size).astype("<f8").tobytes()
     return head + q.astype("<f8").tobytes() + zeros(q) + r.astype("<f8").tobytes() + zeros(r)
 
@@ -133,7 +133,7 @@ def encode_basis(q: np.ndarray, r: np.ndarray) -> bytes:
 def decode_basis(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     if len(data) < 16 or struct.unpack_from("<I", data)[0] != BASIS_MAGIC or (version := struct.unpack_from("<I", data, 4)[0]) not in (1, 2):
         raise ValueError("no basis of version 1 or 2")
-    shape = struct.unpack_from("<i" * (1 + version), data, 8)
+    shape = struct.unpack_from("<" + "i" * (1 + version), data, 8)
     r_shape = (*shape[:-1], shape[-2])
     body = np.frombuffer(data, "<f8", offset=8 + 4 * len(shape))
     m, k = int(np.prod(shape)), int(np.prod(r_shape))
