@@ -93,7 +93,7 @@ def repair(ids: np.ndarray, first: int, min_count: int = MIN_COUNT, rounds: int
 def expand(symbols: np.ndarray, rules: np.ndarray, starts: list[int], first: int) -> np.ndarray:
     """The ids that symbols stand for; a round's rules use symbols of earlier rounds only."""
     seq = symbols.astype(np.uint32)
-    for start, stop in reversed(list(zip(starts, [*starts[1:], len(rules)], strict=True))):
+    for start, stop in reversed(list(zip(starts, [*starts[1:], len(rules)][: len(starts)], strict=True))):
         mask = (seq >= first + start) & (seq < first + stop)
         size = 1 + mask.astype(np.int64)
         out = np.repeat(seq, size)
@@ -106,7 +106,7 @@ def expand(symbols: np.ndarray, rules: np.ndarray, starts: list[int], first: int
 
 def expansion_lengths(rules: np.ndarray, starts: list[int], first: int) -> np.ndarray:
     lengths = np.ones(len(rules), np.uint32)
-    for start, stop in zip(starts, [*starts[1:], len(rules)], strict=True):
+    for start, stop in zip(starts, [*starts[1:], len(rules)][: len(starts)], strict=True):
         both = rules[start:stop].astype(np.int64) - first
         lengths[start:stop] = np.where(both >= 0, lengths[np.maximum(both, 0)], 1).sum(1)
     return lengths
