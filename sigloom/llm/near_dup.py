@@ -221,17 +221,24 @@ def _sketches(texts: DataFrame, counters: str) -> DataFrame:
     return texts.mapInArrow(run, "node long, h1 long, h2 long, samples binary, bands array<long>")
 
 
-def propose(ids: np.ndarray, classes: np.ndarray, samples: np.ndarray, tried: set[tuple[int, int]], most: int = PROPOSALS) -> list[tuple[int, int]]:
-    """In one bucket: each member's most promising untried partners of another class, at most `most`.
+def propose(ids: np.ndarray, classes: np.ndarray, samples: np.ndarray, tried: set[tuple[int, int]], most: int = PROPOSALS, followers: bool = False) -> list[tuple[int, int]]:
+    """In one bucket: each member's most promising untried partners of another class among earlier members, at most `most`.
 
-    Members come in id order. One that is almost equal to an earlier representative, and of its class already or about to
-    be proposed to it, is no partner for later ones. So long buckets of almost equal texts take time in proportion.
+    Members come in id order. One that is almost equal to an earlier leader follows it, so a long bucket of almost equal texts
+    takes time in proportion. With `followers`, a member that is near a leader of another class, though perhaps not near
+    enough, is compared with that leader's followers too: 1 - similarity is a metric, so no other follower can be promising.
     """
-    out, leaders = [], []
+    out: list[tuple[int, int]] = []
+    leaders, behind = [], []
     for k in range(len(ids)):
         if leaders:
             at = np.array(leaders)
             alike = (samples[at] == samples[k]).mean(1)
+            if followers:
+                near = np.flatnonzero((alike >= PROMISING - (1 - ALIKE)) & (classes[at] != classes[k]))
+                if more := [m for o in near.tolist() for m in behind[o]]:
+                    at = np.concatenate((at, more))
+                    alike = np.concatenate((alike, (samples[more] == samples[k]).mean(1)))
             other = np.flatnonzero((alike >= PROMISING) & (classes[at] != classes[k]))
             made = 0
             for o in other[np.argsort(-alike[other], kind="stable")].tolist():
@@ -241,13 +248,17 @@ def propose(ids: np.ndarray, classes: np.ndarray, samples: np.ndarray, tried: se
                     made += 1
                     if made == most:
                         break
-            if alike.max() >= ALIKE:
+            best = int(alike[: len(leaders)].argmax())
+            if alike[best] >= ALIKE:
+                behind[best].append(k)
                 continue
         leaders.append(k)
+        behind.append([])
     return out
 
 
 def _proposals(buckets: DataFrame, labels: DataFrame, sketches: DataFrame, tried: DataFrame | None, most: int) -> DataFrame:
+    later = tried is not None
     members = buckets.join(sketches, "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("other"), "samples")
     rows = members if tried is None else members.unionByName(tried.select("key", F.col("a").alias("node"), F.col("b").alias("other"), F.lit(None).cast("binary").alias("samples")))
 
@@ -259,7 +270,7 @@ def _proposals(buckets: DataFrame, labels: DataFrame, sketches: DataFrame, tried
             if len(ids) > 1:
                 order = np.argsort(np.array(ids), kind="stable")
                 stacked = np.frombuffer(b"".join(samples), np.uint8).reshape(len(ids), -1)[order]
-                out.extend((key, a, b) for a, b in propose(np.array(ids)[order], np.array(classes)[order], stacked, done, most))
+                out.extend((key, a, b) for a, b in propose(np.array(ids)[order], np.array(classes)[order], stacked, done, most, later))
 
         for batch in batches:
             for k, node, other, s in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
@@ -363,7 +374,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         found = written(_proposals(buckets, labels, sketches.select("node", "samples"), tried, most), "proposals")
         if found.isEmpty():
             break
-        # a bucket that proposes nothing never will again: classes only grow
+        # a bucket that proposes nothing never will again: classes only grow, and who follows proposes in the first round
         buckets = written(buckets.join(found.select("key").distinct(), "key", "leftsemi"), "bucket-members")
         if links is None:
             texts = written(texts.join(buckets.select("node").distinct(), "node", "leftsemi"), "candidate-texts")

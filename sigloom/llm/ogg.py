@@ -85,7 +85,7 @@ class LogicalStream:
 def read_ogg(data: bytes) -> tuple[dict[int, LogicalStream], int, int]:
     """Logical streams by serial number, good pages, and damaged places."""
     streams: dict[int, LogicalStream] = {}
-    at, good, bad = 0, 0, 0
+    at, good, bad, seeking = 0, 0, 0, False
     while at < len(data):
         at_page = data.find(b"OggS", at)
         if at_page < 0 or len(data) - at_page < 27:
@@ -96,11 +96,11 @@ def read_ogg(data: bytes) -> tuple[dict[int, LogicalStream], int, int]:
         end = at_page + 27 + n + sum(lacing)
         page = data[at_page:end]
         if version or len(page) < end - at_page or page_checksum(page[:22] + bytes(4) + page[26:]) != crc:
-            bad += 1
-            at = at_page + 4
+            bad += not seeking
+            at, seeking = at_page + 4, True
             continue
-        bad += at_page != at
-        at, good = end, good + 1
+        bad += at_page != at and not seeking
+        at, good, seeking = end, good + 1, False
         s = streams.setdefault(serial, LogicalStream())
         lost = s.next_number is not None and number != s.next_number
         if lost:

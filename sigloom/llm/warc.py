@@ -203,7 +203,7 @@ def warc_date(digits: str) -> str:
     digits = re.sub(r"\D", "", digits)[:14]
     full = digits + "00010101000000"[len(digits) :]
     try:
-        return datetime.strptime(full, "%Y%m%d%H%M%S").strftime("%Y-%m-%dT%H:%M:%SZ")
+        return datetime.strptime(full, "%Y%m%d%H%M%S").isoformat() + "Z"
     except ValueError:
         return "0001-01-01T00:00:00Z"
 
