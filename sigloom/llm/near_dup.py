@@ -44,6 +44,7 @@ ALIKE = 0.92
 PROPOSALS = 4
 LARGE_BUCKET = 4096
 PIVOT_MEMBERS = 200
+ONE_TASK_LINKS = 1_000_000
 
 _U = np.uint64
 _P, _Q = _U(0x100000001B3), _U(0x9E3779B97F4A7C15)
@@ -221,14 +222,17 @@ def _sketches(texts: DataFrame, counters: str) -> DataFrame:
     return texts.mapInArrow(run, "node long, h1 long, h2 long, samples binary, bands array<long>")
 
 
-def propose(ids: np.ndarray, classes: np.ndarray, samples: np.ndarray, tried: set[tuple[int, int]], most: int = PROPOSALS, followers: bool = False) -> list[tuple[int, int]]:
+def propose(ids: np.ndarray, classes: np.ndarray, samples: np.ndarray, tried: set[tuple[int, int]], most: int = PROPOSALS, followers: bool = False, earlier: np.ndarray | None = None) -> tuple[list[tuple[int, int]], bool]:
     """In one bucket: each member's most promising untried partners of another class among earlier members, at most `most`.
 
     Members come in id order. One that is almost equal to an earlier leader follows it, so a long bucket of almost equal texts
     takes time in proportion. With `followers`, a member that is near a leader of another class, though perhaps not near
     enough, is compared with that leader's followers too: 1 - similarity is a metric, so no other follower can be promising.
+    `earlier` has the members' keys of the bands before this one: pairs that meet there are left to that bucket. The second
+    result says whether there were such pairs.
     """
     out: list[tuple[int, int]] = []
+    left = False
     leaders, behind = [], []
     for k in range(len(ids)):
         if leaders:
@@ -243,7 +247,9 @@ def propose(ids: np.ndarray, classes: np.ndarray, samples: np.ndarray, tried: se
             made = 0
             for o in other[np.argsort(-alike[other], kind="stable")].tolist():
                 pair = (int(ids[at[o]]), int(ids[k]))
-                if pair not in tried:
+                if earlier is not None and (earlier[at[o]] == earlier[k]).any():
+                    left = True
+                elif pair not in tried:
                     out.append(pair)
                     made += 1
                     if made == most:
@@ -254,41 +260,52 @@ def propose(ids: np.ndarray, classes: np.ndarray, samples: np.ndarray, tried: se
                 continue
         leaders.append(k)
         behind.append([])
-    return out
+    return out, left
 
 
 def _proposals(buckets: DataFrame, labels: DataFrame, sketches: DataFrame, tried: DataFrame | None, most: int) -> DataFrame:
+    """key, a, b; a is null in the one row of a bucket that leaves all its pairs to others."""
     later = tried is not None
-    members = buckets.join(sketches, "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("other"), "samples")
-    rows = members if tried is None else members.unionByName(tried.select("key", F.col("a").alias("node"), F.col("b").alias("other"), F.lit(None).cast("binary").alias("samples")))
+    members = buckets.join(sketches, "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("other"), "samples", "bands")
+    rows = members if tried is None else members.unionByName(tried.select("key", F.col("a").alias("node"), F.col("b").alias("other")), allowMissingColumns=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, classes, samples, done = None, [], [], [], set()
-        out: list[tuple[int, int, int]] = []
+        key, ids, classes, samples, bands, done = None, [], [], [], [], set()
+        out: list[tuple[int, int | None, int | None]] = []
 
         def close() -> None:
             if len(ids) > 1:
                 order = np.argsort(np.array(ids), kind="stable")
                 stacked = np.frombuffer(b"".join(samples), np.uint8).reshape(len(ids), -1)[order]
-                out.extend((key, a, b) for a, b in propose(np.array(ids)[order], np.array(classes)[order], stacked, done, most, later))
+                keys = np.array(bands, np.int64)[order]
+                at = np.flatnonzero((keys == key).all(0))  # none in a bucket that was dealt anew
+                pairs, left = propose(np.array(ids)[order], np.array(classes)[order], stacked, done, most, later, keys[:, : at[0]] if at.size and at[0] else None)
+                out.extend((key, a, b) for a, b in pairs)
+                if left and not pairs:
+                    out.append((key, None, None))
+
+        def batch_of() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in range(3)], schema=_PAIRS)
+            out.clear()
+            return made
 
         for batch in batches:
-            for k, node, other, s in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for k, node, other, s, b in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 if k != key:
                     close()
-                    key, ids, classes, samples, done = k, [], [], [], set()
+                    key, ids, classes, samples, bands, done = k, [], [], [], [], set()
                 if s is None:
                     done.add((node, other))
                 else:
                     ids.append(node)
                     classes.append(other)
                     samples.append(s)
+                    bands.append(b)
             if len(out) > 1000:
-                yield pa.RecordBatch.from_pylist([dict(zip(("key", "a", "b"), o, strict=True)) for o in out], _PAIRS)
-                out.clear()
+                yield batch_of()
         close()
         if out:
-            yield pa.RecordBatch.from_pylist([dict(zip(("key", "a", "b"), o, strict=True)) for o in out], _PAIRS)
+            yield batch_of()
 
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, a long, b long")
 
@@ -324,12 +341,15 @@ def _verified(pairs: DataFrame, texts: DataFrame, counters: str) -> DataFrame:
 _VERIFIED = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("similarity", pa.float64())])
 
 
-def components(links: DataFrame) -> DataFrame:
-    """node and label (the least node of its component), of links (a, b), by large and small stars.
+def components(links: DataFrame, one_task: int = ONE_TASK_LINKS) -> DataFrame:
+    """node and label (the least node of its component), of links (a, b).
 
-    Nothing is gathered per node; each step is an aggregate and a join over links, cut by a written table.
+    Up to `one_task` links go through one task's union-find. More go through large and small stars: nothing is gathered per
+    node, each step is an aggregate and a join over links, cut by a written table.
     """
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
+    if edges.count() <= one_task:
+        return edges.coalesce(1).mapInArrow(_united, "node long, label long")
     state = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -345,6 +365,23 @@ def components(links: DataFrame) -> DataFrame:
     return labels.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
 
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for batch in batches:
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = root(u), root(v)
+            parent[max(a, b)] = min(a, b)
+    nodes = list(parent)
+    yield pa.RecordBatch.from_pydict({"node": pa.array(nodes, pa.int64()), "label": pa.array([root(x) for x in nodes], pa.int64())})
+
+
 def _buckets(sketches: DataFrame) -> DataFrame:
     """(key, node) of buckets with several members; very large ones dealt anew by each other band."""
     met = sketches.select("node", "bands", F.posexplode("bands").alias("band", "key"))
@@ -371,20 +408,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = source.select("node", "text").where("node is not null")
     labels, links, tried, most = spark.createDataFrame([], "node long, label long"), None, None, PROPOSALS
     while True:
-        found = written(_proposals(buckets, labels, sketches.select("node", "samples"), tried, most), "proposals")
+        found = written(_proposals(buckets, labels, sketches.select("node", "samples", "bands"), tried, most), "proposals")
+        # a bucket that is not heard of never will be again: classes only grow, and who follows proposes in the first round
+        buckets = written(buckets.join(found.select("key").distinct(), "key", "leftsemi"), "bucket-members")
+        found = found.where("a is not null")
         if found.isEmpty():
             break
-        # a bucket that proposes nothing never will again: classes only grow, and who follows proposes in the first round
-        buckets = written(buckets.join(found.select("key").distinct(), "key", "leftsemi"), "bucket-members")
         if links is None:
-            texts = written(texts.join(buckets.select("node").distinct(), "node", "leftsemi"), "candidate-texts")
+            # by shuffle whatever the sizes: the plan at 100 TB is the plan of a test
+            texts = written(texts.join(buckets.select("node").distinct().hint("shuffle_hash"), "node", "leftsemi"), "candidate-texts")
         checked = written(_verified(found.select("a", "b").distinct(), texts, counters), "verified")
         good = checked.where(F.col("similarity") >= threshold).select("a", "b")
         failed = found.join(checked.where(F.col("similarity") < threshold).select("a", "b"), ["a", "b"]).select("key", "a", "b")
         tried = written(failed if tried is None else tried.unionByName(failed), "tried")
-        links = good if links is None else links.unionByName(good)
+        links = written(good if links is None else links.unionByName(good), "all-links")
         labels = written(components(links), "classes")
-        most *= 4
+        most *= 8
     classes = first.join(labels, "node", "left").select("h1", "h2", F.coalesce("label", "node").alias("class_id"))
     return every.select(F.col("node").alias("doc_id"), "h1", "h2").join(classes, ["h1", "h2"]).select("doc_id", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(False)).alias("is_kept"))
 
