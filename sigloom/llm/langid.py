@@ -18,6 +18,7 @@ columns are ignored here and kept by `keep_known`.
 
 from __future__ import annotations
 
+import random
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import extended, fold, fresh_name
+from .common import extended, fold, fresh_name, least_by_hash
 
 LONGEST = 4
 SAMPLE = 2400
@@ -129,8 +130,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     labelled = docs.select(
         F.col(id_col).cast("string").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.substring(F.col(text_col), 1, SAMPLE_CHARS).alias("text"),
         fold(id_col, folds).alias("fold"),
-    ).where((F.col("fold") != held_out) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    rows = labelled.orderBy(F.xxhash64("id", "lang"), "text").limit(sample).collect()
+    ).where((F.col("fold") != held_out) & F.col("lang").isNotNull())
+    rows = least_by_hash(labelled, ["id", "lang"], sample).where(F.col("text").rlike(r"\p{L}")).collect()
+    rows.sort(key=lambda r: (r["lang"], r["id"] or "", r["text"]))
+    random.Random(0).shuffle(rows)
     return train([r["text"] for r in rows], [r["lang"] for r in rows])
 
 

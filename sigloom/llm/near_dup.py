@@ -435,4 +435,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     kept = docs.join(found.where("is_kept").select(F.col("doc_id").alias(id_col)), id_col, "leftsemi")
     if not found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
         kept = kept.dropDuplicates([id_col])
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+    return kept.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))

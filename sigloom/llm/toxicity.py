@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import extended, fold, fresh_name, written
+from .common import extended, fold, fresh_name, least_by_hash, written
 
 SAMPLE = 12_000
 LEXICON = 200
@@ -190,7 +190,7 @@ def learn_lexicon(rows: DataFrame, size: int = LEXICON) -> dict[str, float]:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5, held_out: int = 0, sample: int = SAMPLE) -> Model:
     """Fit on at most `sample` labelled rows outside the held-out fold."""
     marked = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("toxic"))
-    taken = marked.where(fold("id", folds) != held_out).orderBy(F.xxhash64("id"), "id").limit(sample)
+    taken = least_by_hash(marked.where(fold("id", folds) != held_out), ["id"], sample)
     rows = written(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(taken), "id").select("id", "text", "toxic"), "toxicity-sample")  # at most `sample` rows
     lexicon = learn_lexicon(rows)
 
