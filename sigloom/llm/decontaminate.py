@@ -201,7 +201,8 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_co
     """
     spark = docs.sparkSession
     path = shared_path(spark, "benchmark")
-    benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("string").alias("text")).coalesce(1 if block_items >= BLOCK_ITEMS else 8).write.option("maxRecordsPerFile", block_items).parquet(path)
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("string").alias("text"))
+    items.repartition(max(1, -(-items.count() // block_items))).write.option("maxRecordsPerFile", block_items).parquet(path)
     paths = sorted(spark.read.schema("item string, text string").parquet(path).inputFiles())
     kept = docs.select(*keep)
     hidden = fresh_name(kept, "text_")
