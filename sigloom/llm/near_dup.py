@@ -32,13 +32,13 @@ from .common import shared_path, text_of, written
 
 SHINGLE = 5
 THRESHOLD = 0.8
-ROWS, BANDS = 7, 24
+ROWS, BANDS = 7, 36
 IDF_SHARE = 0.25
 RARE = 2e-3
 COUNTERS = 1 << 20
 BLOCK = 1 << 12
 #: Proposals need this share of equal samples: 0.8 less 2.5 standard deviations of the estimate.
-PROMISING = 0.72
+PROMISING = 0.737
 #: Members this alike stand for each other in a bucket.
 ALIKE = 0.92
 PROPOSALS = 4

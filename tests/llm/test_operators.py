@@ -280,7 +280,7 @@ def test_components_of_chains_and_stars(spark):
 
 
 def test_large_buckets_compare_with_representatives_only():
-    same = np.zeros((500, 168), np.uint8)
+    same = np.zeros((500, near_dup.ROWS * near_dup.BANDS), np.uint8)
     pairs, _ = near_dup.propose(np.arange(500), np.arange(500), same, set())
     assert len(pairs) == 499 and all(a == 0 for a, _ in pairs)
 
