@@ -391,6 +391,16 @@ def test_wrapper_generalises():
     assert html_wrapper.along(wrapper, unseen, 0, slots) == (len(unseen), True) and len(slots) == 8
 
 
+def test_pages_without_a_main_element_keep_their_text(spark):
+    comments = "<section class='comments'><article><p>First!</p></article></section>"
+    rows = [(k, f"http://mixed.org/{k}", f"<body><article><p>story {k}</p></article></body>") for k in range(12)]
+    rows += [(100 + k, f"http://mixed.org/x/{k}", f"<body><div><p>plain {k}</p></div>{comments * (k % 2)}</body>") for k in range(12)]
+    rows += [(200, None, "<main>a</main>"), (201, None, "<p>b</p>"), (300, "http://c.org/", f"<body><p>alone</p>{comments}</body>")]
+    got = {r["page_id"]: r["text"] for r in html_wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == f"story {k}" and got[100 + k] == f"plain {k}" for k in range(12))
+    assert (got[200], got[201], got[300]) == ("a", "b", "alone")
+
+
 @settings(max_examples=25, deadline=None)
 @given(st.binary(max_size=3000), st.integers(1, 700))
 def test_ogg_round_trip(payload, packet):
