@@ -401,6 +401,15 @@ def test_pages_without_a_main_element_keep_their_text(spark):
     assert (got[200], got[201], got[300]) == ("a", "b", "alone")
 
 
+def test_only_text_equal_on_all_pages_is_template(spark):
+    page = "<body><p>Site name</p><h1>{}</h1><div><p>text {}</p></div>{}</body>"
+    rows = [(k, f"http://a.org/{k}", page.format("News" if k < 60 else f"Report {k}", k, "")) for k in range(64)]
+    rows += [(100 + k, f"http://b.org/{k}", page.format("News", k, "only here" if k == 1 else "")) for k in range(12)]
+    got = {r["page_id"]: r["text"] for r in html_wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == ("News" if k < 60 else f"Report {k}") + f"\ntext {k}" for k in range(64))
+    assert all(got[100 + k] == f"text {k}" + "\nonly here" * (k == 1) for k in range(12))
+
+
 @settings(max_examples=25, deadline=None)
 @given(st.binary(max_size=3000), st.integers(1, 700))
 def test_ogg_round_trip(payload, packet):
