@@ -410,6 +410,14 @@ def test_only_text_equal_on_all_pages_is_template(spark):
     assert all(got[100 + k] == f"text {k}" + "\nonly here" * (k == 1) for k in range(12))
 
 
+def test_long_sample_pages_are_aligned_whole(spark):
+    rows = [(k, f"http://a.org/{k}", "<body>" + "".join(f"<h2>h{k}</h2><p>p{k}</p>" for _ in range(400)) + "<div><p>end of page</p></div></body>") for k in range(20)]
+    got = {r["page_id"]: r["text"] for r in html_wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == "\n".join([f"h{k}", f"p{k}"] * 400) for k in range(20))
+    deep = "<div><section>" * 3000 + "x" + "</section></div>" * 3000
+    assert html_wrapper.infer([deep, deep, "<p>y</p>"])
+
+
 @settings(max_examples=25, deadline=None)
 @given(st.binary(max_size=3000), st.integers(1, 700))
 def test_ogg_round_trip(payload, packet):
