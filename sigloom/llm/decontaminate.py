@@ -2,7 +2,7 @@
 
 Each task turns the documents it reads into shards of words and builds a suffix array per shard. Every suffix of the
 benchmark is binary-searched in it: the array interval whose suffixes agree on a whole window gives all verbatim
-occurrences, and running on from each of them gives the longest match. Suffixes that start with a word the benchmark
+occurrences, and running on from each of them, along all benchmark suffixes that still agree, gives the longest match. Suffixes that start with a word the benchmark
 lacks, or whose run of benchmark words is shorter than the shortest window, agree with no benchmark suffix on a window;
 the array leaves them out, which changes no result.
 
@@ -43,7 +43,8 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class Block:
-    """Items of the benchmark: their words as numbers, and the distinct windows by length."""
+    """Items of the benchmark: their words as numbers, the distinct windows by length, and the suffix array of all items
+    with the interval of each whole window."""
 
     def __init__(self, items: list[tuple[str | None, str | None]], window: int):
         self.vocabulary: dict[bytes, int] = {}
@@ -65,8 +66,13 @@ class Block:
         for k, key in enumerate(keys):
             by_length.setdefault(len(key) // 8, []).append(k)
         self.windows = {n: (np.array(ks), np.array([np.frombuffer(keys[k], np.int64) for k in ks])) for n, ks in sorted(by_length.items())}
-        self.sequences = sequences
-        self.shortest = min(by_length, default=0)
+        self.shortest, self.window = min(by_length, default=0), window
+        self.words = np.concatenate([*(np.append(s, -2) for s in sequences), np.full(window + 1, -2)])
+        self.order = suffix_array(self.words, np.flatnonzero(self.words >= 0), max(map(len, sequences), default=0) + 1)
+        self.low, self.high = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        if window in self.windows:
+            numbers, wanted = self.windows[window]
+            self.low[numbers], self.high[numbers] = _bounds(self.words, self.order, wanted)
 
 
 def suffix_array(words: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
@@ -142,18 +148,28 @@ def match_shard(documents: list[list[bytes]], block: Block) -> tuple[np.ndarray,
 
 
 def _extended(words: np.ndarray, at: np.ndarray, which: np.ndarray, n: int, block: Block) -> np.ndarray:
-    """How far the text and the first benchmark suffix with that window go on alike."""
-    items = [block.places[w][0] for w in which.tolist()]
-    flat = np.concatenate([*(np.append(s, -2) for s in block.sequences), [-2]])
-    offset = np.concatenate(([0], np.cumsum([len(s) + 1 for s in block.sequences])))
-    there = np.array([offset[k] + p for k, p in items], np.int64) + n
-    here, length = at + n, np.full(len(at), n, np.int64)
+    """How far the text and any benchmark suffix with that window go on alike. A window that is a whole short item ends there."""
+    length = np.full(len(at), n, np.int64)
+    if n < block.window:
+        return length
+    low, high = block.low[which], block.high[which]
     open_ = np.arange(len(at))
     while open_.size:
-        same = words[here[open_]] == flat[there[open_]]
+        depth = length[open_]
+        want, ends = words[at[open_] + depth], []
+        for above in (False, True):
+            a, b = low[open_], high[open_]
+            while (left := np.flatnonzero(a < b)).size:
+                mid = (a[left] + b[left]) // 2
+                here = block.words[block.order[mid] + depth[left]]
+                up = here <= want[left] if above else here < want[left]
+                a[left] = np.where(up, mid + 1, a[left])
+                b[left] = np.where(up, b[left], mid)
+            ends.append(a)
+        same = (ends[0] < ends[1]) & (want >= 0)
         open_ = open_[same]
-        for x in (length, here, there):
-            x[open_] += 1
+        low[open_], high[open_] = ends[0][same], ends[1][same]
+        length[open_] += 1
     return length
 
 

@@ -100,6 +100,23 @@ def test_suffix_array_matching_equals_brute_force(seed):
         assert (len(documents[k]), n_hit, found) == want[k]
 
 
+@settings(max_examples=25, deadline=None)
+@given(st.integers(0, 10_000))
+def test_longest_match_tries_every_place(seed):
+    rng = random.Random(seed)
+    starts = [" ".join(rng.choice("abc") for _ in range(rng.randrange(4, 9))) for _ in range(2)]
+    items = [(f"i{k}", rng.choice(starts) + " " + " ".join(rng.choice("abc") for _ in range(rng.randrange(10)))) for k in range(8)] + [("s", "a b")]
+    texts = [" ".join(rng.choice("abcd") for _ in range(5)) + " " + rng.choice(items)[1] + " " + rng.choice("abcd") for _ in range(12)]
+    words = [decontaminate.words_of(t) for _, t in items]
+    _, _, doc, _, length = decontaminate.match_shard([decontaminate.words_of(t) for t in texts], decontaminate.Block(items, 4))
+    for k, text in enumerate(texts):
+        w, want = decontaminate.words_of(text), 0
+        for item, at, p in ((x, at, p) for x in words for at in range(len(w)) for p in range(len(x))):
+            n = next((j for j in range(len(w) + 1) if w[at : at + j + 1] != item[p : p + j + 1] or j == min(len(w) - at, len(item) - p)), 0)
+            want = max(want, n if n >= min(4, len(item)) else 0)
+        assert max(length[doc == k], default=0) == want
+
+
 def test_decontamination_over_blocks_and_edges(spark):
     rng = random.Random(2)
     bench = [(k, prose(rng, 30)) for k in range(7)] + [(None, prose(rng, 12)), (20, None), (21, "!!!"), (3, "short one")]
