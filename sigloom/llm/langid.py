@@ -1,15 +1,15 @@
 """Language identification by string kernels: blended-spectrum presence kernels, Nystrom landmarks, ridge regression.
 
 Two texts' kernel is the number of n-grams of one to `LONGEST` bytes that both contain, over the geometric mean of how
-many each contains. Landmarks are training texts' beginnings' n-gram sets; the Nystrom map sends a text's kernels with
+many each contains. Landmarks are training texts' n-gram sets; the Nystrom map sends a text's kernels with
 the landmarks through the inverse square root of the landmarks' own kernel matrix. On those features kernel ridge
 regression is linear and solved in closed form, one language against the rest.
 
 A text's n-grams are looked up among those of the landmarks; others touch no kernel but the norm. Scoring multiplies a batch
 of presence rows with the landmarks' matrix. Whole texts are read, whatever their length.
 
-The classifier is fitted on a sample of labelled rows of a stated size (`SAMPLE`, spread over languages by hash of id);
-everything else reads all rows.
+The classifier is fitted on a sample of labelled rows with a letter, of a stated size (`SAMPLE`): of each language the least
+by hash, as many of each as it allows, one at least; everything else reads all rows.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0; training without any labelled row makes every
 text `und`; ties go to the language that sorts first; repeated rows get equal results; an empty table gives no rows; other
@@ -24,16 +24,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import extended, fold, fresh_name, least_by_hash
+from .common import extended, fold, fresh_name
 
 LONGEST = 4
 SAMPLE = 2400
 LANDMARKS = 160
 RIDGE = 1e-2
-SAMPLE_CHARS = 4000
 UNKNOWN = "und"
 _BITS = 22
 _MULTIPLY = np.uint32(2654435761)
@@ -124,14 +123,37 @@ def train(texts: list[str], languages: list[str], landmarks: int = LANDMARKS, ri
     return Model(names, column, presence, root @ solution, norms)
 
 
+def bound_each(counts: list[int], sample: int) -> int:
+    """The most rows of each language, so that all together are at most `sample`, but one each at least."""
+    left = sample
+    for k, n in enumerate(sorted(counts)):
+        if n * (len(counts) - k) > left:
+            return max(1, left // (len(counts) - k))
+        left -= n
+    return max(counts, default=1)
+
+
+def spread(labelled: DataFrame, sample: int) -> DataFrame:
+    """id, lang and text of the rows least by hash within each language. Of a large language only a share of about twice as
+    many rows, those with small hashes, is sorted; equal rows count once."""
+    space = 1 << 40
+    keyed = labelled.select("id", "lang", "text", F.pmod(F.xxhash64("id", "lang", "text"), F.lit(space)).alias("key"))
+    found = keyed.groupBy("lang").agg(F.count("*").alias("n"), F.min("key").alias("least")).collect()
+    most = bound_each([r["n"] for r in found], sample)
+    limits = [(r["lang"], max(r["least"], space * (2 * most + 100) // r["n"] if r["n"] > 4 * most else space)) for r in found]
+    near = keyed.join(F.broadcast(labelled.sparkSession.createDataFrame(limits, "lang string, highest long")), "lang").where("key <= highest")
+    ranked = near.dropDuplicates(["lang", "key"]).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("key")))
+    return ranked.where(F.col("rank") <= most).select("id", "lang", "text")
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 3, held_out: int = 1, sample: int = SAMPLE) -> Model:
-    """Fit on at most `sample` labelled rows outside the held-out fold, the least by hash of id; of a training text its
-    first SAMPLE_CHARS characters are used."""
+    """Fit on at most `sample` labelled rows with a letter outside the held-out fold (more only if there are more languages),
+    spread over the languages; whole texts are used."""
     labelled = docs.select(
-        F.col(id_col).cast("string").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.substring(F.col(text_col), 1, SAMPLE_CHARS).alias("text"),
+        F.col(id_col).cast("string").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"),
         fold(id_col, folds).alias("fold"),
-    ).where((F.col("fold") != held_out) & F.col("lang").isNotNull())
-    rows = least_by_hash(labelled, ["id", "lang"], sample).where(F.col("text").rlike(r"\p{L}")).collect()
+    ).where((F.col("fold") != held_out) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    rows = spread(labelled, sample).collect()
     rows.sort(key=lambda r: (r["lang"], r["id"] or "", r["text"]))
     random.Random(0).shuffle(rows)
     return train([r["text"] for r in rows], [r["lang"] for r in rows])
@@ -142,12 +164,13 @@ def identify(docs: DataFrame, model: Model, keep: list[str], text_col: str = "te
     kept = docs.select(*keep)
     names = [fresh_name(kept, n) for n in ("lang_pred", "score")]
     schema = extended(kept.schema, f"`{names[0]}` string, `{names[1]}` double")
+    step = min(250, 1 + 25_000_000 // (1 + len(model.presence)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, languages, scores = batch.column(batch.num_columns - 1).to_pylist(), [], []
-            for at in range(0, len(texts), 250):
-                got = model.decide(texts[at : at + 250])
+            for at in range(0, len(texts), step):
+                got = model.decide(texts[at : at + step])
                 languages += got[0]
                 scores.append(got[1])
             new = [pa.array(languages, pa.string()), pa.array(np.concatenate([*scores, []]), pa.float64())]

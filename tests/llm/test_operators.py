@@ -322,6 +322,18 @@ def test_language_identification_held_out(spark):
     assert fresh_name(df, "score") == "_score" and langid.identify(df.where("false"), model, ["doc_id"]).count() == 0
 
 
+def test_rare_languages_and_late_text_are_learnt(spark):
+    rng, parts = random.Random(10), {"xx": "ka lo mi nu pe".split(), "yy": "sch ung ein kei ver".split(), "zz": "tion aux eau oi ré".split()}
+    text = lambda x: " ".join("".join(rng.choice(parts[x]) for _ in range(3)) for _ in range(30))
+    rows = [(i, text(x), x, "s", 0) for i in range(3000) for x in [rng.choice(["xx", "yy"])]] + [(5000 + k, "0123 " * 1000 + text("zz"), "zz", "s", 0) for k in range(9)]
+    rows += [(6000 + k, "1 2 3", "xx", "s", 0) for k in range(500)]
+    model = langid.fit(spark.createDataFrame(rows, DOCS), sample=90)
+    assert model.languages == ["xx", "yy", "zz"]
+    wanted = [rng.choice(list(parts)) for _ in range(60)]
+    assert model.decide([text(x) for x in wanted])[0] == wanted
+    assert [langid.bound_each(c, 90) for c in ([5, 500, 500], [100] * 200, [3, 4], [])] == [42, 1, 4, 1]
+
+
 def test_toxicity_held_out(spark):
     rng = random.Random(8)
     rows, labels = [], []
