@@ -10,7 +10,8 @@ that is their weighted Jaccard similarity. Texts that agree on all samples of a
 its most promising partners of other classes, by the share of equal samples; proposals are verified by the exact weighted
 Jaccard similarity, verified links join classes, and rounds go on until no bucket proposes anything that was not tried.
 So proposals stay in proportion to a bucket, while no promising link between different classes is left out. Of members
-that are almost equal, one stands for the others in comparisons. Very large buckets are dealt anew by a second band.
+that are almost equal, one stands for the others in comparisons. A very large bucket is dealt by hash into parts, and each
+two parts meet in a bucket of their own, so that all its pairs are seen without one task holding it.
 
 Exact copies are found by hash first; only one of them is compared.
 
@@ -266,11 +267,11 @@ def propose(ids: np.ndarray, classes: np.ndarray, samples: np.ndarray, tried: se
 def _proposals(buckets: DataFrame, labels: DataFrame, sketches: DataFrame, tried: DataFrame | None, most: int) -> DataFrame:
     """key, a, b; a is null in the one row of a bucket that leaves all its pairs to others."""
     later = tried is not None
-    members = buckets.join(sketches, "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("other"), "samples", "bands")
+    members = buckets.join(sketches, "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("other"), "samples", "bands", "part")
     rows = members if tried is None else members.unionByName(tried.select("key", F.col("a").alias("node"), F.col("b").alias("other")), allowMissingColumns=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, classes, samples, bands, done = None, [], [], [], [], set()
+        key, ids, classes, samples, bands, parts, done = None, [], [], [], [], [], set()
         out: list[tuple[int, int | None, int | None]] = []
 
         def close() -> None:
@@ -278,8 +279,13 @@ def _proposals(buckets: DataFrame, labels: DataFrame, sketches: DataFrame, tried
                 order = np.argsort(np.array(ids), kind="stable")
                 stacked = np.frombuffer(b"".join(samples), np.uint8).reshape(len(ids), -1)[order]
                 keys = np.array(bands, np.int64)[order]
-                at = np.flatnonzero((keys == key).all(0))  # none in a bucket that was dealt anew
-                pairs, left = propose(np.array(ids)[order], np.array(classes)[order], stacked, done, most, later, keys[:, : at[0]] if at.size and at[0] else None)
+                at = np.flatnonzero((keys == key).all(0))
+                if not at.size:  # of a very large bucket
+                    at = np.flatnonzero((keys == keys[0]).all(0))
+                earlier = keys[:, : at[0]]
+                if parts[0] is not None:  # pairs of one part meet in a bucket of its own
+                    earlier = np.column_stack((earlier, np.array(parts, np.int64)[order]))
+                pairs, left = propose(np.array(ids)[order], np.array(classes)[order], stacked, done, most, later, earlier if earlier.size else None)
                 out.extend((key, a, b) for a, b in pairs)
                 if left and not pairs:
                     out.append((key, None, None))
@@ -290,10 +296,10 @@ def _proposals(buckets: DataFrame, labels: DataFrame, sketches: DataFrame, tried
             return made
 
         for batch in batches:
-            for k, node, other, s, b in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            for k, node, other, s, b, part in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
                 if k != key:
                     close()
-                    key, ids, classes, samples, bands, done = k, [], [], [], [], set()
+                    key, ids, classes, samples, bands, parts, done = k, [], [], [], [], [], set()
                 if s is None:
                     done.add((node, other))
                 else:
@@ -301,6 +307,7 @@ def _proposals(buckets: DataFrame, labels: DataFrame, sketches: DataFrame, tried
                     classes.append(other)
                     samples.append(s)
                     bands.append(b)
+                    parts.append(part)
             if len(out) > 1000:
                 yield batch_of()
         close()
@@ -383,15 +390,20 @@ def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _buckets(sketches: DataFrame) -> DataFrame:
-    """(key, node) of buckets with several members; very large ones dealt anew by each other band."""
-    met = sketches.select("node", "bands", F.posexplode("bands").alias("band", "key"))
+    """(key, node, part) of buckets with several members. One of more than LARGE_BUCKET is dealt into parts of half as many;
+    each part is a bucket, and each two parts are one, where `part` says of which a member is."""
+    met = sketches.select("node", F.explode("bands").alias("key"))
     sizes = met.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = written(met.select("key", "node", "band").join(sizes, "key"), "buckets")
+    shared = written(met.join(sizes, "key"), "buckets")
+    whole = F.lit(None).cast("long").alias("part")
     large = shared.where(F.col("n") > LARGE_BUCKET)
     if large.isEmpty():
-        return shared.select("key", "node")
-    again = large.select("key", "node", "band").join(sketches.select("node", "bands"), "node").select("node", "band", "key", F.posexplode("bands").alias("band_2", "key_2")).where("band_2 <> band")
-    return shared.where(F.col("n") <= LARGE_BUCKET).select("key", "node").unionByName(again.select(F.xxhash64("key", "key_2").alias("key"), "node"))
+        return shared.select("key", "node", whole)
+    count = F.ceil(2 * F.col("n") / LARGE_BUCKET)
+    dealt = large.select("key", "node", count.alias("parts"), F.pmod(F.xxhash64(F.lit(2), "node"), count).alias("part"))
+    again = dealt.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    pairs = again.select(F.xxhash64("key", F.least("part", "with"), F.greatest("part", "with")).alias("key"), "node", F.when(F.col("part") != F.col("with"), F.col("part")).alias("part"))
+    return shared.where(F.col("n") <= LARGE_BUCKET).select("key", "node", whole).unionByName(pairs)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -302,6 +302,21 @@ def test_large_buckets_compare_with_representatives_only():
     assert len(pairs) == 499 and all(a == 0 for a, _ in pairs)
 
 
+def test_all_pairs_of_a_very_large_bucket_meet(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "LARGE_BUCKET", 8)
+    rows = [(k, [7, 1000 + k, 2000 + k // 2]) for k in range(40)]
+    buckets = collections.defaultdict(set)
+    for r in near_dup._buckets(spark.createDataFrame(rows, "node long, bands array<long>")).collect():
+        buckets[r["key"]].add(r["node"])
+    assert {p for b in buckets.values() for p in itertools.combinations(sorted(b), 2)} == set(itertools.combinations(range(40), 2))
+    rng = random.Random(11)
+    base = prose(rng, 120, 5000)
+    texts = [(k, edited(rng, base, 1 + k % 4)) for k in range(60)]
+    want = brute_classes(spark, texts)
+    got = near_dup.near_duplicates(frame(spark, texts)).collect()
+    assert len(got) == 60 and all(r["class_id"] == want[texts[r["doc_id"]]] for r in got)
+
+
 # Learned filters
 
 
