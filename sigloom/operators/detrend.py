@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,8 +13,6 @@ from sigloom.config import Detrend
 
 from .series import folded
 
-CHUNK = 500_000
-
 
 def rls_start(p: int) -> dict:
     return {"theta": np.zeros(p), "P": 1e6 * np.eye(p)}
@@ -95,29 +94,22 @@ def segment(y: np.ndarray, p: Detrend) -> list[tuple[int, int, int, np.ndarray,
     return [(a, b, f[1], f[2], f[3]) for a, b, f in parts]
 
 
-def piecewise(s: DataFrame, keys: list[str], p: Detrend | None = None, chunk: int = CHUNK) -> DataFrame:
-    """keys, segment, start, stop, n, order, coefficients, sse. Series beyond `chunk` samples are fitted in chunks of that
-    size, so a task holds one chunk."""
+def piecewise(s: DataFrame, keys: list[str], p: Detrend | None = None) -> DataFrame:
+    """keys, segment, start, stop, n, order, coefficients, sse. A series is segmented whole, so its task holds all its
+    samples; one of fewer than 4 has no segment."""
     p = (p or Detrend()).validate()
 
-    def finish(state: dict) -> Iterator[tuple]:
-        y, at = np.array(state["y"], dtype=float), state["at"]
-        if len(y) < 4:
-            return
-        for a, b, order, c, sse in segment(y, p):
-            yield (state["k"], at + a, at + b, b - a, order, c.tolist(), sse)
-            state["k"] += 1
+    def step(state: array, row: tuple) -> list[tuple]:
+        state.append(np.nan if row[1] is None else row[1])
+        return []
 
-    def step(state: dict, row: tuple) -> list[tuple]:
-        state["y"].append(row[1])
-        if len(state["y"]) < chunk:
-            return []
-        rows = list(finish(state))
-        state.update(at=state["at"] + len(state["y"]), y=[])
-        return rows
+    def finish(state: array) -> Iterator[tuple]:
+        if len(state) >= 4:
+            for k, (a, b, order, c, sse) in enumerate(segment(np.array(state), p)):
+                yield (k, a, b, b - a, order, c.tolist(), sse)
 
     schema = "segment long, start long, stop long, n long, order int, coefficients array<double>, sse double"
-    return folded(s, keys, ["i"], ["i", "y"], schema, lambda _: {"y": [], "at": 0, "k": 0}, step, lambda st: list(finish(st)))
+    return folded(s, keys, ["i"], ["i", "y"], schema, lambda _: array("d"), step, lambda st: list(finish(st)))
 
 
 def detrended(s: DataFrame, keys: list[str], p: Detrend | None = None) -> DataFrame:

@@ -241,6 +241,12 @@ def test_piecewise_trend_finds_a_planted_break(spark):
     assert left.where("s = 0").selectExpr("max(abs(residual))").first()[0] < 1 and left.where("s = 1").count() == 2
 
 
+def test_long_series_are_segmented_whole(spark):
+    long = spark.range(500_002).selectExpr("'a' AS s", "id AS i", "0.5 * id AS y")
+    rows = detrend.piecewise(long, ["s"], Detrend(max_segments=1)).collect()
+    assert [(r["start"], r["stop"]) for r in rows] == [(0, 500_002)]
+
+
 def test_rls_follows_a_line(spark):
     rows = detrend.rls(samples(spark, [2.0 + 0.5 * i for i in range(100)]), ["s"]).orderBy("i").collect()
     assert abs(rows[-1]["residual"]) < 1e-3
