@@ -2,7 +2,7 @@
 
 Documents go in ascending id order through range partitions; each partition's token ids are cut into blocks of about
 `BLOCK_IDS` ids. In a block, frequent pairs of neighbouring symbols are replaced by new symbols (nonterminals), again
-and again, as long as pairs occur often enough. A round replaces many pairs at once: all that occur at least a
+and again, as long as a pair occurs `MIN_COUNT` times. A round replaces many pairs at once: all that occur at least a
 `SPREAD`-th as often as the most frequent one, the more frequent of two overlapping pairs first. A block stores the
 rules, their expansion lengths and the remaining symbols, so that any range of ids can be decoded from the symbols that
 cover it.
@@ -36,7 +36,6 @@ from .common import shared_path, written
 
 BLOCK_IDS = 1 << 20
 MIN_COUNT = 8
-ROUNDS = 6
 SPREAD = 8
 _MAGIC = b"RPB1"
 _HEAD = struct.Struct("<4s7Q")
@@ -47,21 +46,20 @@ def _pairs(seq: np.ndarray) -> np.ndarray:
     return (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
 
 
-def repair(ids: np.ndarray, first: int, min_count: int = MIN_COUNT, rounds: int = ROUNDS, most_rules: int | None = None) -> tuple[np.ndarray, np.ndarray, list[int]]:
+def repair(ids: np.ndarray, first: int, min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray, list[int]]:
     """Symbols, rules (rows left, right; rule k is symbol first + k), and the number of rules before each round."""
     seq, rules, starts, n_rules = ids.astype(np.uint32), [], [], 0
-    for _ in range(rounds):
-        room = (1 << 32) - first - n_rules if most_rules is None else most_rules - n_rules
-        if len(seq) < 2 or room <= 0:
-            break
+    while len(seq) > 1:
         pairs = _pairs(seq)
-        ordered = np.sort(pairs)
+        begins = np.concatenate(([True], pairs[1:] != pairs[:-1]))
+        apart = (np.arange(len(pairs)) - np.flatnonzero(begins)[np.cumsum(begins) - 1]) % 2 == 0  # a pair of equal symbols overlaps itself
+        ordered = np.sort(pairs[apart])
         edge = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
         counts = np.diff(np.append(edge, len(ordered)))
         often = np.flatnonzero(counts >= max(min_count, int(counts.max()) // SPREAD))
         if not often.size:
             break
-        often = often[np.argsort(-counts[often], kind="stable")][: min(room, 1 << 14)]
+        often = often[np.argsort(-counts[often], kind="stable")][: 1 << 14]
         wanted = ordered[edge[often]]
         slot = ((wanted * _MIX) >> np.uint64(46)).astype(np.int64)  # one pair a slot: the most frequent
         keep = np.sort(np.unique(slot, return_index=True)[1])
@@ -70,15 +68,13 @@ def repair(ids: np.ndarray, first: int, min_count: int = MIN_COUNT, rounds: int
         key[slot], rank[slot] = wanted, np.arange(len(wanted), 0, -1)
         at = ((pairs * _MIX) >> np.uint64(46)).astype(np.int64)
         prior = np.where(key[at] == pairs, rank[at], 0)
-        chosen = prior > 0
-        chosen[1:] &= prior[1:] > prior[:-1]
+        chosen = (prior > 0) & apart
+        chosen[1:] &= prior[1:] >= prior[:-1]
         chosen[:-1] &= prior[:-1] >= prior[1:]
         where = np.flatnonzero(chosen)
         used = np.bincount(len(wanted) - prior[where], minlength=len(wanted)) >= min_count
         number = np.cumsum(used) - 1
         where = where[used[len(wanted) - prior[where]]]
-        if not where.size:
-            break
         seq = seq.copy()
         seq[where] = first + n_rules + number[len(wanted) - prior[where]]
         stays = np.ones(len(seq), bool)
@@ -115,7 +111,7 @@ def expansion_lengths(rules: np.ndarray, starts: list[int], first: int) -> np.nd
 def write_block(doc_ids: list[int | None], texts_ids: list[bytes]) -> bytes:
     ids = np.frombuffer(b"".join(texts_ids), "<u4")
     first = int(ids.max(initial=0)) + 1
-    symbols, rules, starts = repair(ids, first, most_rules=(1 << 16) - first if first < 1 << 16 else None)
+    symbols, rules, starts = repair(ids, first)
     width = 2 if first + len(rules) <= 1 << 16 else 4
     body = b"".join((
         _HEAD.pack(_MAGIC, len(doc_ids), len(ids), len(symbols), len(rules), first, width, len(starts)),

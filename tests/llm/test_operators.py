@@ -210,6 +210,20 @@ def test_repair_round_trip_and_random_access(ids):
         assert (block.ids(a, min(len(x), a + 9)) == x[a : a + 9]).all()
 
 
+def test_repair_goes_on_until_no_pair_is_frequent():
+    rng = np.random.default_rng(2)
+    for x in (np.tile(rng.integers(0, 50_000, 2000), 40), np.zeros(5000, int), rng.integers(0, 3, 20_000)):
+        x = x.astype(np.uint32)
+        symbols, rules, starts = token_files.repair(x, 50_000)
+        left = symbols.tolist()
+        counts, last = collections.Counter(), None
+        for k, pair in enumerate(zip(left, left[1:])):
+            if last != (pair, k - 1):
+                counts[pair] += 1
+                last = (pair, k)
+        assert max(counts.values(), default=0) < token_files.MIN_COUNT and (token_files.expand(symbols, rules, starts, 50_000) == x).all()
+
+
 def test_token_files_read_back(spark):
     rng = random.Random(5)
     rows = ODD + [(1000 - k, prose(rng, rng.randrange(200))) for k in range(300)]
