@@ -6,12 +6,15 @@ one to four words is one shingle. A shingle weighs tf * (1 + IDF_SHARE * idf); i
 counters, whose noise is a fixed share of the documents at every scale and lies below `RARE`.
 
 Improved consistent weighted sampling draws `BANDS * ROWS` samples a text; two texts share a sample with a probability
-that is their weighted Jaccard similarity. Texts that agree on all samples of a band meet in a bucket. There each proposes
-its most promising partners of other classes, by the share of equal samples; proposals are verified by the exact weighted
-Jaccard similarity, verified links join classes, and rounds go on until no bucket proposes anything that was not tried.
-So proposals stay in proportion to a bucket, while no promising link between different classes is left out. Of members
-that are almost equal, one stands for the others in comparisons. A very large bucket is dealt by hash into parts, and each
-two parts meet in a bucket of their own, so that all its pairs are seen without one task holding it.
+that is their weighted Jaccard similarity. Texts that agree on all samples of a band meet in a bucket; texts that buckets
+connect form a group, and each text travels to its group once. There, pairs that share a bucket and agree on enough samples
+are verified by the exact weighted Jaccard similarity, the most alike first and only where their classes still differ, so
+that a group of n texts takes n - 1 successes and the failures of those near the threshold. No pair leaves its task: a
+group gives one link a member, to the least id of its class.
+
+A group of more than `UNIT_MEMBERS` texts or `UNIT_BYTES` is dealt by hash into parts, of which each, and each two, make a
+unit of work, so that all pairs still meet; their links are joined by `components`. A group that would take more parts than
+there are bands is dealt bucket by bucket instead.
 
 Exact copies are found by hash first; only one of them is compared.
 
@@ -29,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_path, text_of, written
+from .common import discard, shared_path, text_of, written
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -38,14 +41,13 @@ IDF_SHARE = 0.25
 RARE = 2e-3
 COUNTERS = 1 << 20
 BLOCK = 1 << 12
-#: Proposals need this share of equal samples: 0.8 less 2.5 standard deviations of the estimate.
-PROMISING = 0.737
-#: Members this alike stand for each other in a bucket.
-ALIKE = 0.92
-PROPOSALS = 4
-LARGE_BUCKET = 4096
-PIVOT_MEMBERS = 200
-ONE_TASK_LINKS = 1_000_000
+#: Verified pairs have this share of equal samples: 0.8 less 3 standard deviations of the estimate.
+PROMISING = 0.7245
+#: A unit of work: texts, and bytes of text, that one task compares at a time.
+UNIT_MEMBERS = 256
+UNIT_BYTES = 1 << 24
+#: Links that a task joins at a time before they are shuffled.
+LOCAL_LINKS = 200_000
 
 _U = np.uint64
 _P, _Q = _U(0x100000001B3), _U(0x9E3779B97F4A7C15)
@@ -90,10 +92,12 @@ def weights(h: np.ndarray, tf: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Of (ascending hashes, weights): the sum of minima over the sum of maxima."""
-    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    shared = float(np.minimum(a[1][i], b[1][j]).sum())
-    whole = float(a[1].sum() + b[1].sum()) - shared
-    return shared / whole if whole else 0.0
+    if not len(a[0]) or not len(b[0]):
+        return 0.0
+    at = np.minimum(np.searchsorted(a[0], b[0]), len(a[0]) - 1)
+    both = a[0][at] == b[0]
+    shared = float(np.minimum(a[1][at[both]], b[1][both]).sum())
+    return shared / (float(a[1].sum() + b[1].sum()) - shared)
 
 
 def _sampling_tables() -> tuple:
@@ -203,12 +207,12 @@ def load_idf(path: str) -> np.ndarray:
 
 
 def _sketches(texts: DataFrame, counters: str) -> DataFrame:
-    """node, h1, h2, samples (the low byte of each) and band keys of every row of (node, h1, h2, text)."""
+    """node, h1, h2, bytes, samples (the low byte of each) and band keys of every row of (node, h1, h2, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf, known = load_idf(counters), {}
         for batch in batches:
-            low, keys = [], []
+            size, low, keys = [], [], []
             for h1, h2, text in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
                 if (found := known.get((h1, h2))) is None:
                     h, tf = shingles(text)
@@ -216,234 +220,222 @@ def _sketches(texts: DataFrame, counters: str) -> DataFrame:
                     found = (samples.astype(np.uint8).tobytes(), band_keys(samples)) if len(h) else (b"", np.zeros(0, np.int64))
                     known = {} if len(known) > 4000 else known
                     known[h1, h2] = found
+                size.append(len(text))
                 low.append(found[0])
                 keys.append(found[1])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(low, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["node", "h1", "h2", "samples", "bands"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(size, pa.int64()), pa.array(low, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["node", "h1", "h2", "bytes", "samples", "bands"])
+
+    return texts.mapInArrow(run, "node long, h1 long, h2 long, bytes long, samples binary, bands array<long>")
 
-    return texts.mapInArrow(run, "node long, h1 long, h2 long, samples binary, bands array<long>")
 
+class Classes:
+    """Union-find; the least node of a class stands for it."""
 
-def propose(ids: np.ndarray, classes: np.ndarray, samples: np.ndarray, tried: set[tuple[int, int]], most: int = PROPOSALS, followers: bool = False, earlier: np.ndarray | None = None) -> tuple[list[tuple[int, int]], bool]:
-    """In one bucket: each member's most promising untried partners of another class among earlier members, at most `most`.
+    def __init__(self) -> None:
+        self.parent: dict[int, int] = {}
 
-    Members come in id order. One that is almost equal to an earlier leader follows it, so a long bucket of almost equal texts
-    takes time in proportion. With `followers`, a member that is near a leader of another class, though perhaps not near
-    enough, is compared with that leader's followers too: 1 - similarity is a metric, so no other follower can be promising.
-    `earlier` has the members' keys of the bands before this one: pairs that meet there are left to that bucket. The second
-    result says whether there were such pairs.
+    def root(self, x: int) -> int:
+        parent = self.parent
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    def join(self, a: int, b: int) -> None:
+        a, b = self.root(a), self.root(b)
+        self.parent[max(a, b)] = min(a, b)
+
+
+def promising_pairs(samples: np.ndarray, bands: np.ndarray, sides: np.ndarray | None = None, key: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Rows i < j of pairs that share a band and at least `PROMISING` of their samples, the most alike first.
+
+    With `sides`, only pairs of different sides. With a bucket's `key`, only pairs whose first common band is that bucket.
     """
-    out: list[tuple[int, int]] = []
-    left = False
-    leaders, behind = [], []
-    for k in range(len(ids)):
-        if leaders:
-            at = np.array(leaders)
-            alike = (samples[at] == samples[k]).mean(1)
-            if followers:
-                near = np.flatnonzero((alike >= PROMISING - (1 - ALIKE)) & (classes[at] != classes[k]))
-                if more := [m for o in near.tolist() for m in behind[o]]:
-                    at = np.concatenate((at, more))
-                    alike = np.concatenate((alike, (samples[more] == samples[k]).mean(1)))
-            other = np.flatnonzero((alike >= PROMISING) & (classes[at] != classes[k]))
-            made = 0
-            for o in other[np.argsort(-alike[other], kind="stable")].tolist():
-                pair = (int(ids[at[o]]), int(ids[k]))
-                if earlier is not None and (earlier[at[o]] == earlier[k]).any():
-                    left = True
-                elif pair not in tried:
-                    out.append(pair)
-                    made += 1
-                    if made == most:
-                        break
-            best = int(alike[: len(leaders)].argmax())
-            if alike[best] >= ALIKE:
-                behind[best].append(k)
-                continue
-        leaders.append(k)
-        behind.append([])
-    return out, left
-
-
-def _proposals(buckets: DataFrame, labels: DataFrame, sketches: DataFrame, tried: DataFrame | None, most: int) -> DataFrame:
-    """key, a, b; a is null in the one row of a bucket that leaves all its pairs to others."""
-    later = tried is not None
-    members = buckets.join(sketches, "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("other"), "samples", "bands", "part")
-    rows = members if tried is None else members.unionByName(tried.select("key", F.col("a").alias("node"), F.col("b").alias("other")), allowMissingColumns=True)
+    found = []
+    n, step = len(samples), max(1, (1 << 22) // max(1, samples.size))
+    for at in range(0, n - 1, step):
+        block = samples[at : at + step]
+        alike = (block[:, None, :] == samples[None, at + 1 :, :]).sum(2, dtype=np.int32)
+        i, j = np.nonzero(alike >= PROMISING * samples.shape[1])
+        later = j >= i  # column j is row at + 1 + j
+        i, j = i[later], j[later]
+        found.append((at + i, at + 1 + j, alike[i, j]))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    i, j, alike = (np.concatenate(x) for x in zip(*found, strict=True))
+    keep = np.ones(len(i), bool) if sides is None else sides[i] != sides[j]
+    for start in range(0, len(i), 1 << 16):
+        part = slice(start, start + (1 << 16))
+        common = bands[i[part]] == bands[j[part]]
+        keep[part] &= common.any(1) if key is None else common.any(1) & (bands[i[part], common.argmax(1)] == key)
+    i, j, alike = i[keep], j[keep], alike[keep]
+    order = np.argsort(-alike, kind="stable")
+    return i[order], j[order]
+
+
+def unit_links(ids: list[int], samples: list[bytes], bands: list[list[int]], sides: list[int | None], texts: list[str], key: int | None, idf: np.ndarray, threshold: float = THRESHOLD) -> list[tuple[int, int]]:
+    """Of the texts of one unit: (node, least node of its class) for those with a link; exact similarities decide."""
+    if len(ids) < 2:
+        return []
+    vectors: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def vector(k: int) -> tuple[np.ndarray, np.ndarray]:
+        if k not in vectors:
+            h, tf = shingles(texts[k])
+            vectors[k] = h, weights(h, tf, idf)
+        return vectors[k]
+
+    classes = Classes()
+    stacked = np.frombuffer(b"".join(samples), np.uint8).reshape(len(ids), -1)
+    apart = np.array(sides, np.int64) if sides[0] is not None else None
+    for i, j in zip(*(x.tolist() for x in promising_pairs(stacked, np.array(bands, np.int64), apart, key)), strict=True):
+        if classes.root(ids[i]) != classes.root(ids[j]) and weighted_jaccard(vector(i), vector(j)) >= threshold:
+            classes.join(ids[i], ids[j])
+    return [(x, classes.root(x)) for x in classes.parent if classes.root(x) != x]
+
+
+def _links(units: DataFrame, counters: str, threshold: float) -> DataFrame:
+    """a, b and whole (whether the unit was all of its group) of rows (unit, side, key, node, samples, bands, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, classes, samples, bands, parts, done = None, [], [], [], [], [], set()
-        out: list[tuple[int, int | None, int | None]] = []
+        idf, unit, rows, out = load_idf(counters), None, [], []
 
         def close() -> None:
-            if len(ids) > 1:
-                order = np.argsort(np.array(ids), kind="stable")
-                stacked = np.frombuffer(b"".join(samples), np.uint8).reshape(len(ids), -1)[order]
-                keys = np.array(bands, np.int64)[order]
-                at = np.flatnonzero((keys == key).all(0))
-                if not at.size:  # of a very large bucket
-                    at = np.flatnonzero((keys == keys[0]).all(0))
-                earlier = keys[:, : at[0]]
-                if parts[0] is not None:  # pairs of one part meet in a bucket of its own
-                    earlier = np.column_stack((earlier, np.array(parts, np.int64)[order]))
-                pairs, left = propose(np.array(ids)[order], np.array(classes)[order], stacked, done, most, later, earlier if earlier.size else None)
-                out.extend((key, a, b) for a, b in pairs)
-                if left and not pairs:
-                    out.append((key, None, None))
+            if len(rows) > 1:
+                ids, sides, keys, whole, samples, bands, texts = zip(*rows, strict=True)
+                out.extend((a, b, whole[0]) for a, b in unit_links(ids, samples, bands, sides, texts, keys[0], idf, threshold))
+            rows.clear()
 
         def batch_of() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in range(3)], schema=_PAIRS)
+            made = pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.bool_())], names=["a", "b", "whole"])
             out.clear()
             return made
 
         for batch in batches:
-            for k, node, other, s, b, part in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-                if k != key:
+            for u, *row in zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True):
+                if u != unit:
                     close()
-                    key, ids, classes, samples, bands, parts, done = k, [], [], [], [], [], set()
-                if s is None:
-                    done.add((node, other))
-                else:
-                    ids.append(node)
-                    classes.append(other)
-                    samples.append(s)
-                    bands.append(b)
-                    parts.append(part)
+                    unit = u
+                if not rows or rows[-1][0] != row[0]:  # repeated rows are one text
+                    rows.append(row)
             if len(out) > 1000:
                 yield batch_of()
         close()
-        if out:
-            yield batch_of()
+        yield batch_of()
 
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, a long, b long")
+    columns = ["unit", "node", "side", "key", "whole", "samples", "bands", "text"]
+    return units.select(columns).repartition("unit").sortWithinPartitions("unit", "node").mapInArrow(run, "a long, b long, whole boolean")
 
 
-_PAIRS = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+def _local_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (u, v) of a task, `LOCAL_LINKS` at a time, as a link of each node to the least of its component."""
+    classes, n = Classes(), 0
 
+    def batch_of() -> pa.RecordBatch:
+        found = [(x, classes.root(x)) for x in classes.parent]
+        found = [(x, r) for x, r in found if x != r]
+        return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["u", "v"])
 
-def _verified(pairs: DataFrame, texts: DataFrame, counters: str) -> DataFrame:
-    """a, b and similarity of each pair. The pairs of one text a are dealt out in groups of PIVOT_MEMBERS; a group has
-    one copy of that text, and the others pass by."""
-    spread = pairs.groupBy("a").agg(F.count("*").alias("n"))
-    dealt = pairs.join(spread, "a").select("a", "b", F.pmod(F.xxhash64("b"), 1 + F.floor(F.col("n") / PIVOT_MEMBERS)).cast("int").alias("part"))
-    pivots = dealt.select("a", "part").distinct().join(texts, F.col("a") == F.col("node")).select("a", "part", F.lit(None).cast("long").alias("b"), "text")
-    others = dealt.join(texts, F.col("b") == F.col("node")).select("a", "part", "b", "text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf, group, pivot = load_idf(counters), None, None
-        for batch in batches:
-            out = []
-            for a, part, b, text in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                h, tf = shingles(text)
-                found = (h, weights(h, tf, idf))
-                if b is None:
-                    group, pivot = (a, part), found
-                elif group == (a, part):
-                    out.append({"a": a, "b": b, "similarity": weighted_jaccard(pivot, found)})
-            yield pa.RecordBatch.from_pylist(out, _VERIFIED)
-
-    both = pivots.unionByName(others).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
-    return both.mapInArrow(run, "a long, b long, similarity double")
-
-
-_VERIFIED = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("similarity", pa.float64())])
+    for batch in batches:
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            classes.join(u, v)
+        n += batch.num_rows
+        if n > LOCAL_LINKS:
+            yield batch_of()
+            classes, n = Classes(), 0
+    yield batch_of()
 
 
-def components(links: DataFrame, one_task: int = ONE_TASK_LINKS) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """node and label (the least node of its component), of links (a, b).
 
-    Up to `one_task` links go through one task's union-find. More go through large and small stars: nothing is gathered per
-    node, each step is an aggregate and a join over links, cut by a written table.
+    Tasks first join the links they hold. The rest goes through large and small stars: nothing is gathered per node, each
+    step is an aggregate and a join over links, cut by a written table.
     """
-    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
-    if edges.count() <= one_task:
-        return edges.coalesce(1).mapInArrow(_united, "node long, label long")
-    state = None
+    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").mapInArrow(_local_links, "u long, v long").distinct(), "links")
+    state = (0, None)
     while True:
+        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if now == state:
+            break
+        state = now
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         small = large.groupBy("u").agg(F.min("v").alias("m"))
+        before = edges
         edges = written(large.join(small, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).unionByName(small.withColumnRenamed("m", "v")).where("u <> v").distinct(), "links")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
-            break
-        state = now
+        discard(before)
     labels = edges.groupBy("u").agg(F.min("v").alias("label")).select(F.col("u").alias("node"), "label")
     return labels.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
 
-def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    parent: dict[int, int] = {}
+def _buckets(sketches: DataFrame) -> DataFrame:
+    """(key, node, least) of buckets with several members, and the least of them."""
+    met = sketches.select("node", F.explode("bands").alias("key"))
+    shared = met.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("greatest")).where("least < greatest")
+    return met.join(shared.select("key", "least"), "key").select("key", "node", "least")
 
-    def root(x: int) -> int:
-        while parent.setdefault(x, x) != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
 
-    for batch in batches:
-        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            a, b = root(u), root(v)
-            parent[max(a, b)] = min(a, b)
-    nodes = list(parent)
-    yield pa.RecordBatch.from_pydict({"node": pa.array(nodes, pa.int64()), "label": pa.array([root(x) for x in nodes], pa.int64())})
+def _parts(members: DataFrame) -> DataFrame:
+    """(group, node, parts) of (group, node, bytes): how many parts the node's group is dealt into."""
+    count, size = F.count("*"), F.sum("bytes") + 512 * F.count("*")
+    parts = F.when((count > UNIT_MEMBERS) | (size > UNIT_BYTES), F.greatest(F.ceil(2 * count / UNIT_MEMBERS), F.ceil(2 * size / UNIT_BYTES))).otherwise(1)
+    return members.join(members.groupBy("group").agg(parts.cast("long").alias("parts")), "group").select("group", "node", "bytes", "parts")
 
 
-def _buckets(sketches: DataFrame) -> DataFrame:
-    """(key, node, part) of buckets with several members. One of more than LARGE_BUCKET is dealt into parts of half as many;
-    each part is a bucket, and each two parts are one, where `part` says of which a member is."""
-    met = sketches.select("node", F.explode("bands").alias("key"))
-    sizes = met.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = written(met.join(sizes, "key"), "buckets")
-    whole = F.lit(None).cast("long").alias("part")
-    large = shared.where(F.col("n") > LARGE_BUCKET)
-    if large.isEmpty():
-        return shared.select("key", "node", whole)
-    count = F.ceil(2 * F.col("n") / LARGE_BUCKET)
-    dealt = large.select("key", "node", count.alias("parts"), F.pmod(F.xxhash64(F.lit(2), "node"), count).alias("part"))
-    again = dealt.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    pairs = again.select(F.xxhash64("key", F.least("part", "with"), F.greatest("part", "with")).alias("key"), "node", F.when(F.col("part") != F.col("with"), F.col("part")).alias("part"))
-    return shared.where(F.col("n") <= LARGE_BUCKET).select("key", "node", whole).unionByName(pairs)
+def _units(groups: DataFrame, buckets: DataFrame) -> DataFrame:
+    """(unit, side, key, whole, node) of (group, node, bytes), the texts that buckets connect.
+
+    A small group is a unit. A larger one is dealt into parts; each part is a unit, and each two are one, where `side` says
+    of which part a text is. Where that would send a text to more units than it has bands, buckets take the group's place.
+    """
+    sized = written(_parts(groups), "groups")
+    none = F.lit(None).cast("long")
+    by_group = sized.where(F.col("parts") <= BANDS).select("group", "node", "parts", none.alias("key"))
+    wide = sized.where(F.col("parts") > BANDS).select("node", "bytes")
+    by_bucket = _parts(buckets.select(F.col("key").alias("group"), "node").join(wide, "node")).select("group", "node", "parts", F.col("group").alias("key"))
+    dealt = by_group.unionByName(by_bucket).withColumn("part", F.pmod(F.xxhash64(F.lit(2), "node"), F.col("parts")))
+    spread = dealt.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    unit = F.xxhash64("group", F.col("key").isNull(), F.least("part", "with"), F.greatest("part", "with"))
+    return spread.select(unit.alias("unit"), F.when(F.col("part") != F.col("with"), F.col("part")).alias("side"), "key", (F.col("key").isNull() & (F.col("parts") == 1)).alias("whole"), "node")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row a document: doc_id, class_id (the least id of its class), is_kept (whether it is that document)."""
-    spark = docs.sparkSession
+    return _classified(docs, id_col, text_col, threshold)[0]
+
+
+def _classified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> tuple[DataFrame, list[DataFrame]]:
+    """The rows of `near_duplicates`, and the written tables that they are read from."""
     text = text_of(F.col(text_col).cast("string"))
     source = docs.select(F.col(id_col).cast("long").alias("node"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"), text.alias("text"))
     counters = document_frequencies(source, "text")
     every = written(_sketches(source, counters), "sketches")
     first = written(every.groupBy("h1", "h2").agg(F.min("node").alias("node")), "distinct")
-    distinct = first.where("node is not null").select("node")
-    sketches = written(every.select("node", "samples", "bands").join(distinct, "node", "leftsemi").where(F.length("samples") > 0).dropDuplicates(["node"]), "distinct-sketches")
-    buckets = written(_buckets(sketches), "bucket-members")
-    texts = source.select("node", "text").where("node is not null")
-    labels, links, tried, most = spark.createDataFrame([], "node long, label long"), None, None, PROPOSALS
-    while True:
-        found = written(_proposals(buckets, labels, sketches.select("node", "samples", "bands"), tried, most), "proposals")
-        # a bucket that is not heard of never will be again: classes only grow, and who follows proposes in the first round
-        buckets = written(buckets.join(found.select("key").distinct(), "key", "leftsemi"), "bucket-members")
-        found = found.where("a is not null")
-        if found.isEmpty():
-            break
-        if links is None:
-            # by shuffle whatever the sizes: the plan at 100 TB is the plan of a test
-            texts = written(texts.join(buckets.select("node").distinct().hint("shuffle_hash"), "node", "leftsemi"), "candidate-texts")
-        checked = written(_verified(found.select("a", "b").distinct(), texts, counters), "verified")
-        good = checked.where(F.col("similarity") >= threshold).select("a", "b")
-        failed = found.join(checked.where(F.col("similarity") < threshold).select("a", "b"), ["a", "b"]).select("key", "a", "b")
-        tried = written(failed if tried is None else tried.unionByName(failed), "tried")
-        links = written(good if links is None else links.unionByName(good), "all-links")
-        labels = written(components(links), "classes")
-        most *= 8
+    compared = every.select("node", "bytes", "samples", "bands").where(F.length("samples") > 0)
+    sketches = written(compared.join(first.where("node is not null").select("node").distinct(), "node", "leftsemi").dropDuplicates(["node"]), "distinct-sketches")
+    buckets = written(_buckets(sketches), "buckets")
+    groups = components(buckets.select(F.col("node").alias("a"), F.col("least").alias("b")))
+    units = written(_units(groups.withColumnRenamed("label", "group").join(sketches.select("node", "bytes"), "node"), buckets), "units")
+    # by shuffle whatever the sizes: the plan at 100 TB is the plan of a test
+    candidates = units.join(sketches.select("node", "samples", "bands"), "node").hint("shuffle_hash")
+    links = written(_links(source.where("node is not null").select("node", "text").join(candidates, "node"), counters, threshold), "class-links")
+    whole = links.where("whole").select(F.col("a").alias("node"), F.col("b").alias("label"))
+    dealt = components(links.where("not whole").select("a", "b"))
+    labels = written(whole.unionByName(dealt), "classes")
+    discard(sketches, buckets, units, links)
     classes = first.join(labels, "node", "left").select("h1", "h2", F.coalesce("label", "node").alias("class_id"))
-    return every.select(F.col("node").alias("doc_id"), "h1", "h2").join(classes, ["h1", "h2"]).select("doc_id", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(False)).alias("is_kept"))
+    found = every.select(F.col("node").alias("doc_id"), "h1", "h2").join(classes, ["h1", "h2"]).select("doc_id", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(False)).alias("is_kept"))
+    return found, [every, first, labels]
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The documents of `docs`, one of each class, the one with the least id; all columns. Of rows that repeat an id one
     stays. Rows without an id cannot be told apart, and all stay."""
-    found = written(near_duplicates(docs, id_col, **options), "near-duplicates")
+    classified, tables = _classified(docs, id_col, **options)
+    found = written(classified, "near-duplicates")
+    discard(*tables)
     kept = docs.join(found.where("is_kept").select(F.col("doc_id").alias(id_col)), id_col, "leftsemi")
     if not found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
         kept = kept.dropDuplicates([id_col])

@@ -1,7 +1,9 @@
 import collections
 import hashlib
 import itertools
+import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -244,14 +246,28 @@ def test_token_files_read_back(spark):
 # Near duplicates
 
 
+def plain_vectors(texts):
+    """Shingle weights written out: words, five at a time, tf * (1 + idf / 4), idf from 1 at 0.2 % of the rows to 0 at all."""
+    words = [re.findall("[0-9a-z\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for t in texts]
+    counts = [collections.Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4)) if w) for w in words]
+    df = collections.Counter(x for c in counts for x in c)
+    idf = {x: math.log(len(texts) / max(n, 0.002 * len(texts))) / math.log(1 / 0.002) for x, n in df.items()}
+    return [{x: tf * (1 + idf[x] / 4) for x, tf in c.items()} for c in counts]
+
+
+def plain_similarity(a, b):
+    shared = sum(min(w, b[x]) for x, w in a.items() if x in b)
+    return shared / max(sum(a.values()) + sum(b.values()) - shared, 1e-9)
+
+
 def brute_classes(spark, rows):
-    df = frame(spark, rows)
-    idf = near_dup.load_idf(near_dup.document_frequencies(df, "text"))
-    first = {}
-    for i, t in rows:
+    """Class ids by all pairs, without any of the operator's functions."""
+    vectors, first = {}, {}
+    for (i, t), v in zip(rows, plain_vectors([t for _, t in rows]), strict=True):
         if i is not None:
             first[t or ""] = min(first.get(t or "", i), i)
-    vectors = {i: (lambda h, tf: (h, near_dup.weights(h, tf, idf)))(*near_dup.shingles(t)) for t, i in first.items()}
+            vectors[t or ""] = v
+    vectors = {i: vectors[t] for t, i in first.items()}
     parent = {i: i for i in vectors}
 
     def root(x):
@@ -259,8 +275,12 @@ def brute_classes(spark, rows):
             x = parent[x]
         return x
 
-    for a, b in itertools.combinations(sorted(vectors), 2):
-        if near_dup.weighted_jaccard(vectors[a], vectors[b]) >= 0.8:
+    holders = collections.defaultdict(list)
+    for i in sorted(vectors):
+        for x in vectors[i]:
+            holders[x].append(i)
+    for a, b in sorted({p for h in holders.values() for p in itertools.combinations(h, 2)}):
+        if plain_similarity(vectors[a], vectors[b]) >= 0.8:
             x, y = root(a), root(b)
             parent[max(x, y)] = min(x, y)
     return {(i, t): root(first[t or ""]) if (t or "") in first else None for i, t in rows}
@@ -303,32 +323,74 @@ def test_sketches_estimate_weighted_jaccard():
     assert abs(np.mean(off)) < 0.015 and np.std(off) < 0.06
 
 
-def test_components_of_chains_and_stars(spark):
+def test_components_of_chains_and_stars(spark, monkeypatch):
     links = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 130)] + [(7, 7)]
-    for one_task in (0, 1000):
-        got = {r["node"]: r["label"] for r in near_dup.components(spark.createDataFrame(links, "a long, b long"), one_task).collect()}
+    for local in (1, 200_000):
+        monkeypatch.setattr(near_dup, "LOCAL_LINKS", local)
+        got = {r["node"]: r["label"] for r in near_dup.components(spark.createDataFrame(links, "a long, b long").repartition(3)).collect()}
         assert all(got[k] == 0 for k in range(41)) and all(got[k] == 100 for k in range(100, 130))
-
-
-def test_large_buckets_compare_with_representatives_only():
-    same = np.zeros((500, near_dup.ROWS * near_dup.BANDS), np.uint8)
-    pairs, _ = near_dup.propose(np.arange(500), np.arange(500), same, set())
-    assert len(pairs) == 499 and all(a == 0 for a, _ in pairs)
-
-
-def test_all_pairs_of_a_very_large_bucket_meet(spark, monkeypatch):
-    monkeypatch.setattr(near_dup, "LARGE_BUCKET", 8)
-    rows = [(k, [7, 1000 + k, 2000 + k // 2]) for k in range(40)]
-    buckets = collections.defaultdict(set)
-    for r in near_dup._buckets(spark.createDataFrame(rows, "node long, bands array<long>")).collect():
-        buckets[r["key"]].add(r["node"])
-    assert {p for b in buckets.values() for p in itertools.combinations(sorted(b), 2)} == set(itertools.combinations(range(40), 2))
+    assert near_dup.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_a_group_verifies_in_proportion_to_its_members(monkeypatch):
+    rng, base = random.Random(4), prose(random.Random(3), 150, 5000)
+    texts = [edited(rng, base, rng.randrange(9)) for _ in range(200)]
+    idf, calls = np.ones(near_dup.COUNTERS), []
+    vectors = [(lambda h, tf: (h, near_dup.weights(h, tf, idf)))(*near_dup.shingles(t)) for t in texts]
+    drawn = [near_dup.sketch(*v) for v in vectors]
+    exact = near_dup.weighted_jaccard
+    monkeypatch.setattr(near_dup, "weighted_jaccard", lambda a, b: calls.append(1) or exact(a, b))
+    got = dict(near_dup.unit_links(range(200), [x.astype(np.uint8).tobytes() for x in drawn], [near_dup.band_keys(x).tolist() for x in drawn], [None] * 200, texts, None, idf))
+    links = [(a, b) for a, b in itertools.combinations(range(200), 2) if exact(vectors[a], vectors[b]) >= 0.8]
+    assert len(links) > 3000 and len(calls) < 2000
+    assert all(got.get(a, a) == got.get(b, b) for a, b in links)
+
+
+def test_all_pairs_of_large_groups_and_buckets_meet(spark, monkeypatch):
+    """Past the limits of a unit, by members and by bytes, with parts of groups and with parts of buckets."""
+    buckets = spark.createDataFrame([(7, k, 0) for k in range(40)] + [(100 + k // 2, k, 2 * (k // 2)) for k in range(40)], "key long, node long, least long")
+    groups = spark.createDataFrame([(0, k, 100) for k in range(40)], 'group long, node long, bytes long')
+    for members, size, bands in ((8, 1 << 24, 36), (8, 1 << 24, 2), (256, 5000, 36), (256, 1 << 24, 36)):
+        monkeypatch.setattr(near_dup, "UNIT_MEMBERS", members)
+        monkeypatch.setattr(near_dup, "UNIT_BYTES", size)
+        monkeypatch.setattr(near_dup, "BANDS", bands)
+        units = collections.defaultdict(list)
+        for r in near_dup._units(groups, buckets).collect():
+            units[r["unit"]].append((r["node"], r["side"]))
+        met = [tuple(sorted((a, b))) for u in units.values() for (a, s), (b, t) in itertools.combinations(u, 2) if s is None or s != t]
+        assert set(met) == set(itertools.combinations(range(40), 2))
+        assert bands == 2 or len(met) == len(set(met))
+
+
+def test_classes_do_not_depend_on_the_size_of_a_unit(spark, monkeypatch):
     rng = random.Random(11)
     base = prose(rng, 120, 5000)
     texts = [(k, edited(rng, base, 1 + k % 4)) for k in range(60)]
     want = brute_classes(spark, texts)
-    got = near_dup.near_duplicates(frame(spark, texts)).collect()
-    assert len(got) == 60 and all(r["class_id"] == want[texts[r["doc_id"]]] for r in got)
+    for members, bands in ((256, 36), (8, 36), (8, 4)):
+        monkeypatch.setattr(near_dup, "UNIT_MEMBERS", members)
+        monkeypatch.setattr(near_dup, "_units", lambda g, b, f=near_dup._units, n=bands: _with(near_dup, "BANDS", n, f, g, b))
+        got = near_dup.near_duplicates(frame(spark, texts)).collect()
+        monkeypatch.undo()
+        assert len(got) == 60 and all(r["class_id"] == want[texts[r["doc_id"]]] for r in got)
+
+
+def test_a_bucket_of_more_than_4096_texts(spark):
+    """4500 texts with one sentence of their own each: all in one class, and one text apart that shares half."""
+    rng = random.Random(12)
+    base = prose(rng, 90, 5000)
+    rows = [(k, f"{base} {k}") for k in range(4500)] + [(9000, " ".join(base.split()[:40]) + " " + prose(rng, 60, 5000))]
+    got = {r["doc_id"]: r["class_id"] for r in near_dup.near_duplicates(frame(spark, rows)).collect()}
+    assert got.pop(9000) == 9000 and set(got.values()) == {0} and len(got) == 4500
+
+
+def _with(module, name, value, f, *args):
+    before = getattr(module, name)
+    setattr(module, name, value)
+    try:
+        return f(*args)
+    finally:
+        setattr(module, name, before)
 
 
 # Learned filters
