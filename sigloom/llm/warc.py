@@ -58,8 +58,8 @@ def _member(data: bytes) -> bytes:
     return c.compress(data) + c.flush()
 
 
-def members(data: bytes) -> Iterator[tuple[int, bytes]]:
-    """Offset and content of each gzip member; a member that is cut off ends the file."""
+def members(data: bytes, cut: bool = False) -> Iterator[tuple[int, bytes]]:
+    """Offset and content of each gzip member; a member that is cut off ends the file, with `cut` after what is there."""
     at, view = 0, memoryview(data)
     while at < len(data):
         d, parts, to = zlib.decompressobj(31), [], at
@@ -67,6 +67,8 @@ def members(data: bytes) -> Iterator[tuple[int, bytes]]:
             parts.append(d.decompress(view[to : to + STEP]))
             to += STEP
         if not d.eof:
+            if cut:
+                yield at, b"".join(parts)
             return
         yield at, b"".join(parts)
         at = min(to, len(data)) - len(d.unused_data)
@@ -122,8 +124,10 @@ def write_arcs(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
 
 def arc_records(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
-    """Position (0 is the version block), header fields and body of each record of an ARC file, gzipped or plain."""
-    plain = members(data) if data[:2] == b"\x1f\x8b" else _plain_records(data)
+    """Position (0 is the version block), header fields and body of each record of an ARC file: plain, gzipped a record at a
+    time, or gzipped in one member or several of any number of records. A record that is cut off ends the file."""
+    parts = members(data, cut=True) if data[:2] == b"\x1f\x8b" else [(0, data)]
+    plain = (record for _, part in parts for record in _plain_records(part))
     fields: list[str] = []
     for k, (_, record) in enumerate(plain):
         line, _, rest = record.partition(b"\n")
