@@ -4,7 +4,7 @@ How many pieces have each length, at most `capacity` numbers, is all a packing n
 bins with the same lengths in them form one class with a multiplicity. Best fit, longest first, fills the classes; then
 underfull classes exchange one piece for one, two for one or one for two, or move a piece, whenever that increases the
 sum of squared fills, so that fuller bins fill and the emptiest bins empty. It ends when no exchange helps, or when the
-bins are as few as the total length allows at all. `search_moves` bounds the exchanges.
+bins are as few as the total length allows at all.
 
 Each length's pieces are numbered, and intervals of those numbers belong to classes; a piece finds its sequence and
 offset from its number alone. Pieces are numbered inside groups of about `GROUP_ROWS`, whose offsets come from their
@@ -27,11 +27,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import extended, written
+from .common import extended, fresh_name, written
 
 CAPACITY = 4096
 GROUP_ROWS = 1_000
-SEARCH_MOVES = 20_000
 Pattern = tuple[tuple[int, int], ...]  # (length, how many), longest first
 
 
@@ -130,20 +129,6 @@ def best_fit(counts: dict[int, int], capacity: int) -> Plan:
     return plan
 
 
-def _exchange(full: Pattern, low: Pattern, gap: int) -> tuple[int, tuple[int, ...], tuple[int, ...]] | None:
-    """The exchange that shifts most, at most `gap`, from `low` to `full`: (shift, out of full, out of low)."""
-    best = None
-    for (g, given), (t, taken) in ((_choices((), 0), _choices(low, 1)), (_choices(full, 1), _choices(low, 2)), (_choices(full, 2), _choices(low, 1))):
-        at = np.searchsorted(g, t - gap)  # the least that may go back
-        ok = np.flatnonzero(at < len(g))
-        if ok.size:
-            shift = t[ok] - g[at[ok]]
-            k = int(shift.argmax())
-            if shift[k] > 0 and (best is None or shift[k] > best[0]):
-                best = (int(shift[k]), given[at[ok[k]]], taken[ok[k]])
-    return best
-
-
 @lru_cache(maxsize=8192)
 def _choices(pattern: Pattern, most: int) -> tuple[np.ndarray, list[tuple[int, ...]]]:
     """Sums, ascending, and lengths of up to `most` pieces of a bin; none at all if `most` is 0."""
@@ -154,31 +139,67 @@ def _choices(pattern: Pattern, most: int) -> tuple[np.ndarray, list[tuple[int, .
     return np.array([sum(x) for x in found], np.int64), found
 
 
-def local_search(plan: Plan, moves: int = SEARCH_MOVES) -> int:
-    """Improve a plan in place; returns how many exchanges were made, an exchange of equal bins counting once."""
+def _exchanges(classes: dict[Pattern, int], capacity: int) -> list[tuple[Pattern, Pattern, tuple[int, ...], tuple[int, ...]]]:
+    """For each class that has an exchange with one at least as full: it, that one, what that one gives, and what it gives;
+    the emptiest first.
+
+    Classes are met from the fullest on. Of those met, `one` and `two` hold, at each length (sum of two lengths) that a class
+    could give back, how far its gap reaches from there, and which class that is. What a class could give has an exchange if
+    something shorter reaches it; of all that it has, the one that shifts most is taken."""
+    under = sorted(((fill_of(p), p) for p in classes if fill_of(p) < capacity), reverse=True)
+    one, two, widest, found = np.zeros(capacity + 1, np.int64), np.zeros(capacity + 1, np.int64), (0, -1), []
+    for k, (fill, pattern) in enumerate(under):
+        (singles, single), (pairs, pair) = _choices(pattern, 1), _choices(pattern, 2)
+        gap, best = capacity - fill, None
+        marks = ((one, singles, (singles + gap) << 40 | singles << 24 | k), (two, pairs, (pairs + gap) << 40 | pairs << 24 | k))
+        twins = classes[pattern] > 1  # then one of the bins can give to another
+        if twins:
+            for table, sums, mark in marks:
+                np.maximum.at(table, sums, mark)
+            widest = max(widest, (gap, k))
+        if at := int(np.searchsorted(singles, widest[0], "right")):
+            best = (int(singles[at - 1]), widest[1], (), single[at - 1])
+        # one or two pieces for one shorter, one for two that are shorter together
+        for table, back, sums, lists in ((one, 1, singles, single), (one, 1, pairs, pair), (two, 2, singles, single)):
+            reach = np.maximum.accumulate(table)[sums - 1]
+            ok = np.flatnonzero(reach >> 40 >= sums)
+            if ok.size:
+                shift = sums[ok] - (reach[ok] >> 24 & 0xFFFF)
+                j = int(shift.argmax())
+                if best is None or shift[j] > best[0]:
+                    partner = int(reach[ok[j]] & 0xFFFFFF)
+                    given, names = _choices(under[partner][1], back)
+                    best = (int(shift[j]), partner, names[int(np.searchsorted(given, reach[ok[j]] >> 24 & 0xFFFF))], lists[ok[j]])
+        if best is not None:
+            found.append((pattern, under[best[1]][1], best[2], best[3]))
+        if not twins:
+            for table, sums, mark in marks:
+                np.maximum.at(table, sums, mark)
+            widest = max(widest, (gap, k))
+    return found[::-1]
+
+
+def local_search(plan: Plan, moves: int | None = None) -> int:
+    """Improve a plan in place; returns how many exchanges were made, an exchange of equal bins counting once.
+
+    A sweep finds an exchange for each class that has one; they are made, the emptiest class first, as long as neither class
+    has changed since. It ends when a sweep finds none, or the bins are as few as the total length allows. Each exchange
+    raises the sum of squared fills, so it ends. `moves` stops it earlier."""
     total = sum(fill_of(p) * n for p, n in plan.classes.items())
-    least, made, stuck = -(-total // plan.capacity), 0, set()
-    while plan.bins > least and made < moves:
-        under = sorted((p for p in plan.classes if fill_of(p) < plan.capacity), key=lambda p: (fill_of(p), p))
-        low = next((p for p in under if p not in stuck), None)
-        if low is None:
-            break
-        for full in reversed(under):
-            alike = full == low
-            if fill_of(full) < fill_of(low) or alike and plan.classes[low] < 2:
+    least, made = -(-total // plan.capacity), 0
+    while plan.bins > least and (found := _exchanges(plan.classes, plan.capacity)):
+        before = dict(plan.classes)
+        for low, full, out, into in found:
+            if made == moves or plan.bins <= least:
+                return made
+            if any(plan.classes.get(p) != before[p] for p in (low, full)):
                 continue
-            if best := _exchange(full, low, plan.capacity - fill_of(full)):
-                _, out, into = best
-                bins = plan.classes[low] // 2 if alike else min(plan.classes[low], plan.classes[full])
-                plan.take(low, bins)
-                plan.take(full, bins)
-                plan.add(changed(low, into, out), bins)
-                plan.add(changed(full, out, into), bins)
-                made += 1
-                stuck.clear() if len(stuck) > 1000 else None
-                break
-        else:
-            stuck.add(low)
+            bins = plan.classes[low] // 2 if full == low else min(plan.classes[low], plan.classes[full])
+            plan.take(low, bins)
+            plan.take(full, bins)
+            plan.add(changed(low, into, out), bins)
+            plan.add(changed(full, out, into), bins)
+            made += 1
     return made
 
 
@@ -195,35 +216,37 @@ def intervals(plan: Plan) -> np.ndarray:
     return np.array(sorted(rows), np.int64).reshape(-1, 5)
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, length_col: str = "length", order_cols: tuple[str, ...] = ("doc_id", "piece"), search_moves: int = SEARCH_MOVES) -> DataFrame:
-    """All columns of `pieces`, which should be a written table, and sequence_id and offset of each."""
+def pack(pieces: DataFrame, capacity: int = CAPACITY, length_col: str = "length", order_cols: tuple[str, ...] = ("doc_id", "piece"), search_moves: int | None = None) -> DataFrame:
+    """All columns of `pieces`, which should be a written table, and sequence_id and offset of each; names that `pieces`
+    takes get underscores in front."""
     spark = pieces.sparkSession
     counts = {int(r[0]): int(r[1]) for r in pieces.groupBy(length_col).count().collect()}  # at most `capacity` rows
     plan = best_fit(counts, capacity)
     local_search(plan, search_moves)
     table = intervals(plan)
-    parts = spark.createDataFrame([(length, 1 + n // GROUP_ROWS) for length, n in counts.items()], "length_ long, parts_ int")
-    keys = ["length_", "part_"]
+    length, part, parts, rows, base, place, number, sequence, offset = (fresh_name(pieces, n) for n in ("length_", "part_", "parts_", "rows_", "base_", "place_", "number_", "sequence_id", "offset"))
+    split = spark.createDataFrame([(x, 1 + n // GROUP_ROWS) for x, n in counts.items()], f"`{length}` long, `{parts}` long")
+    keys = [length, part]
     parted = (
-        pieces.withColumn("length_", F.col(length_col).cast("long"))
-        .join(F.broadcast(parts), "length_")  # at most `capacity` rows
-        .withColumn("part_", F.pmod(F.xxhash64(*order_cols), F.col("parts_")).cast("int"))
-        .drop("parts_")
+        pieces.withColumn(length, F.col(length_col).cast("long"))
+        .join(F.broadcast(split), length)  # at most `capacity` rows
+        .withColumn(part, F.pmod(F.xxhash64(*order_cols), F.col(parts)).cast("int"))
+        .drop(parts)
     )
-    before = Window.partitionBy("length_").orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = parted.groupBy(*keys).agg(F.count("*").alias("n_")).select(*keys, F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("base_"))
+    before = Window.partitionBy(length).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parted.groupBy(*keys).agg(F.count("*").alias(rows)).select(*keys, F.coalesce(F.sum(rows).over(before), F.lit(0)).alias(base))
     others = [c for c in pieces.columns if c not in order_cols and dict(pieces.dtypes)[c] in ("bigint", "int", "string")]
-    numbered = parted.withColumn("place_", F.row_number().over(Window.partitionBy(*keys).orderBy(*order_cols, *others))).join(offsets, keys)
-    placed = numbered.select(*pieces.columns, "length_", (F.col("base_") + F.col("place_") - 1).alias("number_"))
-    schema = extended(pieces.schema, "sequence_id long, offset long")
+    numbered = parted.withColumn(place, F.row_number().over(Window.partitionBy(*keys).orderBy(*order_cols, *others))).join(offsets, keys)
+    placed = numbered.select(*pieces.columns, length, (F.col(base) + F.col(place) - 1).alias(number))
+    schema = extended(pieces.schema, f"`{sequence}` long, `{offset}` long")
     firsts = table[:, 0] * (1 << 44) + table[:, 1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            length, number = (batch.column(batch.num_columns - 2 + i).to_numpy() for i in (0, 1))
-            row = table[np.searchsorted(firsts, length * (1 << 44) + number, "right") - 1]
-            bins, places = np.divmod(number - row[:, 1], row[:, 2])
-            columns = [pa.array(row[:, 3] + bins), pa.array(row[:, 4] + places * length)]
+            size, at = (batch.column(batch.num_columns - 2 + i).to_numpy() for i in (0, 1))
+            row = table[np.searchsorted(firsts, size * (1 << 44) + at, "right") - 1]
+            bins, places = np.divmod(at - row[:, 1], row[:, 2])
+            columns = [pa.array(row[:, 3] + bins), pa.array(row[:, 4] + places * size)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *columns], names=schema.names)
 
     return placed.mapInArrow(run, schema)
