@@ -8,6 +8,7 @@ by the library inside their chunk, as in the whole text.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import sys
@@ -18,7 +19,12 @@ END_ID = 1
 _MARKS = ".,;:!?|#$%&*)"
 assert array("I").itemsize == 4 and sys.byteorder == "little"
 _CUT = re.compile(r"[ \t\n\r]+")
+#: What the word tokenizer's file says of normalising and cutting, on which the short way below rests.
+WORD_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+WORD_SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+WORD_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
 _tokenizers: dict[str, object] = {}
+_by_word: dict[str, bool] = {}
 _known: dict[str, dict[str, bytes]] = {}
 _tables: dict[str, dict[int, str]] = {}
 
@@ -38,6 +44,17 @@ def tokenizer(path: str):
     return _tokenizers[path]
 
 
+def by_word(path: str) -> bool:
+    """Whether a file is a word tokenizer of this kind: its texts may be encoded a white-space-separated chunk at a time."""
+    if path not in _by_word:
+        with open(path, encoding="utf-8") as f:
+            about = json.load(f)
+        cut = about.get("pre_tokenizer") or {}
+        special = all("<|" in t["content"] and not (t["lstrip"] or t["rstrip"] or t["normalized"] or t["single_word"]) and not any(map(str.isspace, t["content"])) for t in about.get("added_tokens") or [])
+        _by_word[path] = special and about.get("normalizer") == WORD_NORMALIZER and cut.get("pretokenizers") == [WORD_SPLIT, WORD_BYTES] and not about.get("truncation") and not about.get("padding")
+    return _by_word[path]
+
+
 def _parts(chunk: str) -> tuple[str, ...]:
     """Pieces of a chunk that the library encodes independently: letter case of ASCII is dropped, and marks after a
     letter at the end are words of their own for it. What may hold a special token stays as it is."""
@@ -86,7 +103,11 @@ def _chunks(text: str) -> list[str]:
 
 
 def encode(texts: list[str | None], path: str, end_id: int | None = END_ID) -> list[bytes]:
-    """For each text its ids as little-endian unsigned 32-bit integers, then the end id. Null counts as empty."""
+    """For each text its ids as little-endian unsigned 32-bit integers, then the end id. Null counts as empty. A file that is
+    no word tokenizer encodes whole texts."""
+    if not by_word(path):
+        end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
+        return [array("I", e.ids).tobytes() + end for e in tokenizer(path).encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
     known = _known.setdefault(path, {})
     if len(known) > REMEMBERED:
         known.clear()
