@@ -3,7 +3,7 @@
 Records are hashed into thousands of virtual slots that never change. Bytes and rows are aggregated per slot, and a
 versioned slot-to-shard map says which shard holds a slot. Rebalancing edits that map: slots move, or change places,
 between the fullest and the emptiest shard until no edit narrows the gap. Version 0 is the plain map, slot modulo
-shards; every later version lists all slots, so a reader needs one version only.
+shards; a later version is the one before it, loaded and edited, and lists all slots, so a reader needs one version only.
 
 Defined cases: a null text counts 8 bytes and has the checksum of the empty text; a null id hashes like any value;
 repeated rows share a slot and get places of their own; an empty table gives an empty result and an unedited map; other
@@ -17,11 +17,11 @@ import bisect
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import shared_path, written
 
 SLOTS = 8192
 RANK_GROUP_ROWS = 20_000
-MAP_SCHEMA = "version int, virtual_slot int, shard int, slot_bytes long, slot_rows long"
+MAP_SCHEMA = "virtual_slot int, shard int, slot_bytes long, slot_rows long"
 
 
 def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
@@ -92,17 +92,56 @@ def rebalance(slot_map: list[int], loads: dict[int, tuple[int, int]], shards: in
         edits += 1
 
 
-def slot_maps(spark: SparkSession, loads: dict[int, tuple[int, int]], shards: int, slots: int = SLOTS) -> DataFrame:
-    """The stored map: version 0 (plain) and version 1 (rebalanced), a row per slot and version."""
-    plain = [s % shards for s in range(slots)]
-    edited, _ = rebalance(plain, loads, shards)
-    rows = [(v, s, shard, *loads.get(s, (0, 0))) for v, m in enumerate((plain, edited)) for s, shard in enumerate(m)]
-    return written(spark.createDataFrame(rows, MAP_SCHEMA), "slot-map")
+def store_map(spark: SparkSession, path: str, version: int, slot_map: list[int], loads: dict[int, tuple[int, int]]) -> None:
+    """Write a version of the map, a row per slot. Versions are folders of `path`; one that is there is not written again."""
+    rows = [(s, shard, *loads.get(s, (0, 0))) for s, shard in enumerate(slot_map)]
+    spark.createDataFrame(rows, MAP_SCHEMA).coalesce(1).write.mode("error").parquet(f"{path}/version={version}")
 
 
-def shard(df: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
+def latest_version(spark: SparkSession, path: str) -> int | None:
+    """The newest version that was written to the end; None if there is none."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
+        return None
+    names = [s.getPath() for s in fs.listStatus(folder)]
+    done = [int(p.getName().partition("=")[2]) for p in names if p.getName().startswith("version=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return max(done, default=None)
+
+
+def load_map(spark: SparkSession, path: str, version: int) -> DataFrame:
+    """virtual_slot, shard, slot_bytes, slot_rows of a stored version."""
+    return spark.read.schema(MAP_SCHEMA).parquet(f"{path}/version={version}")
+
+
+def next_map(spark: SparkSession, path: str, loads: dict[int, tuple[int, int]], shards: int, slots: int = SLOTS) -> tuple[int, int]:
+    """Load the newest map, edit it for the loads, and store it as the next version; returns that version and the edits.
+
+    Without a stored map the plain one becomes version 0. Slots of shards that are no more, and with more shards than before
+    none at first, go to slot modulo shards; then slots move only as far as balance asks. A map that needs no edit stays."""
+    version = latest_version(spark, path)
+    if version is None:
+        version = 0
+        store_map(spark, path, 0, [s % shards for s in range(slots)], loads)
+    rows = load_map(spark, path, version).collect()  # one row a slot
+    held = {r["virtual_slot"]: r["shard"] for r in rows}
+    if len(held) != slots:
+        raise ValueError(f"the stored map has {len(held)} slots, not {slots}")
+    current = [held[s] if held[s] < shards else s % shards for s in range(slots)]
+    edited, edits = rebalance(current, loads, shards)
+    edits += sum(current[s] != held[s] for s in range(slots))
+    if edits:
+        version += 1
+        store_map(spark, path, version, edited, loads)
+    return version, edits
+
+
+def shard(df: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS, map_path: str | None = None) -> DataFrame:
     """Place every record: doc_id, size, text_crc32, law, shard, slot, grown_shard, virtual_slot, map_version.
 
+    The slot-to-shard map under `map_path` is loaded, edited for these records and stored as its next version; without a
+    path a new one starts from the plain map.
+
     `slot` is the record's place in its shard, gapless from 0. Places are counted inside small groups, a virtual slot and
     a share of its ids, and group offsets come from the groups' counts, so that no task sorts a whole shard.
     """
@@ -110,7 +149,9 @@ def shard(df: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str
     records = written(digests(df, id_col, text_col, slots), "digests")
     loads = slot_loads(records)
     split = 1 + sum(n for _, n in loads.values()) // (slots * RANK_GROUP_ROWS)
-    current = slot_maps(spark, loads, shards, slots).where("version = 1").select("virtual_slot", "shard")
+    map_path = map_path or shared_path(spark, "slot-map")
+    version, _ = next_map(spark, map_path, loads, shards, slots)
+    current = load_map(spark, map_path, version).select("virtual_slot", "shard")
     keys = ["virtual_slot", "part"]
     parted = records.withColumn("part", F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(split)).cast("int"))
     before = Window.partitionBy("shard").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
@@ -126,6 +167,6 @@ def shard(df: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str
         .select(
             "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
             (F.col("base") + F.col("place") - 1).cast("long").alias("slot"),
-            F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", F.lit(1).alias("map_version"),
+            F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", F.lit(version).alias("map_version"),
         )
     )
