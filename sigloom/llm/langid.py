@@ -39,7 +39,7 @@ _MULTIPLY = np.uint32(2654435761)
 
 
 def grams(text: str) -> np.ndarray:
-    """Hashes (22 bits) of the distinct n-grams of a text in lower case; runs of white space and digits count as one."""
+    """Hashes (22 bits) of the distinct n-grams of a text in lower case; a run of white space counts as one space."""
     raw = np.frombuffer(" ".join(text.lower().split()).encode("utf-8", "surrogatepass"), np.uint8).astype(np.uint32)
     code, out = np.zeros(len(raw), np.uint32), []
     for n in range(1, LONGEST + 1):

@@ -191,7 +191,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Fit on at most `sample` labelled rows outside the held-out fold."""
     marked = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("toxic"))
     taken = least_by_hash(marked.where(fold("id", folds) != held_out), ["id"], sample)
-    rows = written(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(taken), "id").select("id", "text", "toxic"), "toxicity-sample")  # at most `sample` rows
+    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(taken), "id")
+    # of rows that repeat an id the text of the least checksum stays, so there are at most `sample` rows
+    least = F.min_by(F.struct("text", "toxic"), F.struct(F.crc32(F.coalesce("text", F.lit("")).cast("binary")), F.length("text"), "text")).alias("row")
+    rows = written(found.groupBy("id").agg(least).select("id", "row.text", "row.toxic"), "toxicity-sample")
     lexicon = learn_lexicon(rows)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
