@@ -1,6 +1,8 @@
 import collections
+import gzip
 import hashlib
 import itertools
+import json
 import math
 import random
 import re
@@ -51,6 +53,28 @@ def test_shards_are_even_gapless_and_stable(spark):
     assert all(r["size"] == len(by_id[r["doc_id"]]) + 8 and r["text_crc32"] == zlib.crc32(by_id[r["doc_id"]].encode()) for r in got)
 
 
+def test_slot_maps_are_loaded_edited_and_kept(spark, tmp_path):
+    rng, path = random.Random(8), f"file://{tmp_path}/map"
+    rows = [(i, "x" * rng.randrange(3000)) for i in range(4000)]
+    first = sharding.shard(frame(spark, rows), 6, map_path=path).collect()
+    assert sharding.latest_version(spark, path) == 1 and {r["map_version"] for r in first} == {1}
+    assert sharding.shard(frame(spark, rows), 6, map_path=path).where("map_version <> 1").count() == 0  # balanced: no new version
+    grown = [*rows, *((10_000 + i, "y" * 2000) for i in range(150))]
+    second = sharding.shard(frame(spark, grown), 6, map_path=path).collect()
+    old, new = ({r["virtual_slot"]: r["shard"] for r in sharding.load_map(spark, path, v).collect()} for v in (1, 2))
+    moved = sum(old[s] != new[s] for s in old)
+    assert {r["map_version"] for r in second} == {2} and 0 < moved < 0.02 * sharding.SLOTS and len(new) == sharding.SLOTS
+    loads = collections.Counter()
+    for r in second:
+        loads[r["shard"]] += r["size"]
+        assert r["shard"] == new[r["virtual_slot"]]
+    assert max(loads.values()) < 1.002 * min(loads.values())
+    third = sharding.shard(frame(spark, grown), 7, map_path=path).collect()
+    assert {r["shard"] for r in third} == set(range(7)) and sharding.latest_version(spark, path) == 3
+    with pytest.raises(ValueError):
+        sharding.next_map(spark, path, {}, 7, slots=16)
+
+
 def test_sharding_edge_cases(spark):
     got = sharding.shard(frame(spark, ODD), 4).collect()
     assert len(got) == len(ODD) and {(r["size"], r["text_crc32"]) for r in got if r["doc_id"] in (1, 2, 9)} == {(8, 0)}
@@ -172,6 +196,50 @@ def test_local_search_exchanges_help():
         packing.best_fit({11: 1}, 10)
 
 
+def test_local_search_ends_only_when_no_exchange_helps():
+    """Brute force over all pairs of bins finds none left; long pieces make the search move thousands of them."""
+    rng = np.random.default_rng(3)
+    counts = collections.Counter(rng.integers(24, 70, 3000).tolist())
+    plan = packing.best_fit(counts, 100)
+    squares = lambda: sum(packing.fill_of(p) ** 2 * n for p, n in plan.classes.items())
+    before, bins = squares(), plan.bins
+    made = packing.local_search(plan)
+    used = collections.Counter()
+    for pattern, n in plan.classes.items():
+        used.update({length: k * n for length, k in pattern})
+    assert made > 20 and squares() > before and plan.bins <= bins and used == counts
+    if plan.bins > -(-sum(k * n for k, n in counts.items()) // 100):
+        for full, low in itertools.product(plan.classes, repeat=2):
+            fill, gap = packing.fill_of(full), 100 - packing.fill_of(full)
+            if fill < packing.fill_of(low) or full == low and plan.classes[low] < 2:
+                continue
+            ones, twos = ([sum(c) for c in set(itertools.combinations([x for x, n in low for _ in range(min(n, 2))], k))] for k in (1, 2))
+            back, pair = ([sum(c) for c in set(itertools.combinations([x for x, n in full for _ in range(min(n, 2))], k))] for k in (1, 2))
+            shifts = [t for t in ones] + [t - g for t in ones + twos for g in back] + [t - g for t in ones for g in pair]
+            assert not any(0 < x <= gap for x in shifts)
+
+
+def test_packing_columns_that_clash(spark):
+    pieces = spark.createDataFrame([(k, 0, 10 + k, "x") for k in range(8)], "doc_id long, piece int, length long, sequence_id string").withColumns({n: F.lit(7) for n in ("length_", "part_", "parts_", "rows_", "base_", "place_", "number_", "offset")})
+    got = packing.pack(pieces, 40)
+    assert got.columns == [*pieces.columns, "_sequence_id", "_offset"]
+    rows = got.collect()
+    assert sorted(r["doc_id"] for r in rows) == list(range(8)) and all(r["sequence_id"] == "x" and r["offset"] == 7 for r in rows)
+
+
+def test_other_tokenizers_encode_whole_texts():
+    import os
+
+    folder = os.path.dirname(tokens.default_path())
+    assert tokens.by_word(tokens.default_path())
+    for name in ("byte_bpe_50k.json",):
+        path = os.path.join(folder, name)
+        assert not tokens.by_word(path)
+        texts = ["two  spaces\nand a line", None, "Ünï 12"]
+        want = [np.array(tokens.tokenizer(path).encode(t or "", add_special_tokens=False).ids + [1], "<u4").tobytes() for t in texts]
+        assert tokens.encode(texts, path) == want
+
+
 def test_packed_documents(spark):
     rng = random.Random(4)
     rows = ODD + [(100 + k, prose(rng, rng.randrange(300))) for k in range(200)]
@@ -480,6 +548,11 @@ def test_arc_versions_plain_and_cut_off():
         records = list(warc.arc_records(data))
         assert [r[1]["URL"] for r in records[1:]] == ["http://a/b c", "u"] and warc.split_http(records[1][2]) == (b"HTTP/1.0 200\r\n\r\n", b"hi")
         assert len(list(warc.arc_records(data[:-5]))) == 2
+        whole = [data, gzip.compress(data), b"".join(gzip.compress(d) for d in (data[:-60], data[-60:]))[: len(gzip.compress(data[:-60]))], gzip.compress(data)[:-9]]
+        assert [r[1]["URL"] for r in warc.arc_records(whole[1])] == [r[1]["URL"] for r in records]
+        assert 1 <= len(list(warc.arc_records(whole[3]))) <= 3 and list(warc.arc_records(gzip.compress(data)[:40]))[3:] == []
+        parts = gzip.compress(warc.arc_version_block(version, "20010101000000", "f")) + gzip.compress(data[len(warc.arc_version_block(version, "20010101000000", "f")) :])
+        assert len(list(warc.arc_records(parts))) == 3
     assert warc.warc_date("20010203") == "2001-02-03T00:00:00Z" and warc.warc_date("") == "0001-01-01T00:00:00Z"
 
 
@@ -503,6 +576,41 @@ def test_wrappers_extract_main_text(spark):
     assert html_wrapper.extract(pages.where("false")).count() == 0
 
 
+def test_texts_have_the_place_of_their_slots():
+    """Where a page follows its wrapper, the slots decide, whatever its own elements say."""
+    page = "<div><p>%s</p></div><div><p>%s</p></div>"
+    wrapper = html_wrapper.infer([page % ("a b", "c d"), page % ("e f", "g h")])
+
+    def marked(nodes, places):
+        return [["S", None, places.pop(0)] if n[0] == "S" else n if n[0] == "T" else [*n[:2], marked(n[2], places)] for n in nodes]
+
+    assert html_wrapper.main_text(page % ("one", "two"), wrapper) == "one\ntwo"
+    slots = json.dumps(wrapper).count('"S"')
+    assert html_wrapper.main_text(page % ("one", "two"), marked(wrapper, [""] * slots)) == ""
+    assert html_wrapper.main_text(page % ("one", "two") + "<p>beyond</p>", marked(wrapper, [""] * slots)) == "beyond"
+
+
+def test_names_in_class_and_id():
+    text = "<body><article><div class='%s'>inner</div><p>rest</p></article></body>"
+    for name in ("market-share", "side-note", "header-image alt", "noticeable", "shareholder", "banner_ship", "adele"):
+        assert html_wrapper.main_text(text % name, []) == "inner\nrest"
+    for name in ("ad", "ad-slot-3", "cookie_banner", "share-buttons", "sidebar", "site-header", "x notice", "comments-list", "related-posts"):
+        assert html_wrapper.main_text(text % name, []) == "rest"
+
+
+def test_deep_markup_and_hosts_without_main_elements(spark):
+    deep = "<div><section>" * 5000 + "deep text" + "</section></div>" * 5000
+    assert html_wrapper.main_text(deep, html_wrapper.infer([deep, deep])) == "deep text"
+    rng, rows, want = random.Random(13), [], {}
+    for k in range(40):
+        parts = [prose(rng, rng.randrange(3, 20)) for _ in range(rng.randrange(1, 5))]
+        rows.append((k, f"http://h{k % 2}.org/{k}", f"<body><div class=top>Our site</div><div id=menu><a href=/>x</a> <a href=/y>y{k}</a></div><div class=c>" + "".join(f"<p class='share-price'>{p}</p>" for p in parts) + "</div><section>All rights reserved</section></body>"))
+        want[k] = "\n".join(parts)
+    rows.append((99, "http://h9.org", deep))
+    got = html_wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r["page_id"]: r["text"] for r in got} == want | {99: "deep text"}
+
+
 def test_wrapper_generalises():
     pages = [f"<div><h1>{k}</h1><ul>{'<li>a</li>' * n}</ul>{'<p>x</p>' if k % 2 else ''}</div>" for k, n in enumerate((1, 3, 2))]
     wrapper = html_wrapper.infer(pages)
