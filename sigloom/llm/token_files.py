@@ -3,9 +3,10 @@
 Documents go in ascending id order through range partitions; each partition's token ids are cut into blocks of about
 `BLOCK_IDS` ids. In a block, frequent pairs of neighbouring symbols are replaced by new symbols (nonterminals), again
 and again, as long as a pair occurs `MIN_COUNT` times. A round replaces many pairs at once: all that occur at least a
-`SPREAD`-th as often as the most frequent one, the more frequent of two overlapping pairs first. A block stores the
-rules, their expansion lengths and the remaining symbols, so that any range of ids can be decoded from the symbols that
-cover it.
+`SPREAD`-th as often as the most frequent one, the more frequent of two overlapping pairs first. A pair that was rare stays
+rare, so a round looks only at places whose pair was frequent before or holds a symbol of the last round. A block stores
+the rules, their expansion lengths and the remaining symbols, so that any range of ids can be decoded from the symbols
+that cover it.
 
 File layout, little-endian. A file is a run of blocks. A block: magic RPB1, seven u64 (documents, ids, symbols, rules,
 first nonterminal, bytes a symbol, rounds), then u64 rules before each round, i64 document ids, u8 document id present,
@@ -36,68 +37,119 @@ from .common import shared_path, written
 
 BLOCK_IDS = 1 << 20
 MIN_COUNT = 8
-SPREAD = 8
+SPREAD = 64
 _MAGIC = b"RPB1"
 _HEAD = struct.Struct("<4s7Q")
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+SLOT_BITS = 20
 
 
-def _pairs(seq: np.ndarray) -> np.ndarray:
-    return (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
+def _slots(left: np.ndarray, right: np.ndarray, turn: int) -> np.ndarray:
+    """A hash of 32 bits for each pair of symbols; its first bits are a slot. Others each turn."""
+    h = left * np.uint32((0x9E3779B1 + 2 * turn) & 0xFFFFFFFF)
+    h += right
+    h ^= h >> np.uint32(15)
+    h *= np.uint32(0x85EBCA77)
+    return h
+
+
+def _bits(n: int) -> int:
+    """Bits of a table for n pairs, several slots for each."""
+    return min(SLOT_BITS, max(8, int(n).bit_length() + 2))
+
+
+def _apart(at: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray | None:
+    """False for every second of overlapping occurrences of a pair of equal symbols; None if there are none."""
+    same = np.flatnonzero(left == right)
+    follows = same[1:][(np.diff(same) == 1) & (np.diff(at[same]) == 1)]
+    if not follows.size:
+        return None
+    run = np.zeros(len(at), bool)
+    run[follows] = True
+    k = np.arange(len(at))
+    return (k - np.maximum.accumulate(np.where(run, 0, k))) % 2 == 0
+
+
+def _frequent(pairs: np.ndarray, min_count: int) -> np.ndarray:
+    """The pairs that a round replaces, the most frequent first."""
+    ordered = np.sort(pairs)
+    edge = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+    counts = np.diff(np.append(edge, len(ordered)))
+    often = np.flatnonzero(counts >= max(min_count, int(counts.max()) // SPREAD))
+    return ordered[edge[often[np.argsort(-counts[often], kind="stable")]]]
 
 
 def repair(ids: np.ndarray, first: int, min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray, list[int]]:
     """Symbols, rules (rows left, right; rule k is symbol first + k), and the number of rules before each round."""
-    seq, rules, starts, n_rules = ids.astype(np.uint32), [], [], 0
-    while len(seq) > 1:
-        pairs = _pairs(seq)
-        begins = np.concatenate(([True], pairs[1:] != pairs[:-1]))
-        apart = (np.arange(len(pairs)) - np.flatnonzero(begins)[np.cumsum(begins) - 1]) % 2 == 0  # a pair of equal symbols overlaps itself
-        ordered = np.sort(pairs[apart])
-        edge = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-        counts = np.diff(np.append(edge, len(ordered)))
-        often = np.flatnonzero(counts >= max(min_count, int(counts.max()) // SPREAD))
-        if not often.size:
+    seq, rules, starts, n_rules = ids.astype(np.uint32), [np.zeros((0, 2), np.uint32)], [], 0
+    at = np.arange(max(0, len(seq) - 1))  # places whose pair may be frequent
+    while at.size:
+        left, right = (seq[:-1], seq[1:]) if len(at) == len(seq) - 1 else (seq[at], seq[at + 1])
+        h = _slots(left, right, n_rules)
+        slot = h >> np.uint32(32 - _bits(at.size))
+        often = np.flatnonzero((np.bincount(slot) >= min_count)[slot])
+        at, left, right, h = at[often], left[often], right[often], h[often]
+        if not at.size:
             break
-        often = often[np.argsort(-counts[often], kind="stable")][: 1 << 14]
-        wanted = ordered[edge[often]]
-        slot = ((wanted * _MIX) >> np.uint64(46)).astype(np.int64)  # one pair a slot: the most frequent
-        keep = np.sort(np.unique(slot, return_index=True)[1])
-        wanted, slot = wanted[keep], slot[keep]
-        key, rank = np.zeros(1 << 18, np.uint64), np.zeros(1 << 18, np.int32)
-        key[slot], rank[slot] = wanted, np.arange(len(wanted), 0, -1)
-        at = ((pairs * _MIX) >> np.uint64(46)).astype(np.int64)
-        prior = np.where(key[at] == pairs, rank[at], 0)
-        chosen = (prior > 0) & apart
-        chosen[1:] &= prior[1:] >= prior[:-1]
-        chosen[:-1] &= prior[:-1] >= prior[1:]
-        where = np.flatnonzero(chosen)
-        used = np.bincount(len(wanted) - prior[where], minlength=len(wanted)) >= min_count
-        number = np.cumsum(used) - 1
-        where = where[used[len(wanted) - prior[where]]]
-        seq = seq.copy()
-        seq[where] = first + n_rules + number[len(wanted) - prior[where]]
-        stays = np.ones(len(seq), bool)
+        apart = _apart(at, left, right)
+        pairs = (left.astype(np.uint64) << np.uint64(32)) | right
+        wanted = _frequent(pairs if apart is None else pairs[apart], min_count)
+        if not wanted.size:
+            break
+        bits = _bits(len(wanted))
+        own = _slots((wanted >> np.uint64(32)).astype(np.uint32), wanted.astype(np.uint32), n_rules) >> np.uint32(32 - bits)
+        keep = np.sort(np.unique(own, return_index=True)[1])  # one pair a slot: the most frequent
+        wanted, own = wanted[keep], own[keep]
+        key, rank = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32)
+        key[own], rank[own] = wanted, np.arange(len(wanted), 0, -1)
+        slot = h >> np.uint32(32 - bits)
+        prior = rank[slot]
+        prior[key[slot] != pairs] = 0
+        chosen = prior > 0 if apart is None else (prior > 0) & apart
+        beside = at[1:] == at[:-1] + 1
+        chosen[1:] &= ~beside | (prior[1:] >= prior[:-1])
+        chosen[:-1] &= ~beside | (prior[:-1] >= prior[1:])
+        which = len(wanted) - prior[chosen]
+        used = np.bincount(which, minlength=len(wanted)) >= min_count
+        kept = used[which]
+        where = at[chosen][kept]
+        seq[where] = (first + n_rules - 1 + np.cumsum(used)).astype(np.uint32)[which[kept]]
+        stays, alive = np.ones(len(seq), bool), np.zeros(len(seq), bool)
         stays[where + 1] = False
-        seq = seq[stays]
+        alive[at] = alive[where] = True
+        before = where[where > 0] - 1
+        alive[np.where(stays[before], before, before - 1)] = True  # the symbol before may itself be new
+        seq, alive = seq[stays], alive[stays]
+        at = np.flatnonzero(alive[:-1])
         starts.append(n_rules)
         rules.append(np.stack((wanted[used] >> np.uint64(32), wanted[used] & np.uint64(0xFFFFFFFF)), 1).astype(np.uint32))
         n_rules += int(used.sum())
-    return seq, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32), starts
+    return seq, np.concatenate(rules), starts
+
+
+class Expansions:
+    """What each symbol stands for: a table of ids, and where in it and how long."""
+
+    def __init__(self, rules: np.ndarray, starts: list[int], first: int):
+        self.at, self.size = np.arange(first + len(rules)), np.ones(first + len(rules), np.int64)
+        self.table = np.arange(first, dtype=np.uint32)
+        for start, stop in zip(starts, [*starts[1:], len(rules)][: len(starts)], strict=True):
+            both = rules[start:stop].reshape(-1)  # a round's rules use symbols of earlier rounds only
+            size, ids = self.size[both].reshape(-1, 2).sum(1), self.ids(both)
+            self.size[first + start : first + stop] = size
+            self.at[first + start : first + stop] = len(self.table) + np.cumsum(size) - size
+            self.table = np.concatenate((self.table, ids))
+
+    def ids(self, symbols: np.ndarray) -> np.ndarray:
+        size = self.size[symbols]
+        ends = np.cumsum(size)
+        place = np.repeat(self.at[symbols] - (ends - size), size)
+        place += np.arange(len(place))
+        return self.table[place]
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, starts: list[int], first: int) -> np.ndarray:
-    """The ids that symbols stand for; a round's rules use symbols of earlier rounds only."""
-    seq = symbols.astype(np.uint32)
-    for start, stop in reversed(list(zip(starts, [*starts[1:], len(rules)][: len(starts)], strict=True))):
-        mask = (seq >= first + start) & (seq < first + stop)
-        size = 1 + mask.astype(np.int64)
-        out = np.repeat(seq, size)
-        at = (np.cumsum(size) - size)[mask]
-        rule = rules[seq[mask].astype(np.int64) - first]
-        out[at], out[at + 1] = rule[:, 0], rule[:, 1]
-        seq = out
-    return seq
+    """The ids that symbols stand for."""
+    return Expansions(rules, starts, first).ids(symbols)
 
 
 def expansion_lengths(rules: np.ndarray, starts: list[int], first: int) -> np.ndarray:
@@ -145,9 +197,15 @@ class Block:
         if zlib.crc32(memoryview(data)[at : self.end]) != int(take("<u4", 1)[0]):
             raise ValueError("a block of a token file is damaged")
         self._ends: np.ndarray | None = None
+        self._expansions: Expansions | None = None
+
+    def _expand(self, symbols: np.ndarray) -> np.ndarray:
+        if self._expansions is None:
+            self._expansions = Expansions(self.rules, self.starts, self.first)
+        return self._expansions.ids(symbols)
 
     def all_ids(self) -> np.ndarray:
-        return expand(self.symbols, self.rules, self.starts, self.first)
+        return self._expand(self.symbols)
 
     def ids(self, start: int, stop: int) -> np.ndarray:
         """The block's ids from start up to stop; only the symbols that cover them are expanded."""
@@ -157,15 +215,14 @@ class Block:
             self._ends = np.cumsum(padded[np.where(rule >= 0, rule, len(self.lengths))])
         a, b = np.searchsorted(self._ends, start, "right"), np.searchsorted(self._ends, stop, "left") + 1
         before = int(self._ends[a - 1]) if a else 0
-        return expand(self.symbols[a:b], self.rules, self.starts, self.first)[start - before : stop - before]
+        return self._expand(self.symbols[a:b])[start - before : stop - before]
 
 
-def blocks_of(data: bytes) -> Iterator[Block]:
-    at = 0
-    while at < len(data):
-        block = Block(data, at)
-        yield block
-        at = block.end
+def blocks_of(f) -> Iterator[Block]:
+    """The blocks of an open file, one in memory at a time."""
+    while head := f.read(_HEAD.size):
+        _, docs, _, n_symbols, n_rules, _, width, rounds = _HEAD.unpack(head)
+        yield Block(head + f.read(8 * rounds + 17 * docs + 12 * n_rules + width * n_symbols + 4))
 
 
 def write_files(docs: DataFrame, tokenizer_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", block_ids: int = BLOCK_IDS) -> DataFrame:
@@ -226,13 +283,12 @@ def read_files(files: DataFrame) -> DataFrame:
             for path, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 store, inner = fs.FileSystem.from_uri(path)
                 with store.open_input_stream(inner) as f:
-                    data = f.read()
-                for block in blocks_of(data):
-                    raw, ends = block.all_ids().astype("<u4").tobytes(), np.cumsum(block.n_tokens)
-                    begins = ends - block.n_tokens
-                    parts = [raw[4 * a : 4 * b] for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
-                    for at in range(0, len(parts), 2000):
-                        yield pa.RecordBatch.from_pydict({"doc_id": pa.array(block.doc_ids[at : at + 2000], pa.int64()), "start": pa.array(start + begins[at : at + 2000]), "ids": pa.array(parts[at : at + 2000], pa.binary())})
-                    start += block.n_ids
+                    for block in blocks_of(f):
+                        raw, ends = block.all_ids().astype("<u4").tobytes(), np.cumsum(block.n_tokens)
+                        begins = ends - block.n_tokens
+                        parts = [raw[4 * a : 4 * b] for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
+                        for at in range(0, len(parts), 2000):
+                            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(block.doc_ids[at : at + 2000], pa.int64()), "start": pa.array(start + begins[at : at + 2000]), "ids": pa.array(parts[at : at + 2000], pa.binary())})
+                        start += block.n_ids
 
     return listed.repartition(tasks).mapInArrow(run, "doc_id long, start long, ids binary")
