@@ -179,9 +179,10 @@ def identify(docs: DataFrame, model: Model, keep: list[str], text_col: str = "te
     return docs.select(*keep, F.col(text_col).cast("string").alias(fresh_name(kept, "text_"))).mapInArrow(run, schema)
 
 
-def keep_known(docs: DataFrame, model: Model, languages: list[str] | None = None, **columns: str) -> DataFrame:
-    """The documents in a known language (or one of `languages`), with all their columns. Texts without a letter go."""
+def keep_known(docs: DataFrame, model: Model, languages: list[str] | None = None, least_score: float = 0.0, **columns: str) -> DataFrame:
+    """The documents in a known language (or one of `languages`) told with at least `least_score`, with all their columns.
+    Texts without a letter go."""
     found = identify(docs, model, docs.columns, **columns)
-    name = fresh_name(docs, "lang_pred")
+    name, score = (fresh_name(docs, n) for n in ("lang_pred", "score"))
     wanted = F.col(name).isin(*languages) if languages else F.col(name) != UNKNOWN
-    return found.where(wanted).select(*docs.columns)
+    return found.where(wanted & (F.col(score) >= least_score)).select(*docs.columns)

@@ -45,6 +45,19 @@ def test_remaining_queries_cover_all_rows(spark, sf_dir, docs):
     assert QUERIES["op8_wrappers"](spark, sf_dir).count() == spark.read.parquet(f"{sf_dir}/pages.parquet").count()
 
 
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    """An empty table; null ids and texts, repeated rows and columns with clashing names through all stages."""
+    labels, bench = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int"), spark.createDataFrame([("a", "b " * 12)], "item_id string, text string")
+    for k, rows in enumerate(([], [(None, None), (1, None), (2, ""), (3, "some plain words that nobody minds at all"), (3, "some plain words that nobody minds at all"), (None, "no id here but words")])):
+        d = f"{tmp_path}/{k}"
+        docs = spark.createDataFrame([(i, t, "en", "s", 1, "a", "b", "c") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, score string, node string, lang_pred string")
+        docs.write.parquet(f"{d}/documents.parquet")
+        labels.write.parquet(f"{d}/labels.parquet")
+        bench.write.parquet(f"{d}/benchmark.parquet")
+        got = corpus_pipeline.run(spark, d).collect()
+        assert len(got) <= len(rows) and {r["doc_id"] for r in got} <= {i for i, _ in rows}
+
+
 def test_pipeline_stages_decide_as_their_operators(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     ids = lambda df: {r["doc_id"] for r in df.select("doc_id").collect()}
@@ -54,7 +67,11 @@ def test_pipeline_stages_decide_as_their_operators(spark, sf_dir):
     rows = docs.collect()
     assert ids(kept) == {r["doc_id"] for r, s in zip(rows, model.score([r["text"] for r in rows]), strict=True) if s < 0.5} and kept.columns == docs.columns
     kept = stages["language"](spark, docs, sf_dir)
-    assert ids(kept) == {r["doc_id"] for r in rows if langid.has_letter(r["text"])} and kept.columns == docs.columns
+    told = langid.identify(docs, langid.fit(docs), ["doc_id", "text"]).collect()
+    want = {r["doc_id"] for r in told if langid.has_letter(r["text"]) and r["score"] >= 0.5}
+    assert ids(kept) == want and kept.columns == docs.columns and len(want) > 0.98 * len(rows)
+    junk = spark.createDataFrame([(1, "123 456 !!!"), (2, "x"), (3, "qzx jkv wqp zzk xvq jjw kqz")], "doc_id long, text string").join(docs.drop("doc_id", "text").limit(1))
+    assert 1 not in ids(stages["language"](spark, docs.unionByName(junk.select(*docs.columns)).where("doc_id is not null"), sf_dir).where("text like '123 456%'"))
     kept = stages["near_duplicates"](spark, docs, sf_dir)
     assert ids(kept) == {r["class_id"] for r in near_dup.near_duplicates(docs).collect()} and kept.columns == docs.columns
     kept = stages["decontamination"](spark, docs, sf_dir)
