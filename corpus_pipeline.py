@@ -9,7 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sigloom.llm import decontaminate, langid, near_dup, packing, toxicity
-from sigloom.llm.common import read_table, written
+from sigloom.llm.common import discard, read_table, written
+
+
+#: A language that is told with less is not told.
+LEAST_LANGUAGE_SCORE = 0.5
 
 
 def harmless(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,8 +22,8 @@ def harmless(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents whose text has no letter, so no language."""
-    return langid.keep_known(docs, langid.fit(docs))
+    """Without the documents whose text has no letter, or in which no language outweighs all others together."""
+    return langid.keep_known(docs, langid.fit(docs), least_score=LEAST_LANGUAGE_SCORE)
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +54,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    docs, before = read_table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        discard(*before)
+        before = [docs]
     return docs
