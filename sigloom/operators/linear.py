@@ -8,8 +8,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from sigloom.functions.scalar import is_finite
+
 
 def gauss(a: np.ndarray, b: np.ndarray) -> np.ndarray | None:
     """Elimination with partial pivoting; least squares if not square; None if singular or not finite."""
@@ -35,60 +38,68 @@ def gauss(a: np.ndarray, b: np.ndarray) -> np.ndarray | None:
     return x
 
 
-def relaxed(a: np.ndarray, b: np.ndarray, iterations: int = 100, refinements: int = 2) -> np.ndarray | None:
-    """Simultaneous relaxation along gradients, one step factor for all coordinates: it halves when a coordinate's gradient
-    turns and grows by a tenth when it does not. The remaining error is solved for again `refinements` times."""
+def conjugate_gradients(a: np.ndarray, b: np.ndarray, tolerance: float = 1e-13, restarts: int = 3) -> np.ndarray | None:
+    """Least squares by conjugate gradients on the normal equations (Hestenes and Stiefel), columns scaled to unit length.
+
+    Directions are built from A'r, so A'A is never formed. After as many steps as there are columns, or once A'r is
+    `tolerance` of its start, it starts anew from the true residual, which takes back what rounding lost. Columns of zeros
+    get 0; None if something is not finite."""
     if not (np.isfinite(a).all() and np.isfinite(b).all()):
         return None
-    scale = (a * a).sum(0)
-    positive = scale[scale > 1e-30]
-    spread = scale.max(initial=0.0) / positive.min() if positive.size else 1e15
-    if spread > 1e6:
-        scale = scale + max(1e-6 * scale.max(), 1e-12)
-    x, last, omega = np.zeros(a.shape[1]), np.zeros(a.shape[1]), 1.0
-    for k in range(iterations):
-        r = a @ x - b
-        if r @ r < 1e-30:
-            break
-        g = a.T @ r
-        step = np.zeros_like(x)
-        for i in range(len(x)):
-            if k:
-                omega = max(omega * 0.5, 0.01) if g[i] * last[i] < 0 else min(omega * 1.1, 1.9)
-            step[i] = omega * g[i] / (scale[i] if abs(scale[i]) > 1e-28 else scale[i] + 1e-6 * abs(g[i]) + 1e-300)
-        last, x = g, x - step
-    if not np.isfinite(x).all():
-        return None
-    for _ in range(refinements):
-        r = b - a @ x
-        if r @ r < 1e-30 or (more := relaxed(a, r, 20, 0)) is None:
-            break
-        x = x + more
+    size = np.sqrt((a * a).sum(0))
+    unit = a / np.where(size > 0, size, 1.0)
+    x, goal = np.zeros(a.shape[1]), tolerance * np.linalg.norm(unit.T @ b)
+    for _ in range(1 + restarts):
+        left = b - unit @ x
+        slope = unit.T @ left
+        direction, power = slope, slope @ slope
+        for _ in range(2 * len(x)):
+            if power <= goal * goal:
+                break
+            image = unit @ direction
+            length = power / (image @ image)
+            x = x + length * direction
+            left = left - length * image
+            slope = unit.T @ left
+            power, before = slope @ slope, power
+            direction = slope + power / before * direction
+    x = x / np.where(size > 0, size, 1.0)
     return x if np.isfinite(x).all() else None
 
 
 def solve(systems: DataFrame, keys: list[str], method: Callable[[np.ndarray, np.ndarray], np.ndarray | None] = gauss) -> DataFrame:
     """keys, x (null where there is no solution), residual: the norm of a x - b."""
-    schema = StructType([*systems.select(*keys).schema.fields, *StructType.fromDDL("x array<double>, residual double").fields])
-    width = len(keys)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            xs, rs = [], []
-            for a, b in zip(batch.column(width).to_pylist(), batch.column(width + 1).to_pylist(), strict=True):
-                a, b = np.array(a, dtype=float), np.array(b, dtype=float)
-                x = method(a, b)
-                xs.append(None if x is None else x.tolist())
-                rs.append(None if x is None else float(np.linalg.norm(a @ x - b)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(xs, pa.list_(pa.float64())), pa.array(rs, pa.float64())], names=schema.names)
+    def one(a: np.ndarray, b: np.ndarray) -> tuple:
+        x = method(a, b)
+        return (None, None) if x is None else (x.tolist(), float(np.linalg.norm(a @ x - b)))
 
-    return systems.select(*keys, "a", "b").mapInArrow(run, schema)
+    return per_matrix(systems, keys, "x array<double>, residual double", one)
 
 
 def condition_number(a: np.ndarray) -> float:
     return float(np.linalg.cond(a))
 
 
+def power_norm(a: np.ndarray, rounds: int = 200, tolerance: float = 1e-13) -> float:
+    """The greatest singular value, by power iteration with x -> A'(A x), normalised each round."""
+    x = normalised(np.ones(a.shape[1]) + np.arange(a.shape[1]) / (1 + a.shape[1]))
+    value = 0.0
+    for _ in range(rounds):
+        y = a.T @ (a @ x)
+        before, value = value, float(np.linalg.norm(y))
+        if value == 0 or abs(value - before) <= tolerance * value:
+            break
+        x = y / value
+    return float(np.sqrt(value))
+
+
+def normalised(x: np.ndarray) -> np.ndarray:
+    """x over its length; as it is if that vanishes or is not finite."""
+    size = float(np.linalg.norm(x))
+    return x / size if size > 1e-30 and np.isfinite(size) else x
+
+
 def ridge(a: np.ndarray, b: np.ndarray, weight: float) -> np.ndarray:
     return np.linalg.solve(a.T @ a + weight * np.eye(a.shape[1]), a.T @ b)
 
@@ -99,6 +110,100 @@ def row_scaled(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a / s[:, None], b / s
 
 
+def transposed_and_scaled(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The transpose of the row-scaled matrix, and the squared length of each of its columns."""
+    t = (a / (np.diag(a) + 1e-28)[:, None]).T
+    return t, (t * t).sum(1)
+
+
+def jacobi_svd(a: np.ndarray, sweeps: int = 30, tolerance: float = 1e-14) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """U, singular values (falling) and V' by one-sided Jacobi rotations: pairs of columns are turned until orthogonal."""
+    u, v = np.array(a, dtype=float), np.eye(a.shape[1])
+    for _ in range(sweeps):
+        turned = False
+        for p in range(u.shape[1] - 1):
+            for q in range(p + 1, u.shape[1]):
+                x, y, z = u[:, p] @ u[:, p], u[:, q] @ u[:, q], u[:, p] @ u[:, q]
+                if abs(z) <= tolerance * np.sqrt(x * y) or x * y == 0:
+                    continue
+                turned = True
+                angle = 0.5 * np.arctan2(2 * z, x - y)
+                turn = np.array([[np.cos(angle), -np.sin(angle)], [np.sin(angle), np.cos(angle)]])
+                u[:, [p, q]] = u[:, [p, q]] @ turn
+                v[:, [p, q]] = v[:, [p, q]] @ turn
+        if not turned:
+            break
+    size = np.linalg.norm(u, axis=0)
+    order = np.argsort(-size, kind="stable")
+    size, u, v = size[order], u[:, order], v[:, order]
+    return u / np.where(size > 0, size, 1.0), size, v.T
+
+
+def householder_qr(a: np.ndarray, block: int = 32) -> tuple[np.ndarray, np.ndarray]:
+    """Q and R by Householder reflections, gathered by blocks of columns as I - V T V'; R's diagonal is not negative."""
+    r = np.array(a, dtype=float)
+    m, n = r.shape
+    q = np.eye(m)
+    for start in range(0, min(m, n), block):
+        stop = min(start + block, m, n)
+        v, t = np.zeros((m, stop - start)), np.zeros((stop - start, stop - start))
+        for k in range(start, stop):
+            x = r[k:, k].copy()
+            x[0] += np.copysign(np.linalg.norm(x), x[0])
+            size = float(x @ x)
+            beta = 2 / size if size > 0 else 0.0
+            r[k:, k:stop] -= beta * np.outer(x, x @ r[k:, k:stop])
+            j = k - start
+            v[k:, j] = x
+            t[:j, j] = -beta * t[:j, :j] @ (v[:, :j].T @ v[:, j])
+            t[j, j] = beta
+        r[:, stop:] -= v @ (t.T @ (v.T @ r[:, stop:]))
+        q -= (q @ v) @ t @ v.T
+    sign = np.where(np.diag(r)[: min(m, n)] < 0, -1.0, 1.0)
+    return q[:, : min(m, n)] * sign, np.triu(r[: min(m, n)]) * sign[:, None]
+
+
+def per_matrix(systems: DataFrame, keys: list[str], ddl: str, f: Callable[[np.ndarray, np.ndarray], tuple]) -> DataFrame:
+    """keys and what `f` gives for each system's a and b, a row a system."""
+    schema = StructType([*systems.select(*keys).schema.fields, *StructType.fromDDL(ddl).fields])
+    arrow, width = to_arrow_schema(schema), len(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [f(np.array(a, dtype=float), np.array(b, dtype=float)) for a, b in zip(batch.column(width).to_pylist(), batch.column(width + 1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:width], *(pa.array([x[k] for x in found], arrow[width + k].type) for k in range(len(arrow) - width))], schema=arrow)
+
+    return systems.select(*keys, "a", "b").mapInArrow(run, schema)
+
+
+def matvec(entries: DataFrame, x: DataFrame) -> DataFrame:
+    """row, y of a matrix (row, col, v) times a vector (col, x); entries that are missing count as zero."""
+    return entries.join(x, "col").groupBy("row").agg(F.sum(F.col("v") * F.col("x")).alias("y"))
+
+
+def transposed_matvec(entries: DataFrame, y: DataFrame) -> DataFrame:
+    """col, x of the transposed matrix times a vector (row, y)."""
+    return entries.join(y, "row").groupBy("col").agg(F.sum(F.col("v") * F.col("y")).alias("x"))
+
+
+def normal_matvec(entries: DataFrame, x: DataFrame) -> DataFrame:
+    """col, x of A'A x; a row's entries meet once, no square matrix is formed."""
+    return transposed_matvec(entries, matvec(entries, x))
+
+
+def matrix_stats(entries: DataFrame) -> DataFrame:
+    """One row: the greatest absolute value of finite entries, and how many are NaN or infinite."""
+    v, odd = F.col("v"), ~is_finite(F.col("v"))
+    return entries.agg(F.max(F.when(~odd, F.abs(v))).alias("max_abs"), F.count_if(F.isnan(v)).alias("nan"), F.count_if(odd & ~F.isnan(v) & v.isNotNull()).alias("infinite"))
+
+
+def line_rows(s: DataFrame, keys: list[str]) -> DataFrame:
+    """Whole observations of y on (1, i) per series: keys, a (n x 2), b; for series that fit a row."""
+    gathered = F.array_sort(F.collect_list(F.struct("i", "y")))
+    g = s.groupBy(*keys).agg(gathered.alias("g"))
+    return g.select(*keys, F.transform("g", lambda x: F.array(F.lit(1.0), x["i"].cast("double"))).alias("a"), F.col("g.y").alias("b"))
+
+
 def line_systems(s: DataFrame, keys: list[str]) -> DataFrame:
     """Normal equations of y on (1, i) per series: keys, a (2 x 2), b."""
     i, y = F.col("i").cast("double"), F.col("y")
@@ -107,7 +212,8 @@ def line_systems(s: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def solver_advice(log: DataFrame) -> DataFrame:
-    """Recommendations from a solver's log (run, rate, omega, cond, avg_ms, final_residual), as projections only."""
+    """Recommendations from a solver's log (run, rate, omega, cond, avg_ms, final_residual), as projections only. The limits are
+    fixed values."""
     rate, cond, ms = F.col("rate"), F.col("cond"), F.col("avg_ms")
     extreme, ill = cond > 1e12, cond > 1e8
     omega = F.when(rate > 0.5, F.least(F.lit(1.9), F.col("omega") * F.when(rate > 0.9, 1.5).otherwise(1.2))).when(rate < 0.1, F.greatest(F.lit(0.5), F.col("omega") * 0.8)).otherwise(F.col("omega"))
