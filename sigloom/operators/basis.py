@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from sigloom.config import Basis
+from sigloom.config import Basis, Frequency
+from sigloom.functions.scalar import norm_sq
+
+from .frequency import array_dominant
 
 SPAN, MORLET_SIGMA, MORLET_CARRIER, MOST = 30.0, 1.5, 15.0, 300
 
@@ -63,11 +67,27 @@ def condition_estimate(a: np.ndarray) -> float:
     return float(norms.max() / norms.min()) if len(norms) and norms.min() > 1e-30 else 1e15
 
 
+def condition_estimates(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, condition: `condition_estimate` of each basis given as rows (keys, y), as one aggregate."""
+    norm = F.sqrt(norm_sq(F.col("y")))
+    sized = rows.groupBy(*keys).agg(F.max(norm).alias("most"), F.min(norm).alias("least"))
+    return sized.select(*keys, F.when(F.col("least") > 1e-30, F.col("most") / F.col("least")).otherwise(1e15).alias("condition"))
+
+
 def regularised(a: np.ndarray, reg: float) -> np.ndarray:
     rows, cols = np.indices(a.shape)
     return a + reg * (rows + 1) * (cols + 1) * 1e-6
 
 
+def orthonormal_stats(a: np.ndarray, q: np.ndarray, r: np.ndarray) -> dict[str, float]:
+    """What to log of an orthonormalisation: sizes, dependent rows, error, row norm ratio, what Q and R give back, odd values."""
+    given = np.asarray(a, dtype=float)
+    return {
+        "rows": len(given), "size": given.shape[1], "dependent": int((np.linalg.norm(q, axis=1) == 0).sum()), "error": orthogonality_error(q),
+        "condition": condition_estimate(given), "rebuilt": float(np.abs(r.T @ q - given).max(initial=0.0)), "not_finite": int((~np.isfinite(given)).sum()),
+    }
+
+
 def project(f: DataFrame, columns: list[str], q: np.ndarray) -> DataFrame:
     """columns, coeff (array): inner products of each frame with the rows of q, a matrix product a batch."""
     schema = StructType([*f.select(*columns).schema.fields, *StructType.fromDDL("coeff array<double>").fields])
@@ -83,8 +103,33 @@ def project(f: DataFrame, columns: list[str], q: np.ndarray) -> DataFrame:
     return f.where(F.size("y") == q.shape[1]).select(*columns, "y").mapInArrow(run, schema)
 
 
-def orthonormalise_groups(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, basis_index, q for bases given as rows (keys, basis_index, y); a basis has at most 300 rows."""
+def coefficients(f: DataFrame, columns: list[str], size: int, p: Basis, tune: Frequency | None = None) -> DataFrame:
+    """`project` on the orthonormalised basis of a size. With `tune`, harmonics follow each frame's dominant frequency (0 keeps
+    that of p)."""
+    if tune is None:
+        return project(f, columns, orthonormalise(build_basis(size, p))[0])
+    schema = StructType([*f.select(*columns).schema.fields, *StructType.fromDDL("coeff array<double>").fields])
+    width = len(columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[float, np.ndarray] = {}
+        for b in batches:
+            y = b.column(width).flatten().to_numpy(zero_copy_only=False).reshape(-1, size).astype(float)
+            w, out = array_dominant(y, tune), [[] for _ in range(len(y))]
+            for v in np.unique(w).tolist():
+                if v not in held:
+                    held[v] = orthonormalise(build_basis(size, replace(p, frequency=v or p.frequency)))[0]
+                for r, c in zip(np.flatnonzero(w == v).tolist(), (y[w == v] @ held[v].T).tolist(), strict=True):
+                    out[r] = c
+            yield pa.RecordBatch.from_arrays([*b.columns[:width], pa.array(out, pa.list_(pa.float64()))], names=schema.names)
+
+    return f.where(F.size("y") == size).select(*columns, "y").mapInArrow(run, schema)
+
+
+def orthonormalise_groups(rows: DataFrame, keys: list[str], chosen: list[int] | None = None) -> DataFrame:
+    """keys, basis_index, q for bases given as rows (keys, basis_index, y); a basis has at most 300 rows. With `chosen`, only
+    rows with these indices make up a basis."""
+    rows = rows if chosen is None else rows.where(F.col("basis_index").isin(chosen))
     gathered = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("basis_index", "y"))).alias("b"))
     schema = StructType([*gathered.select(*keys).schema.fields, *StructType.fromDDL("basis_index int, q array<double>").fields])
     arrow, width = to_arrow_schema(schema), len(keys)

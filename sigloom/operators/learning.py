@@ -1,8 +1,8 @@
 """Dictionary learning by pursuit and gradient steps.
 
 Per iteration one pass over the frames: each task pursues its frames and adds up, per atom, the products of coefficients and
-residuals, so that what the driver gets is one row an atom and task group, whatever the number of frames. The frames should be
-a written or cached table.
+residuals, which are summed place by place; the driver gets one number a place of an atom, whatever the number of frames. The
+frames should be a written or cached table.
 """
 
 from __future__ import annotations
@@ -49,12 +49,15 @@ def gradient_sums(frames: DataFrame, atoms: np.ndarray, p: Pursuit, sigma: float
             yield pa.RecordBatch.from_pydict({"atom": pa.array(range(-1, count), pa.int32()), "xr": pa.array([[], *xr.tolist()], pa.list_(pa.float64())), "xx": pa.array([error, *xx.tolist()]), "n": pa.array([n] * (count + 1), pa.int64())})
 
     parts = frames.select("y").where(F.size("y") == size).mapInArrow(run, "atom int, xr array<double>, xx double, n long")
-    flat = parts.groupBy("atom").agg(F.sum("xx").alias("xx"), F.sum("n").alias("n"), F.collect_list("xr").alias("xr"))
-    added = F.aggregate(F.slice("xr", 2, 1 << 30), F.element_at("xr", 1), lambda s, v: F.zip_with(s, v, lambda a, b: a + b))
-    rows = {r["atom"]: r for r in flat.select("atom", "xx", "n", added.alias("xr")).collect()}
-    if not rows:
-        return np.zeros((count, size)), np.zeros(count), 0.0, 0
-    return np.array([rows[k]["xr"] for k in range(count)]), np.array([rows[k]["xx"] for k in range(count)]), float(rows[-1]["xx"]), int(rows[-1]["n"])
+    # one number a place of an atom, so that what is added up never grows with the tasks
+    added = parts.select("atom", "n", F.posexplode(F.concat(F.array("xx"), "xr")).alias("at", "v")).groupBy("atom", "at").agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
+    sums, total, n = np.zeros((count, 1 + size)), 0.0, 0
+    for r in added.collect():
+        if r["atom"] < 0:
+            total, n = float(r["v"]), int(r["n"])
+        else:
+            sums[r["atom"], r["at"]] = r["v"]
+    return sums[:, 1:], sums[:, 0], total, n
 
 
 def learn(frames: DataFrame, start: np.ndarray, p: Learning | None = None, pursuit: Pursuit | None = None) -> tuple[np.ndarray, list[float]]:

@@ -1,13 +1,15 @@
 """Robust noise levels of series: differences, mean deviation, and block quartiles at several scales.
 
-Block quartiles are discrete (no interpolation): of n values in falling order, those at floor(n/4) and floor(3n/4). All of it
-is Catalyst expressions over gathered blocks of bounded size; nothing runs in Python.
+Block quartiles are discrete (no interpolation): of n values in falling order, those at floor(n/4) and floor(3n/4). For
+series, all of it is Catalyst expressions over gathered blocks of bounded size. `array_sigmas` does the same to frames that
+are rows already, inside the Arrow batch that pursuit works on.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,38 +76,91 @@ def scale_sizes(p: Noise) -> list[int]:
     return sizes
 
 
+def _refined(a: Column, refine: int) -> Column:
+    """The sigma of a block sorted in falling order, refined as in `block_sigmas`, as one expression."""
+    first = F.when(F.size(a) < 4, EPSILON).otherwise(F.greatest(_quartile_sigma(a), F.lit(EPSILON)))
+    state = F.struct(a.alias("a"), first.alias("sigma"), (F.size(a) >= 4).alias("ok"))
+
+    def step(s: Column, first: Column) -> Column:
+        mid = _at(s["a"], F.size(s["a"]) / 2)
+        kept = F.when(s["ok"], F.filter(s["a"], lambda x: F.abs(x - mid) < 3.0 * s["sigma"])).otherwise(s["a"])
+        return F.transform(F.array(kept), lambda k: F.struct(k.alias("a"), _next(s, k, first).alias("sigma"), (s["ok"] & (F.size(k) >= 4)).alias("ok")))[0]
+
+    def _next(s: Column, k: Column, first: Column) -> Column:
+        new = F.when(F.size(k) >= 4, _quartile_sigma(k))
+        return F.when(~s["ok"] | (F.size(k) < 4), first).when(new > EPSILON, new).otherwise(s["sigma"])
+
+    return F.transform(F.array(state), lambda s: F.aggregate(F.sequence(F.lit(1), F.lit(refine)), s, lambda acc, _: step(acc, s["sigma"]))["sigma"])[0] if refine else first
+
+
+def _with_scale(scale: Column):
+    return lambda block: F.struct(scale, block.alias("block"))
+
+
 def multiscale_sigma(s: DataFrame, keys: list[str], p: Noise | None = None) -> DataFrame:
     """keys, sigma: blocks weigh 1/(sigma**2 + 1e-9) in a scale, scales 1/(sigma + 1e-9); series below four samples get 1e-9.
 
-    Middle scales are cut to the series' length. The samples are read once; the scales are numbers in the grouping key."""
+    Blocks longer than a series are cut to it. A sample goes to the blocks of all scales at once, numbered by (scale, block),
+    so the samples are read and grouped once."""
     p = (p or Noise()).validate()
     if p.fixed_sigma is not None:
         return s.select(*keys).distinct().withColumn("sigma", F.lit(float(p.fixed_sigma)))
-    per_scale = []
+    places = []
     for k, size in enumerate(scale_sizes(p)):
-        fixed = k == 0 or k == p.scales - 1
-        if fixed:
-            b = block_sigmas(s, keys, size, size // 2, p.refine)
-        else:
-            whole = block_sigmas(s.where(F.col("n") >= size), keys, size, size // 2, p.refine)
-            short = s.where((F.col("n") < size) & (F.col("n") >= 4))
-            cut = _one_block(short, keys, p.refine)
-            b = whole.unionByName(cut)
-        w = 1 / (F.col("sigma") * F.col("sigma") + EPSILON)
-        per_scale.append(b.groupBy(*keys).agg(F.greatest(F.sum(w * F.col("sigma")) / F.sum(w), F.lit(EPSILON)).alias("sigma")))
-    every = per_scale[0]
-    for x in per_scale[1:]:
-        every = every.unionByName(x)
+        hop = size - size // 2
+        last = F.greatest(F.floor((F.col("n") - size + hop) / hop), F.lit(1)) - 1
+        low, high = F.greatest(F.lit(0).cast("long"), F.floor((F.col("i") - size) / hop) + 1), F.least(last, F.floor(F.col("i") / hop)).cast("long")
+        blocks = F.when(high >= low, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>"))
+        scale = F.lit(k).alias("scale")
+        places.append(F.transform(blocks, _with_scale(scale)))
+    dealt = s.where("n >= 4").select(*keys, "y", F.explode(F.concat(*places)).alias("at")).select(*keys, "at.scale", "at.block", "y")
+    b = dealt.groupBy(*keys, "scale", "block").agg(F.sort_array(F.collect_list("y"), asc=False).alias("a")).select(*keys, "scale", _refined(F.col("a"), p.refine).alias("sigma"))
+    w = 1 / (F.col("sigma") * F.col("sigma") + EPSILON)
+    every = b.groupBy(*keys, "scale").agg(F.greatest(F.sum(w * F.col("sigma")) / F.sum(w), F.lit(EPSILON)).alias("sigma"))
     w = 1 / (F.col("sigma") + EPSILON)
     joined = every.groupBy(*keys).agg(((EPSILON + F.sum(F.col("sigma") * w)) / F.sum(w)).alias("sigma"))
     short = s.where("n < 4").select(*keys).distinct().withColumn("sigma", F.lit(EPSILON))
-    long_ = joined.join(short.select(*keys), keys, "left_anti").select(*keys, F.greatest("sigma", F.lit(EPSILON)).alias("sigma"))
-    return long_.unionByName(short)
+    return joined.select(*keys, F.greatest("sigma", F.lit(EPSILON)).alias("sigma")).unionByName(short)
 
 
-def _one_block(s: DataFrame, keys: list[str], refine: int) -> DataFrame:
-    """Series shorter than a block: blocks of the series' length, so exactly one."""
-    return block_sigmas(s.withColumn("i", F.col("i")).withColumn("n", F.lit(1).cast("long")).withColumn("i", F.lit(0).cast("long")), keys, 1, 0, refine)
+def array_sigmas(y: np.ndarray, p: Noise) -> np.ndarray:
+    """`multiscale_sigma` of each row of y, a series of its own, without leaving the batch."""
+    m, n = y.shape
+    if p.fixed_sigma is not None:
+        return np.full(m, float(p.fixed_sigma))
+    if n < 4:
+        return np.full(m, EPSILON)
+    scales = []
+    for size in scale_sizes(p):
+        hop, width = size - size // 2, min(size, n)
+        starts = np.arange(max(1, (n - size + hop) // hop)) * hop
+        blocks = -np.sort(-y[:, starts[:, None] + np.arange(width)], axis=2).reshape(-1, width)
+        sigma = _sorted_sigmas(blocks, p.refine).reshape(m, -1)
+        w = 1 / (sigma * sigma + EPSILON)
+        scales.append(np.maximum((w * sigma).sum(1) / w.sum(1), EPSILON))
+    sigma = np.stack(scales, 1)
+    w = 1 / (sigma + EPSILON)
+    return np.maximum((EPSILON + (sigma * w).sum(1)) / w.sum(1), EPSILON)
+
+
+def _sorted_sigmas(a: np.ndarray, refine: int) -> np.ndarray:
+    """Refined quartile sigmas of rows in falling order. What is near a row's median is a stretch of it, so a step only moves
+    where the stretch begins and ends."""
+    rows, width = a.shape
+    k = np.arange(width)
+    begin, count = np.zeros(rows, int), np.full(rows, width)
+    at = lambda part: a[np.arange(rows), np.minimum(begin + np.floor(part * count).astype(int), width - 1)]
+    quartiles = lambda: np.abs(at(0.25) - at(0.75)) / IQR
+    ok = count >= 4
+    first = np.where(ok, np.maximum(quartiles(), EPSILON), EPSILON)
+    sigma = first.copy()
+    for _ in range(refine):
+        inside = (np.abs(a - at(0.5)[:, None]) < 3.0 * sigma[:, None]) & (k >= begin[:, None]) & (k < (begin + count)[:, None])
+        begin, count = np.where(ok, inside.argmax(1), begin), np.where(ok, inside.sum(1), count)
+        ok = ok & (count >= 4)
+        new = quartiles()
+        sigma = np.where(ok, np.where(new > EPSILON, new, sigma), first)
+    return sigma
 
 
 def floored_sigma(s: DataFrame, keys: list[str], p: Noise | None = None) -> DataFrame:
@@ -118,3 +173,9 @@ def flatness(psd: DataFrame, keys: list[str]) -> DataFrame:
     """Spectral flatness of a PSD, geometric over arithmetic mean: near 1 for white, near 0 for coloured noise."""
     p = clean("psd") + 1e-300
     return psd.groupBy(*keys).agg((F.exp(F.avg(F.log(p))) / F.avg(p)).alias("flatness"))
+
+
+def is_coloured(psd: DataFrame, keys: list[str], least: float = 0.3) -> DataFrame:
+    """keys, flatness, coloured (flatness below `least`), confidence (how far below, from 0 to 1)."""
+    f = flatness(psd, keys)
+    return f.withColumn("coloured", F.col("flatness") < least).withColumn("confidence", F.greatest(F.lit(0.0), 1 - F.col("flatness") / least))

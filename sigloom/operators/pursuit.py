@@ -20,42 +20,60 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from sigloom.config import Pursuit
+from sigloom.config import Frequency, Noise, Pursuit
 from sigloom.plans.dictionary import Dictionary, build, retuned
 
+from .frequency import array_dominant
+from .noise import array_sigmas
+
 EVENT = "pick long, atom_index int, atom_type string, atom_params string, amplitude double, phase double, energy double"
 _REFRESH = 8
+#: Frames that take their picks together.
+_TOGETHER = 256
 
 
-def pursue(y: np.ndarray, d: np.ndarray, gram: np.ndarray, sigma: float, p: Pursuit) -> tuple[list[tuple[int, float, float]], np.ndarray]:
-    """Picks (atom, amplitude, energy) of one frame, and what is left of it."""
-    residual = y.copy()
-    projection, coherence = d @ residual, np.zeros(len(d))
-    picks: list[tuple[int, float, float]] = []
-    before = 0.0
+def pursue_many(y: np.ndarray, d: np.ndarray, gram: np.ndarray, sigma: np.ndarray, p: Pursuit) -> tuple[list[list[tuple[int, float, float]]], np.ndarray]:
+    """Picks (atom, amplitude, energy) of each row of y, and what is left of the rows. All rows take a pick at a time."""
+    y, floor = np.asarray(y, dtype=float), np.asarray(sigma, dtype=float) ** 2
+    residual, coherence = y.copy(), np.zeros((len(y), len(d)))
+    projection, overlap = residual @ d.T, np.abs(gram)
+    picks: list[list[tuple[int, float, float]]] = [[] for _ in y]
+    before, alive = np.zeros(len(y)), np.arange(len(y)) if len(d) else np.zeros(0, int)
     for k in range(p.max_iterations or 1000):
-        energy = projection**2 / (1 + p.alpha * coherence)
-        best = int(energy.argmax()) if len(energy) else 0
-        if not len(energy) or energy[best] < p.gamma * sigma * sigma or energy[best] == 0:
+        energy = projection[alive] ** 2 / (1 + p.alpha * coherence[alive])
+        best = energy.argmax(1) if alive.size else alive
+        energy = energy[np.arange(len(alive)), best]
+        now = (residual[alive] ** 2).sum(1)
+        goes = (energy >= p.gamma * floor[alive]) & (energy != 0)
+        if k:
+            goes &= ~(1 - now / (before[alive] + 1e-30) < p.theta * floor[alive])
+        alive, best, energy = alive[goes], best[goes], energy[goes]
+        if not alive.size:
             break
-        now = float(residual @ residual)
-        if k and 1 - now / (before + 1e-30) < p.theta * sigma * sigma:
-            break
-        before = now
-        amount = projection[best] / (1 + p.alpha * coherence[best])
-        residual -= amount * d[best]
-        projection = projection - amount * gram[best] if (k + 1) % _REFRESH else d @ residual
-        coherence += np.abs(gram[best])
-        picks.append((best, float(amount), float(energy[best])))
-    if p.refit and picks:
-        chosen = sorted({a for a, _, _ in picks})
-        x = np.linalg.solve(gram[np.ix_(chosen, chosen)] + p.gamma_global * np.eye(len(chosen)), d[chosen] @ y)
-        energies = {a: e for a, _, e in reversed(picks)}
-        picks = [(a, float(v), energies[a]) for a, v in zip(chosen, x, strict=True)]
-        residual = y - x @ d[chosen]
+        before[alive] = now[goes]
+        amount = projection[alive, best] / (1 + p.alpha * coherence[alive, best])
+        residual[alive] -= amount[:, None] * d[best]
+        projection[alive] = projection[alive] - amount[:, None] * gram[best] if (k + 1) % _REFRESH else residual[alive] @ d.T
+        coherence[alive] += overlap[best]
+        for r, *pick in zip(alive.tolist(), best.tolist(), amount.tolist(), energy.tolist(), strict=True):
+            picks[r].append(tuple(pick))
+    if p.refit:
+        for r, found in enumerate(picks):
+            if found:
+                chosen = sorted({a for a, _, _ in found})
+                x = np.linalg.solve(gram[np.ix_(chosen, chosen)] + p.gamma_global * np.eye(len(chosen)), d[chosen] @ y[r])
+                energies = {a: e for a, _, e in reversed(found)}
+                picks[r] = [(a, float(v), energies[a]) for a, v in zip(chosen, x, strict=True)]
+                residual[r] = y[r] - x @ d[chosen]
     return picks, residual
 
 
+def pursue(y: np.ndarray, d: np.ndarray, gram: np.ndarray, sigma: float, p: Pursuit) -> tuple[list[tuple[int, float, float]], np.ndarray]:
+    """`pursue_many` of one frame."""
+    picks, residual = pursue_many(np.asarray(y, dtype=float)[None], d, gram, np.array([sigma]), p)
+    return picks[0], residual[0]
+
+
 def events_of(picks: list[tuple[int, float, float]], d: Dictionary) -> list[tuple]:
     """EVENT rows; the phase is known where both members of a sine-cosine pair were picked."""
     sums: dict[int, float] = {}
@@ -72,45 +90,60 @@ def events_of(picks: list[tuple[int, float, float]], d: Dictionary) -> list[tupl
     return rows
 
 
-def _mapped(f: DataFrame, columns: list[str], ddl: str, one, d: Dictionary, p: Pursuit, tune: bool = False) -> DataFrame:
-    """`one(picks, residual, dictionary)` gives rows for a frame; f has columns, y, sigma and, to retune, frequency."""
+def _mapped(f: DataFrame, columns: list[str], ddl: str, one, d: Dictionary, p: Pursuit, tune: Frequency | None = None, noise: Noise | None = None) -> DataFrame:
+    """`one(picks, residual, dictionary)` gives rows for a frame. f has columns and y, and sigma unless `noise` says how to find
+    it. With `tune`, a frame's dictionary follows its `frequency`, which is found in the frame if f has no such column."""
     schema = StructType([*f.select(*columns).schema.fields, *StructType.fromDDL(ddl).fields])
     arrow, width = to_arrow_schema(schema), len(columns)
-    specs = d.specs
+    specs, given = d.specs, [c for c in ("sigma", "frequency") if c in f.columns and (c == "frequency" if noise else c == "sigma" or tune)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, tuple[Dictionary, np.ndarray]] = {}
         base = (d, d.gram)
+
+        def dictionary_of(size: int, w: float | None) -> tuple[Dictionary, np.ndarray]:
+            if w is None and size == d.atoms.shape[1]:
+                return base
+            if (size, w) not in held:
+                if len(held) > 16:
+                    held.clear()
+                made = build(retuned(specs, w) if w else specs, size)
+                held[size, w] = (made, made.gram)
+            return held[size, w]
+
         for b in batches:
-            cols = [c.to_pylist() for c in b.columns]
-            out = []
-            for r in range(b.num_rows):
-                y = np.array(cols[width][r], dtype=float)
-                use = base
-                if tune or len(y) != d.atoms.shape[1]:
-                    key = (len(y), round(cols[width + 2][r], 4) if tune else None)
-                    if key not in held:
-                        if len(held) > 16:
-                            held.clear()
-                        made = build(retuned(specs, key[1]) if tune and key[1] else specs, len(y))
-                        held[key] = (made, made.gram)
-                    use = held[key]
-                picks, residual = pursue(y, use[0].atoms, use[1], cols[width + 1][r], p)
-                out += [(*(c[r] for c in cols[:width]), *row) for row in one(picks, residual, use[0])]
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t.type) for i, t in enumerate(arrow)], schema=arrow)
-
-    return f.select(*columns, "y", "sigma", *(["frequency"] if tune else [])).where(F.size("y") >= 2).mapInArrow(run, schema)
-
-
-def pursue_frames(f: DataFrame, columns: list[str], d: Dictionary, p: Pursuit | None = None, tune: bool = False) -> DataFrame:
-    """Events of frames (columns, y, sigma): columns and EVENT. With `tune`, f has `frequency` and each frame its own
-    retuned dictionary. Frames of another length get a dictionary of their size."""
-    return _mapped(f, columns, EVENT, lambda picks, _, used: events_of(picks, used), d, (p or Pursuit()).validate(), tune)
-
-
-def residuals(f: DataFrame, columns: list[str], d: Dictionary, p: Pursuit | None = None) -> DataFrame:
+            ys, out = b.column(width).to_pylist(), []
+            extra = dict(zip(given, (np.array(b.column(width + 1 + k).to_pylist(), dtype=float) for k in range(len(given))), strict=True))
+            sizes = np.array([len(y) for y in ys], dtype=int)
+            for size in np.unique(sizes).tolist():
+                rows = np.flatnonzero(sizes == size)
+                y = np.array([ys[r] for r in rows.tolist()], dtype=float)
+                sigma = array_sigmas(y, noise) if noise else extra["sigma"][rows]
+                w = None
+                if tune:
+                    w = np.round(extra["frequency"][rows] if "frequency" in extra else array_dominant(y, tune), 4)
+                for v in [None] if w is None else np.unique(w).tolist():
+                    own = np.arange(len(rows)) if v is None else np.flatnonzero(w == v)
+                    used, gram = dictionary_of(size, v)
+                    for at in range(0, len(own), _TOGETHER):
+                        part = own[at : at + _TOGETHER]
+                        picks, residual = pursue_many(y[part], used.atoms, gram, sigma[part], p)
+                        out += [(rows[r], row) for r, found, left in zip(part.tolist(), picks, residual, strict=True) for row in one(found, left, used)]
+            heads = pa.array([int(r) for r, _ in out], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(b.column(i).take(heads) for i in range(width)), *(pa.array([row[i] for _, row in out], arrow[width + i].type) for i in range(len(arrow) - width))], schema=arrow)
+
+    return f.select(*columns, "y", *given).where(F.size("y") >= 2).mapInArrow(run, schema)
+
+
+def pursue_frames(f: DataFrame, columns: list[str], d: Dictionary, p: Pursuit | None = None, tune: Frequency | None = None, noise: Noise | None = None) -> DataFrame:
+    """Events of frames (columns, y, sigma): columns and EVENT. With `noise`, sigma is found in each frame, in the same pass;
+    with `tune`, each frame has its own retuned dictionary. Frames of another length get a dictionary of their size."""
+    return _mapped(f, columns, EVENT, lambda picks, _, used: events_of(picks, used), d, (p or Pursuit()).validate(), tune, noise)
+
+
+def residuals(f: DataFrame, columns: list[str], d: Dictionary, p: Pursuit | None = None, noise: Noise | None = None) -> DataFrame:
     """columns, picks, residual (array), energy: what pursuit leaves of each frame."""
-    return _mapped(f, columns, "picks long, residual array<double>, energy double", lambda picks, r, _: [(len(picks), r.tolist(), float(r @ r))], d, (p or Pursuit()).validate())
+    return _mapped(f, columns, "picks long, residual array<double>, energy double", lambda picks, r, _: [(len(picks), r.tolist(), float(r @ r))], d, (p or Pursuit()).validate(), None, noise)
 
 
 def projections(f: DataFrame, columns: list[str], d: Dictionary) -> DataFrame:

@@ -2,44 +2,48 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sigloom.config import Config
-from sigloom.operators import bars, basis, detrend, frequency, noise, pursuit, series
+from sigloom.operators import bars, basis, detrend, learning, pursuit, series
+from sigloom.session import written
 
-from .dictionary import Dictionary, build, default_specs
-
-
-def frame_noise(f: DataFrame, columns: list[str], cfg: Config) -> DataFrame:
-    """Frames with their sigma: each frame is a series of its own for the estimator. It reads the unmodified frame, so on
-    strong signals it is an upper estimate."""
-    if cfg.noise.fixed_sigma is not None:
-        return f.withColumn("sigma", F.lit(float(cfg.noise.fixed_sigma)))
-    s = f.select(*columns, F.posexplode("y").alias("i", "v")).select(*columns, F.col("i").cast("long").alias("i"), F.col("v").alias("y"))
-    sizes = f.select(*columns, F.size("y").cast("long").alias("n"))
-    return f.join(noise.multiscale_sigma(s.join(sizes, columns), columns, cfg.noise), columns)
+from .dictionary import Dictionary, build, default_specs, learned_specs
 
 
 def decompose(s: DataFrame, keys: list[str], cfg: Config | None = None, dictionary: Dictionary | None = None) -> DataFrame:
-    """Events of indexed samples: keys, frame_start and pursuit.EVENT."""
+    """Events of indexed samples: keys, frame_start and pursuit.EVENT.
+
+    Each frame is a series of its own for the noise estimator, which reads the unmodified frame, so on strong signals it is an
+    upper estimate. Noise, frequency and pursuit take a frame in one pass; nothing is shuffled once frames are gathered."""
     cfg = (cfg or Config()).validate()
     if cfg.detrend.enable:
         s = detrend.detrended(s, keys, cfg.detrend).withColumn("y", F.col("residual")).join(s.select(*keys, "i", "n"), [*keys, "i"])
-    columns = [*keys, "frame_start"]
-    f = frame_noise(series.frames(s, keys, cfg.frame_size, cfg.hop), columns, cfg)
+    f = series.frames(s, keys, cfg.frame_size, cfg.hop)
+    if cfg.learning.enable:
+        dictionary = trained(s, keys, cfg)
     d = dictionary or build(default_specs(), cfg.frame_size)
-    if cfg.frequency.enable:
-        x = f.select(*columns, F.size("y").cast("long").alias("n"), F.posexplode("y").alias("i", "y"))
-        f = f.join(frequency.dominant_frequency(x, columns, cfg.frequency).withColumnRenamed("w", "frequency"), columns)
-    return pursuit.pursue_frames(f, columns, d, cfg.pursuit, tune=cfg.frequency.enable)
+    return pursuit.pursue_frames(f, [*keys, "frame_start"], d, cfg.pursuit, cfg.frequency if cfg.frequency.enable else None, cfg.noise)
+
+
+def trained(s: DataFrame, keys: list[str], cfg: Config, atoms: int = 0, start: np.ndarray | None = None) -> Dictionary:
+    """A dictionary learnt from the samples' frames at the learning hop. Fewer than two frames' worth of samples, or no whole
+    frame, leave the start as it is. `atoms` is the frame size where not given; `start` is noise with a fixed seed."""
+    p, size = cfg.learning, cfg.frame_size
+    begin = learning.initial_atoms(atoms or size, size) if start is None else start
+    f = written(series.frames(s.where(F.col("n") >= 2 * size), keys, size, p.hop).select("y"), "learning-frames")
+    found, _ = learning.learn(f, begin, p)
+    return Dictionary(found, np.ones(len(found)), learned_specs(found))
 
 
 def coefficients(s: DataFrame, keys: list[str], cfg: Config | None = None) -> DataFrame:
-    """keys, frame_start, coeff: projections of whole frames on the orthonormalised basis."""
+    """keys, frame_start, coeff: projections of whole frames on the orthonormalised basis. With the frequency scan, a frame's
+    harmonics follow its dominant frequency."""
     cfg = (cfg or Config()).validate()
-    q, _ = basis.orthonormalise(basis.build_basis(cfg.frame_size, cfg.basis))
-    return basis.project(series.frames(s, keys, cfg.frame_size, cfg.hop), [*keys, "frame_start"], q)
+    tune = cfg.frequency if cfg.frequency.enable else None
+    return basis.coefficients(series.frames(s, keys, cfg.frame_size, cfg.hop), [*keys, "frame_start"], cfg.frame_size, cfg.basis, tune)
 
 
 def bar_samples(ticks: DataFrame, keys: list[str], order: list[str], cfg: Config | None = None) -> DataFrame:

@@ -22,3 +22,10 @@ def shared_path(spark: SparkSession, name: str) -> str:
         root = "file://" + tempfile.mkdtemp(prefix="sigloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/signals/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The table written to the shared folder and read back: the plan is cut, and a lost executor costs no more than a read."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
