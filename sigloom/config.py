@@ -105,6 +105,7 @@ class Detrend(_Checked):
     huber_iterations: int = 5
     huber: float = 1.345
     stitch: float = 2.0
+    causal: bool = False
     RANGES = {"max_segments": (1, 10_000), "min_length": (4, 1 << 20), "max_order": (0, 5), "forgetting": (1e-6, 1)}
 
 

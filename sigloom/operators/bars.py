@@ -56,6 +56,32 @@ def take_tick(state: dict, price: float, volume: float, ts, p: Bars) -> list[tup
     return [bar]
 
 
+class BarBuilder:
+    """Ticks one at a time, outside of Spark: `add` says whether a bar has closed, `pop` hands out the latest."""
+
+    def __init__(self, p: Bars | None = None):
+        self.p = (p or Bars()).validate()
+        self.reset()
+
+    def reset(self) -> None:
+        self.state, self.bars, self.ready = new_state(self.p), [], False
+
+    def add(self, price: float, volume: float, ts=None) -> bool:
+        closed = take_tick(self.state, price, volume, ts, self.p)
+        self.bars += closed
+        if self.p.max_bars > 0:
+            del self.bars[: -self.p.max_bars]
+        self.ready = self.ready or bool(closed)
+        return bool(closed)
+
+    def pop(self) -> tuple | None:
+        """The latest closed bar, once; None until another has closed."""
+        if not self.ready:
+            return None
+        self.ready = False
+        return self.bars[-1]
+
+
 def keep_last(bars: DataFrame, keys: list[str], most: int) -> DataFrame:
     return bars.withColumn("r_", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("bar_idx")))).where(F.col("r_") <= most).drop("r_")
 

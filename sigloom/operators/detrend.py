@@ -79,8 +79,14 @@ def segment(y: np.ndarray, p: Detrend) -> list[tuple[int, int, int, np.ndarray,
             break
         _, k, at = max(gains)
         a, b, _ = parts[k]
-        low, high = max(a + p.min_length, at - (b - a) // 24), min(b - p.min_length, at + (b - a) // 24)
-        at = min(range(low, high + 1), key=lambda m: sum(np.log(huber_fit(y[u:v], p.max_order, p)[1] / (v - u) + 1e-30) * (v - u) for u, v in ((a, m), (m, b))))
+        width = (b - a) // 24
+        while True:  # the places around the best, ever closer
+            low, high = max(a + p.min_length, at - width), min(b - p.min_length, at + width)
+            places = np.unique(np.linspace(low, high, 25).astype(int)).tolist()
+            at = min(places, key=lambda m: sum(np.log(huber_fit(y[u:v], p.max_order, p)[1] / (v - u) + 1e-30) * (v - u) for u, v in ((a, m), (m, b))))
+            if width <= 12:
+                break
+            width = -(-width // 12)
         parts[k : k + 1] = [(a, at, best(a, at)), (at, b, best(at, b))]
     k = 0
     while k + 1 < len(parts):
@@ -94,29 +100,47 @@ def segment(y: np.ndarray, p: Detrend) -> list[tuple[int, int, int, np.ndarray,
     return [(a, b, f[1], f[2], f[3]) for a, b, f in parts]
 
 
+def _whole(state: array, row: tuple) -> list[tuple]:
+    state.append(np.nan if row[1] is None else row[1])
+    return []
+
+
 def piecewise(s: DataFrame, keys: list[str], p: Detrend | None = None) -> DataFrame:
     """keys, segment, start, stop, n, order, coefficients, sse. A series is segmented whole, so its task holds all its
     samples; one of fewer than 4 has no segment."""
     p = (p or Detrend()).validate()
 
-    def step(state: array, row: tuple) -> list[tuple]:
-        state.append(np.nan if row[1] is None else row[1])
-        return []
-
     def finish(state: array) -> Iterator[tuple]:
         if len(state) >= 4:
             for k, (a, b, order, c, sse) in enumerate(segment(np.array(state), p)):
                 yield (k, a, b, b - a, order, c.tolist(), sse)
 
     schema = "segment long, start long, stop long, n long, order int, coefficients array<double>, sse double"
-    return folded(s, keys, ["i"], ["i", "y"], schema, lambda _: array("d"), step, lambda st: list(finish(st)))
+    return folded(s, keys, ["i"], ["i", "y"], schema, lambda _: array("d"), _whole, finish)
+
+
+def segment_stats(segments: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, segments, samples, sse, highest order and shortest segment: one row a series, to write as JSON or to watch."""
+    return segments.groupBy(*keys).agg(F.count("*").alias("segments"), F.sum("n").alias("samples"), F.sum("sse").alias("sse"), F.max("order").alias("highest_order"), F.min("n").alias("shortest"))
+
+
+def predicted(t: np.ndarray, coefficients: np.ndarray) -> np.ndarray:
+    """The polynomial with coefficients from the constant on, at t in 0..1 of its segment, or beyond."""
+    return np.polynomial.polynomial.polyval(t, coefficients)
 
 
 def detrended(s: DataFrame, keys: list[str], p: Detrend | None = None) -> DataFrame:
-    """keys, i, y, trend, residual by the piecewise fit; samples of series too short to fit keep a trend of 0."""
-    parts = piecewise(s, keys, p)
-    spread = parts.select(*keys, "start", "n", "coefficients", F.explode(F.sequence("start", F.col("stop") - 1)).alias("i")).withColumnRenamed("n", "seg_n")
-    x = s.join(spread, [*keys, "i"], "left")
-    t = (F.col("i") - F.col("start")) / (F.col("seg_n") - 1)
-    trend = F.aggregate(F.reverse("coefficients"), F.lit(0.0), lambda acc, c: acc * t + c)
-    return x.select(*keys, "i", "y", F.coalesce(trend, F.lit(0.0)).alias("trend")).withColumn("residual", F.col("y") - F.col("trend"))
+    """keys, i, y, trend, residual; i counts from 0 without gaps. The trend is the piecewise fit, worked out by the fold that
+    fitted it; samples of series too short to fit keep a trend of 0. With `causal`, it is predicted from earlier samples."""
+    p = (p or Detrend()).validate()
+    if p.causal:
+        return rls(s, keys, p=p)
+
+    def finish(state: array) -> Iterator[tuple]:
+        y = np.array(state)
+        parts = segment(y, p) if len(y) >= 4 else [(0, len(y), 0, np.zeros(1), 0.0)]
+        for a, b, _, c, _ in parts:
+            trend = predicted(np.arange(b - a) / max(1, b - a - 1), c)
+            yield from zip(range(a, b), y[a:b].tolist(), trend.tolist(), (y[a:b] - trend).tolist(), strict=True)
+
+    return folded(s, keys, ["i"], ["i", "y"], "i long, y double, trend double, residual double", lambda _: array("d"), _whole, finish)

@@ -6,7 +6,7 @@ from 0, length of the series, value with null, NaN and infinities as 0.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -63,7 +63,7 @@ def padded(f: DataFrame, size: int, column: str = "y") -> DataFrame:
     return f.withColumn(column, F.concat(column, F.array_repeat(F.lit(0.0), F.lit(size) - F.size(column))))
 
 
-def folded(df: DataFrame, keys: list[str], order: list[str], columns: list[str], schema: StructType | str, start: Callable[[tuple], object], step: Callable[[object, tuple], list[tuple]], end: Callable[[object], list[tuple]] | None = None) -> DataFrame:
+def folded(df: DataFrame, keys: list[str], order: list[str], columns: list[str], schema: StructType | str, start: Callable[[tuple], object], step: Callable[[object, tuple], list[tuple]], end: Callable[[object], Iterable[tuple]] | None = None) -> DataFrame:
     """A sequential fold over each series in order: `step(state, row)` and `end(state)` give rows without the keys.
 
     Series stream through a task one after the other, sorted by Spark, so a task holds one state and one batch whatever the
@@ -78,7 +78,11 @@ def folded(df: DataFrame, keys: list[str], order: list[str], columns: list[str],
             for row in zip(*values, strict=True):
                 if state is None or row[:width] != key:
                     if state is not None and end:
-                        out += [(*key, *r) for r in end(state)]
+                        for r in end(state):
+                            out.append((*key, *r))
+                            if len(out) > 5000:
+                                yield _batch(out, arrow)
+                                out = []
                     key = row[:width]
                     state = start(key)
                 out += [(*key, *r) for r in step(state, row[width:])]
@@ -86,7 +90,11 @@ def folded(df: DataFrame, keys: list[str], order: list[str], columns: list[str],
                 yield _batch(out, arrow)
                 out = []
         if state is not None and end:
-            out += [(*key, *r) for r in end(state)]
+            for r in end(state):
+                out.append((*key, *r))
+                if len(out) > 5000:
+                    yield _batch(out, arrow)
+                    out = []
         if out:
             yield _batch(out, arrow)
 

@@ -15,6 +15,9 @@ from sigloom.functions.scalar import hamming
 
 from .series import frames, padded, windowed
 
+#: Samples that a filter takes at once.
+BLOCK = 4096
+
 
 @dataclass(frozen=True)
 class Welch:
@@ -76,21 +79,38 @@ def whitening_taps(psd: DataFrame, keys: list[str], p: Welch | None = None) -> D
     return gathered.mapInArrow(run, schema)
 
 
-def fir(s: DataFrame, keys: list[str], taps: DataFrame) -> DataFrame:
-    """keys, i, y: causal filter with taps (keys, taps); before the start the series is mirrored, beyond its length its last
-    sample stands in. Each sample is dealt to the outputs it takes part in, so there is no join of samples with samples."""
-    x = s.join(taps, keys)
-    part = F.posexplode("taps").alias("k", "h")
-    terms = x.select(*keys, "i", "n", "y", part)
-    ahead = terms.where("i + k < n").select(*keys, (F.col("i") + F.col("k")).alias("i"), (F.col("y") * F.col("h")).alias("v"))
-    mirror = terms.where("k - 1 - i >= 0 and k - 1 - i < n and k > k - 1 - i").select(*keys, (F.col("k") - 1 - F.col("i")).alias("i"), (F.col("y") * F.col("h")).alias("v"))
-    # mirrored past the other end: the last sample serves every output o with k - o - 1 >= n
-    beyond = terms.where("i = n - 1 and k - n - 1 >= 0").select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("k") - F.col("n") - 1, F.col("n") - 1))).alias("i"), (F.col("y") * F.col("h")).alias("v"))
-    return ahead.unionByName(mirror).unionByName(beyond).groupBy(*keys, "i").agg(F.sum("v").alias("y"))
+def fir(s: DataFrame, keys: list[str], taps: DataFrame, length: int | None = None) -> DataFrame:
+    """keys, i, y: causal filter with taps (keys, taps), of at most `length`; before the start the series is mirrored, beyond its
+    length its last sample stands in. A series is cut into blocks that begin with the samples before them which the filter
+    needs; a block is filtered at once."""
+    if length is None:
+        length = taps.agg(F.max(F.size("taps"))).first()[0] or 1
+    block = max(BLOCK, length)
+    first, last = F.floor(F.col("i") / block), F.least(F.floor((F.col("i") + length - 1) / block), F.floor((F.col("n") - 1) / block))
+    dealt = s.select(*keys, "i", "n", "y", F.explode(F.sequence(first, last)).alias("block"))
+    gathered = dealt.groupBy(*keys, "block", "n").agg(F.array_sort(F.collect_list(F.struct("i", "y"))).alias("g"))
+    x = gathered.select(*keys, "block", "n", F.col("g.y").alias("y")).join(taps, keys)
+    schema = StructType([*x.select(*keys).schema.fields, *StructType.fromDDL("first long, out array<double>").fields])
+    width = len(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            columns, out, begin = (b.column(width + k).to_pylist() for k in range(4)), [], []
+            for k, n, y, h in zip(*columns, strict=True):
+                y, h, start = np.array(y, dtype=float), np.array(h, dtype=float), k * block
+                before = min(length - 1, start)
+                if not start:
+                    mirrored = y[np.minimum(np.arange(len(h) - 1), n - 1)][::-1]
+                    y, before = np.concatenate((mirrored, y)), len(h) - 1
+                out.append(np.convolve(y, h)[before : len(y)].tolist())
+                begin.append(start)
+            yield pa.RecordBatch.from_arrays([*b.columns[:width], pa.array(begin, pa.int64()), pa.array(out, pa.list_(pa.float64()))], names=schema.names)
+
+    return x.select(*keys, "block", "n", "y", "taps").mapInArrow(run, schema).select(*keys, "first", F.posexplode("out").alias("at", "y")).select(*keys, (F.col("first") + F.col("at")).alias("i"), "y")
 
 
 def whiten(s: DataFrame, keys: list[str], p: Welch | None = None) -> DataFrame:
     """Whitened samples; series too short for a spectrum stay as they are."""
     p = (p or Welch()).validate()
-    done = fir(s.where(F.col("n") >= p.segment), keys, whitening_taps(welch_psd(s, keys, p), keys, p))
+    done = fir(s.where(F.col("n") >= p.segment), keys, whitening_taps(welch_psd(s, keys, p), keys, p), p.taps)
     return done.unionByName(s.where(F.col("n") < p.segment).select(*keys, "i", "y"))
