@@ -56,6 +56,44 @@ def absolute(a: Column) -> Column:
     return _bound(lambda x: F.when(x.hi < 0, make(-x.hi, -x.lo)).otherwise(x), a)
 
 
+def _hi_lo(f_hi, f_lo):
+    """A function of a double-double: the double result h of `f_hi`, and as the low part what `f_lo` says of x and h."""
+    return lambda x: _bound(lambda h: make(h, f_lo(x, h)), f_hi(x))
+
+
+def sqrt(a: Column) -> Column:
+    """0 below 0; one Newton step from the double root."""
+    root = _hi_lo(lambda x: F.sqrt(x.hi), lambda x, h: value(sub(x, mul(make(h), make(h)))) / (2 * h))
+    return _bound(lambda x: F.when(x.hi > 0, root(x)).otherwise(make(F.lit(0.0))), a)
+
+
+def exp(a: Column) -> Column:
+    return _bound(_hi_lo(lambda x: F.exp(x.hi), lambda x, h: h * x.lo), a)
+
+
+def log(a: Column) -> Column:
+    """0 at 0 and below."""
+    return _bound(lambda x: F.when(x.hi > 0, _hi_lo(lambda x: F.log(x.hi), lambda x, h: x.lo / x.hi)(x)).otherwise(make(F.lit(0.0))), a)
+
+
+def sin(a: Column) -> Column:
+    return _bound(_hi_lo(lambda x: F.sin(x.hi), lambda x, h: F.cos(x.hi) * x.lo), a)
+
+
+def cos(a: Column) -> Column:
+    return _bound(_hi_lo(lambda x: F.cos(x.hi), lambda x, h: -F.sin(x.hi) * x.lo), a)
+
+
+def less(a: Column, b: Column) -> Column:
+    """By the high part, then by the low."""
+    return _bound(lambda x, y: (x.hi < y.hi) | ((x.hi == y.hi) & (x.lo < y.lo)), a, b)
+
+
+def descending(a: Column) -> Column:
+    """An array of double-doubles in falling order of (hi, lo)."""
+    return F.sort_array(a, asc=False)
+
+
 def value(a: Column) -> Column:
     return _bound(lambda x: x.hi + x.lo, a)
 

@@ -8,15 +8,22 @@ from __future__ import annotations
 
 import json
 import struct
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
+
 from sigloom.functions.atoms import TYPES
+from sigloom.session import written
 
 #: Fixed values of the formats.
 BLOCK_MAGIC, DICTIONARY_MAGIC, BASIS_MAGIC, EVENT_MAGIC = b"ALW", 0x4C454152, 0x414C5742, 0x45564E54
@@ -64,7 +71,7 @@ def read_blocks(spark: SparkSession, path: str) -> DataFrame:
 
 
 class BlockSource(DataSource):
-    """spark.read.format("signal_blocks").load(path): one partition a file; path is a file or folder URI or path."""
+    """spark.read.format("signal_blocks").load(path): one partition a block; path is a file or folder URI or path."""
 
     @classmethod
     def name(cls) -> str:
@@ -77,7 +84,35 @@ class BlockSource(DataSource):
         return _BlockReader(self.options["path"])
 
 
+class _Block(InputPartition):
+    def __init__(self, path: str, number: int, at: int, n: int, scale: float, low: int):
+        super().__init__(path)
+        self.place = (path, number, at, n, scale, low)
+
+
+def _headers(f, length: int) -> Iterator[tuple[int, int, int, float, int]]:
+    """(number, byte of the samples, how many, scale, low parts that are there) of each block, reading headers only."""
+    at, number = 0, 0
+    while at < length:
+        f.seek(at)
+        head = f.read(22)
+        if head[:3] != BLOCK_MAGIC or len(head) < 22:
+            raise ValueError(f"no block at byte {at}")
+        n, scale = struct.unpack_from("<Qd", head, 3)
+        at += 22
+        if length < at + 8 * n:
+            raise ValueError(f"block {number} is cut off")
+        low = min(n, (length - at - 8 * n) // 8)
+        yield number, at, n, scale, low
+        at = at + 16 * n if low == n else length
+        number += 1
+
+
 class _BlockReader(DataSourceReader):
+    """A partition a block; a task reads its block in pieces and hands on Arrow batches."""
+
+    PIECE = 1 << 17
+
     def __init__(self, path: str):
         self.path = path
 
@@ -87,17 +122,117 @@ class _BlockReader(DataSourceReader):
         store, inner = fs.FileSystem.from_uri(self.path)
         info = store.get_file_info(inner)
         files = [info] if info.type == fs.FileType.File else store.get_file_info(fs.FileSelector(inner))
-        return [InputPartition(f.path) for f in sorted(files, key=lambda f: f.path) if f.type == fs.FileType.File]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        found: list[InputPartition] = []
+        for file in sorted(files, key=lambda f: f.path):
+            if file.type == fs.FileType.File:
+                with store.open_input_file(file.path) as f:
+                    found += [_Block(file.path, *head) for head in _headers(f, file.size)]
+        return found
+
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
         store, _ = fs.FileSystem.from_uri(self.path)
-        with store.open_input_stream(partition.value) as f:
-            data = f.read()
-        for number, _, y in decode_blocks(data):
-            for i, v in enumerate(y.tolist()):
-                yield (partition.value, number, len(y), i, v)
+        path, number, at, n, scale, low = partition.place
+        with store.open_input_file(path) as f:
+            for start in range(0, n, self.PIECE):
+                size = min(self.PIECE, n - start)
+                f.seek(at + 8 * start)
+                y = np.frombuffer(f.read(8 * size), "<f8").copy()
+                have = min(max(low - start, 0), size)
+                f.seek(at + 8 * (n + start))
+                y[:have] += np.frombuffer(f.read(8 * have), "<f8")
+                yield pa.RecordBatch.from_pydict({"path": [path] * size, "block_id": pa.array([number] * size, pa.int32()), "n": pa.array([n] * size, pa.int64()), "i": np.arange(start, start + size), "y": y / scale if scale else y})
+
+
+def write_blocks(s: DataFrame, keys: list[str], path: str, size: int = 1 << 16, scale: float = 1.0) -> DataFrame:
+    """Indexed samples (keys, i, y) as block files, one a task, of blocks of at most `size` samples. Returns keys, chunk (its
+    samples start at chunk * size), file (name under path) and block_id, a row a block; only listed files count."""
+    chunk = s.select(*keys, F.floor(F.col("i") / size).cast("long").alias("chunk"), F.struct("i", "y").alias("v")).groupBy(*keys, "chunk").agg(F.array_sort(F.collect_list("v")).alias("v"))
+    schema = StructType([*chunk.select(*keys).schema.fields, *StructType.fromDDL("chunk long, file string, block_id int").fields])
+    width = len(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, inner = fs.FileSystem.from_uri(path)
+        name, out, number = f"{uuid.uuid4().hex}.alw", None, 0
+        try:
+            for b in batches:
+                if out is None and b.num_rows:
+                    store.create_dir(inner, recursive=True)
+                    out = store.open_output_stream(f"{inner}/{name}")
+                for y in b.column(width + 1).to_pylist():
+                    out.write(encode_block(np.array(y, dtype=float) * scale, scale))
+                yield pa.RecordBatch.from_arrays([*b.columns[: width + 1], pa.array([name] * b.num_rows, pa.string()), pa.array(range(number, number + b.num_rows), pa.int32())], names=schema.names)
+                number += b.num_rows
+        finally:
+            if out is not None:
+                out.close()
+
+    return written(chunk.select(*keys, "chunk", F.col("v.y").alias("y")).mapInArrow(run, schema), "block-list")
+
+
+def write_files(df: DataFrame, path: str) -> DataFrame:
+    """Rows (name, data binary) as files under a path; returns name and bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, inner = fs.FileSystem.from_uri(path)
+        for b in batches:
+            store.create_dir(inner, recursive=True)
+            for name, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                with store.open_output_stream(f"{inner}/{name}") as f:
+                    f.write(data)
+            yield pa.RecordBatch.from_pydict({"name": b.column(0), "bytes": pa.array([len(d.as_py()) for d in b.column(1)], pa.int64())})
+
+    return written(df.select("name", "data").mapInArrow(run, "name string, bytes long"), "file-list")
+
+
+def doubles(column: str):
+    """An array of doubles as little-endian bytes, then as many zeros for the low parts; null is empty."""
+
+    @pandas_udf("binary")
+    def packed(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: b"" if v is None else np.asarray(v, "<f8").tobytes() + bytes(8 * len(v)))
+
+    return packed(column)
+
+
+def _decoded(spark: SparkSession, path: str, ddl: str, decode) -> DataFrame:
+    """name and what `decode` gives for each file under a path of any store that Spark reads."""
+    arrow = to_arrow_schema(StructType.fromDDL("name string, " + ddl))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                rows = [(name, *r) for r in decode(data)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(arrow)], schema=arrow)
+
+    files = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
+    return files.mapInArrow(run, "name string, " + ddl)
+
+
+def read_dictionary_files(spark: SparkSession, path: str) -> DataFrame:
+    """name, atom_index, norm, atom of dictionary files, with or without low parts; a damaged file fails the read."""
+
+    def rows(data: bytes) -> list[tuple]:
+        atoms, norms = decode_dictionary(data)
+        return [(k, float(n), a.tolist()) for k, (a, n) in enumerate(zip(atoms, norms, strict=True))]
+
+    return _decoded(spark, path, "atom_index int, norm double, atom array<double>", rows)
+
+
+def read_basis_files(spark: SparkSession, path: str) -> DataFrame:
+    """name, batch, basis_index, q, r of basis files of either version; a single basis is batch 0."""
+
+    def rows(data: bytes) -> list[tuple]:
+        q, r = decode_basis(data)
+        q, r = (q, r) if q.ndim == 3 else (q[None], r[None])
+        return [(i, j, q[i, j].tolist(), r[i, j].tolist()) for i in range(len(q)) for j in range(q.shape[1])]
+
+    return _decoded(spark, path, "batch int, basis_index int, q array<double>, r array<double>", rows)
 
 
 def encode_dictionary(atoms: np.ndarray, norms: np.ndarray | None = None, with_low: bool = True) -> bytes:
@@ -145,20 +280,76 @@ def decode_basis(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 _EVENT = struct.Struct("<iiB6d")
 
 
-def encode_events(events: list[dict], frame_size: int) -> bytes:
+def encode_events(events: list[dict], frame_size: int, coefficients: list[list[float]] | None = None) -> bytes:
+    """An event file; with `coefficients`, one list a frame follows the events."""
     out = [struct.pack("<IIii", EVENT_MAGIC, 1, len(events), frame_size)]
     out += [_EVENT.pack(e["frame_start"], e["atom_index"], TYPES.index(e["atom_type"]), e["amplitude"], 0.0, e["phase"], 0.0, e["energy"], 0.0) for e in events]
+    if coefficients is not None:
+        out.append(struct.pack("<i", len(coefficients)))
+        out += [struct.pack("<i", len(c)) + np.asarray(c, "<f8").tobytes() + bytes(8 * len(c)) for c in coefficients]
     return b"".join(out)
 
 
-def decode_events(data: bytes) -> list[dict]:
+def _event_count(data: bytes) -> int:
     magic, version, n, _ = struct.unpack_from("<IIii", data)
     if (magic, version) != (EVENT_MAGIC, 1) or len(data) < 16 + n * _EVENT.size:
         raise ValueError("no event file of version 1")
-    rows = (_EVENT.unpack_from(data, 16 + k * _EVENT.size) for k in range(n))
+    return n
+
+
+def decode_events(data: bytes) -> list[dict]:
+    rows = (_EVENT.unpack_from(data, 16 + k * _EVENT.size) for k in range(_event_count(data)))
     return [{"frame_start": f, "atom_index": a, "atom_type": TYPES[t], "amplitude": v + vl, "phase": p + pl, "energy": e + el} for f, a, t, v, vl, p, pl, e, el in rows]
 
 
+def decode_coefficients(data: bytes) -> list[np.ndarray]:
+    """The coefficients behind the events, a vector a frame; none if the file ends there."""
+    at = 16 + _event_count(data) * _EVENT.size
+    if at == len(data):
+        return []
+    (frames,) = struct.unpack_from("<i", data, at)
+    at, out = at + 4, []
+    for _ in range(frames):
+        (n,) = struct.unpack_from("<i", data, at)
+        out.append(np.frombuffer(data, "<f8", n, at + 4) + np.frombuffer(data, "<f8", n, at + 4 + 8 * n))
+        at += 4 + 16 * n
+    return out
+
+
+def events_binary(events: DataFrame, keys: list[str], frame_size: int, coefficients: DataFrame | None = None) -> DataFrame:
+    """keys and data, an event file a series, with the coefficients (keys, frame_start, coeff) of its frames if given."""
+    fields = ["frame_start", "pick", "atom_index", "atom_type", "amplitude", "phase", "energy"]
+    g = events.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("e"))
+    if coefficients is None:
+        g = g.withColumn("c", F.lit(None).cast("array<array<double>>"))
+    else:
+        c = coefficients.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("frame_start", "coeff"))).alias("c")).select(*keys, F.col("c.coeff").alias("c"))
+        g = g.join(c, keys, "full")
+    schema = StructType([*g.select(*keys).schema.fields, *StructType.fromDDL("data binary").fields])
+    width = len(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data = [encode_events(e or [], frame_size, c) for e, c in zip(b.column(width).to_pylist(), b.column(width + 1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:width], pa.array(data, pa.binary())], names=schema.names)
+
+    return g.select(*keys, "e", "c").mapInArrow(run, schema)
+
+
+def read_event_files(spark: SparkSession, path: str) -> DataFrame:
+    """name, pick (order in the file), frame_start, atom_index, atom_type, amplitude, phase, energy of event files."""
+
+    def rows(data: bytes) -> list[tuple]:
+        return [(k, *e.values()) for k, e in enumerate(decode_events(data))]
+
+    return _decoded(spark, path, "pick long, frame_start long, atom_index int, atom_type string, amplitude double, phase double, energy double", rows)
+
+
+def read_coefficient_files(spark: SparkSession, path: str) -> DataFrame:
+    """name, frame (its number) and coeff of the tails of event files."""
+    return _decoded(spark, path, "frame long, coeff array<double>", lambda data: [(k, c.tolist()) for k, c in enumerate(decode_coefficients(data))])
+
+
 def events_document(events: list[dict], **about) -> str:
     """The JSON document of a run."""
     return json.dumps({**about, "num_events": len(events), "events": events})
