@@ -2,7 +2,29 @@
 
 from __future__ import annotations
 
-from sigloom.plans.dictionary import GRIDS
+#: Families in order, whether an atom has a sine and a cosine, parameters, the outer one first. Written out here
+#: on its own, so that a wrong grid of the dictionary shows.
+GRIDS: list[tuple[str, bool, dict[str, list[float]]]] = [
+    ("CHIRP", True, {"f0": [0.01, 0.03, 0.06, 0.1, 0.2, 0.4, 0.7], "beta": [-0.005, -0.001, 0.0, 0.001, 0.005]}),
+    ("MORLET", True, {"sigma": [0.03, 0.07, 0.15], "mu": [0.2, 0.4, 0.6, 0.8], "w": [10.0, 18.0, 26.0]}),
+    ("DAMPED", True, {"alpha": [0.05, 0.15, 0.3, 0.6, 1.2], "f0": [0.03, 0.06, 0.12, 0.25]}),
+    ("BSPLINE", False, {"scale": [0.05, 0.1, 0.2, 0.4], "position": [0.1, 0.25, 0.4, 0.55, 0.7, 0.85], "order": [3.0]}),
+    ("ANTI_DAMPED", True, {"alpha": [0.05, 0.15, 0.3], "f0": [0.05, 0.1, 0.2]}),
+    ("SIGMOID", False, {"k": [5.0, 10.0, 20.0], "t0": [0.2, 0.5, 0.8], "up": [1.0, 0.0]}),
+    ("CHEBYSHEV", False, {"order": [1.0, 2.0, 3.0, 4.0, 5.0]}),
+    ("DOUBLE_SIGMOID", False, {"k": [5.0, 10.0, 20.0], "t0": [0.2, 0.4, 0.6, 0.8], "t1": [0.3, 0.5, 0.7, 0.9]}),
+    ("GAUSSIAN", False, {"mu": [0.1, 0.3, 0.5, 0.7, 0.9], "sigma": [0.03, 0.06, 0.1, 0.15, 0.2]}),
+    ("ERF", False, {"mu": [0.2, 0.4, 0.6, 0.8], "sigma": [0.05, 0.1, 0.2, 0.3]}),
+    ("DAMPED_CHIRP", True, {"alpha": [0.1, 0.5, 1.0, 2.0], "f0": [0.01, 0.05, 0.1, 0.2, 0.4], "beta": [-0.01, -0.005, 0.0, 0.005, 0.01]}),
+    ("SIGMOID_OSC", True, {"k": [5.0, 10.0, 20.0], "t0": [0.2, 0.5, 0.8], "f": [0.05, 0.1, 0.2, 0.3]}),
+    ("EXP_GROWTH", False, {"alpha": [0.1, 0.5, 1.0, 2.0]}),
+    ("EXP_DECAY", False, {"alpha": [0.1, 0.5, 1.0, 2.0, 5.0]}),
+    ("TANH", False, {"k": [5.0, 10.0, 20.0, 50.0], "t0": [0.2, 0.5, 0.8]}),
+    ("LORENTZIAN", False, {"mu": [0.2, 0.4, 0.6, 0.8], "gamma": [0.02, 0.05, 0.1, 0.15]}),
+    ("POWER", False, {"alpha": [-2.0, -1.0, -0.5, 0.0, 0.5, 1.0, 2.0]}),
+    ("HAAR", False, {}),
+    ("BESSEL", False, {"order": [0.0, 1.0, 2.0, 3.0, 4.0, 5.0]}),
+]
 
 EVENTS = """SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n,
   CASE WHEN value IS NULL OR isnan(value) OR isinf(value) THEN 0.0 ELSE value END AS y FROM events"""
@@ -24,13 +46,13 @@ def block_sigma(size: int, hop: int, refine: int, middle: bool = False, source:
     return f"SELECT user_id, block, sigma FROM ({sql})"
 
 
-def multiscale() -> str:
+def multiscale(source: str = "s") -> str:
     def scale(body: str) -> str:
         return f"SELECT user_id, greatest(sum(sigma / (sigma * sigma + 1e-9)) / sum(1 / (sigma * sigma + 1e-9)), 1e-9) AS sigma FROM ({body}) GROUP BY user_id"
 
-    scales = " UNION ALL ".join((scale(block_sigma(8, 4, 2)), scale(block_sigma(32, 16, 2, middle=True)), scale(block_sigma(64, 32, 2))))
+    scales = " UNION ALL ".join((scale(block_sigma(8, 4, 2, source=source)), scale(block_sigma(32, 16, 2, middle=True, source=source)), scale(block_sigma(64, 32, 2, source=source))))
     return f"""SELECT user_id, greatest((1e-9 + sum(sigma / (sigma + 1e-9))) / sum(1 / (sigma + 1e-9)), 1e-9) AS sigma FROM ({scales}) GROUP BY user_id
-      UNION ALL SELECT DISTINCT user_id, 1e-9 FROM s WHERE n < 4"""
+      UNION ALL SELECT DISTINCT user_id, 1e-9 FROM {source} WHERE n < 4"""
 
 
 def frames(size: int, hop: int, source: str = "s") -> str:
@@ -69,7 +91,7 @@ def bars(ticks: str, key: str, threshold: float, dollar: bool = False, adaptive:
 
 
 def bar_columns(key: str, source: str = "bars") -> str:
-    return f"SELECT {key}, bar_idx, round(open, 8) AS open, round(high, 8) AS high, round(low, 8) AS low, round(close, 8) AS close, round(volume, 4) AS volume, round(vwap + 1.7e-8, 6) AS vwap FROM {source}"
+    return f"SELECT {key}, bar_idx, round(open, 8) AS open, round(high, 8) AS high, round(low, 8) AS low, round(close, 8) AS close, round(volume, 4) AS volume, vwap FROM {source}"
 
 
 CLAMPS = {
@@ -214,3 +236,63 @@ def basis(n: int, poly: int, harm: int, morlet: int) -> str:
         mu = j / (morlet - 1) * 30 if morlet > 1 else 15.0
         parts.append(f"SELECT {poly + 2 * (harm // 2) + j}, i, exp(-pow((30 * {u} - {mu}) / 1.5, 2) / 2) * cos(15.0 * (30 * {u} - {mu})) FROM {i}")
     return " UNION ALL ".join(parts)
+
+
+def gram_schmidt(source: str, count: int, keys: list[str], last: str) -> str:
+    """CTEs on `source` (keys, basis_index, i, v) ending in q, its first `count` rows made orthonormal one by one, twice over
+    against rounding, and the final SELECT."""
+    on = "USING (i" + "".join(f", {k}" for k in keys) + ")"
+    head = "".join(f"{k}, " for k in keys)
+    part = f"PARTITION BY {', '.join(keys)}" if keys else ""
+    sql, done = "", []
+    for k in range(count):
+        sql += f", g{k}_0 AS (SELECT {head}i, v FROM {source} WHERE basis_index = {k})"
+        before = " UNION ALL ".join(f"SELECT {head}i, {j} AS j, v FROM q{j}" for j in range(k))
+        for turn in range(2 if k else 0):
+            sql += f""", c{k}_{turn} AS (SELECT {head}j, sum(x.v * p.v) AS c FROM g{k}_{turn} x JOIN ({before}) p {on} GROUP BY ALL),
+      g{k}_{turn + 1} AS (SELECT {head}i, any_value(x.v) - sum(c * p.v) AS v FROM g{k}_{turn} x JOIN ({before}) p {on} JOIN c{k}_{turn} USING (j{"".join(f", {x}" for x in keys)}) GROUP BY {head}i)"""
+        sql += f", q{k} AS (SELECT {head}i, v / sqrt(sum(v * v) OVER ({part})) AS v FROM g{k}_{2 if k else 0})"
+        done.append(f"SELECT {head}CAST({k} AS BIGINT) AS basis_index, i, v FROM q{k}")
+    return sql + f", q AS ({' UNION ALL '.join(done)}) " + last
+
+
+def pursued(atoms_sql: str, count: int, gamma: float = 0.05, theta: float = 0.001, alpha: float = 0.1) -> str:
+    """CTEs on e (vec_id, i, y) and sg (vec_id, sigma): the picks of each vector with both rules that stop it, as `events`
+    (vec_id, pick, atom_index, amplitude, energy) and what is left of the squares as r0, r1, ..."""
+    sql = f""", a AS ({atoms_sql}), g AS (SELECT x.atom_index AS j, z.atom_index AS k, sum(x.v * z.v) AS g FROM a x JOIN a z ON x.i = z.i GROUP BY ALL),
+    s0 AS (SELECT vec_id, atom_index, sum(y * v) AS p, 0.0::DOUBLE AS c FROM e JOIN a USING (i) GROUP BY ALL), r0 AS (SELECT vec_id, sum(y * y) AS rr, CAST(NULL AS DOUBLE) AS was FROM e GROUP BY ALL)"""
+    for k in range(1, count + 1):
+        sql += f""", b{k} AS (SELECT vec_id, atom_index, amount, energy, p FROM (
+        SELECT vec_id, atom_index, p / (1 + {alpha} * c) AS amount, p * p / (1 + {alpha} * c) AS energy, p FROM s{k - 1}
+        QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY p * p / (1 + {alpha} * c) DESC, atom_index) = 1) JOIN r{k - 1} USING (vec_id) JOIN sg USING (vec_id)
+        WHERE energy >= {gamma} * sigma * sigma AND energy <> 0 AND NOT coalesce(1 - rr / (was + 1e-30) < {theta} * sigma * sigma, FALSE)),
+      s{k} AS (SELECT s.vec_id, s.atom_index, s.p - b.amount * g.g AS p, s.c + abs(g.g) AS c FROM s{k - 1} s JOIN b{k} b USING (vec_id) JOIN g ON g.j = s.atom_index AND g.k = b.atom_index),
+      r{k} AS (SELECT vec_id, rr - 2 * amount * p + amount * amount AS rr, rr AS was FROM r{k - 1} JOIN b{k} USING (vec_id))"""
+    union = " UNION ALL ".join(f"SELECT vec_id, CAST({k - 1} AS BIGINT) AS pick, atom_index, amount AS amplitude, energy FROM b{k}" for k in range(1, count + 1))
+    return sql + f", events AS ({union})"
+
+
+def phased(pairs: list[int]) -> str:
+    """CTE body on events: with the phase where both members of a pair (its even, sine member listed) were picked."""
+    inside = ", ".join(map(str, [*pairs, *(p + 1 for p in pairs)]))
+    return f"""SELECT v.*, CASE WHEN v.atom_index NOT IN ({inside}) OR o.a IS NULL THEN 0.0 WHEN v.atom_index % 2 = 0 THEN atan2(o.a, w.a) ELSE atan2(w.a, o.a) END AS phase FROM events v
+      JOIN (SELECT vec_id, atom_index, sum(amplitude) AS a FROM events GROUP BY ALL) w USING (vec_id, atom_index)
+      LEFT JOIN (SELECT vec_id, atom_index, sum(amplitude) AS a FROM events GROUP BY ALL) o ON o.vec_id = v.vec_id AND o.atom_index = CASE WHEN v.atom_index % 2 = 0 THEN v.atom_index + 1 ELSE v.atom_index - 1 END"""
+
+
+def decomposed(size: int, hop: int, indices: list[int], pairs: list[int], count: int, source: str = "s", **stops: float) -> str:
+    """CTEs on `source` (user_id, i, n, y): whole frames, their noise, their events with phases, as `found`."""
+    return f""", fs AS (SELECT {{'u': user_id, 'f': frame_start}} AS user_id, pos AS i, m AS n, y FROM ({frames(size, hop, source)}) WHERE m = {size}),
+    sg AS (SELECT user_id AS vec_id, sigma FROM ({multiscale('fs')})), e AS (SELECT user_id AS vec_id, i, y FROM fs){pursued(atoms(indices, size), count, **stops)}, found AS ({phased(pairs)}) """
+
+
+#: Of an event: what a query rounds it to.
+EVENT_COLUMNS = "CAST(pick AS BIGINT) AS pick, atom_index, round(amplitude, 4) + 0.0 AS amplitude, round(phase, 4) + 0.0 AS phase, round(energy, 2) + 0.0 AS energy"
+
+
+def taps(size: int, hop: int, fft: int, count: int) -> str:
+    """CTE body on s: user_id, k, h of the whitening filter."""
+    half = fft // 2
+    return f"""SELECT user_id, k, w / sum(w) OVER (PARTITION BY user_id) AS h FROM (
+      SELECT user_id, k, (0.54 - 0.46 * cos(2 * pi() * k / {count - 1})) * sum(h * CASE WHEN bin IN (0, {half}) THEN 1.0 ELSE 2.0 END * cos(2 * pi() * k * bin / {fft})) AS w
+      FROM (SELECT user_id, bin, 1 / sqrt(psd + 1e-12) AS h FROM ({welch(size, hop, fft)})), (SELECT unnest(range({count})) AS k) GROUP BY user_id, k)"""

@@ -17,7 +17,7 @@ from sigloom.plans import dictionary as D
 from sigloom.plans import oracles as O
 from sigloom.plans import pipeline
 from sigloom.session import shared_path, table
-from sigloom.sources import generated
+from sigloom.sources import binary, generated
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -65,9 +65,9 @@ def rounded(df: DataFrame, **digits: int) -> DataFrame:
 
 
 def bar_rows(df: DataFrame, key: str) -> DataFrame:
-    # the shift keeps quotients by powers of two off rounding ties
-    columns = df.select(key, "bar_idx", "open", "high", "low", "close", "volume", (F.col("vwap") + 1.7e-8).alias("vwap"))
-    return rounded(columns, open=8, high=8, low=8, close=8, volume=4, vwap=6)
+    # vwap stays as it is: both sides add the same terms in the same order, and its quotients by powers of two would be ties
+    columns = df.select(key, "bar_idx", "open", "high", "low", "close", "volume", "vwap")
+    return rounded(columns, open=8, high=8, low=8, close=8, volume=4)
 
 
 # Samples and noise
@@ -317,8 +317,7 @@ QUERIES["pursuit_pick3"], SQL["pursuit_pick3"] = lambda spark, sf_dir: _picked(s
 @query()
 def pursuit_events(spark, sf_dir):
     """The whole dictionary and all stops, sigma from each frame."""
-    f = pipeline.frame_noise(embedding_frames(spark, sf_dir).drop("sigma"), ["vec_id"], Config())
-    return pursuit.pursue_frames(f, ["vec_id"], D.build(D.default_specs(), 64), Pursuit())
+    return pursuit.pursue_frames(embedding_frames(spark, sf_dir), ["vec_id"], D.build(D.default_specs(), 64), Pursuit(), noise=Noise())
 
 
 @query(O.picks(SMALL, 3) + " SELECT vec_id, round(rr, 6) + 0.0 AS energy FROM r3")
@@ -345,6 +344,17 @@ def learn_gradient(spark, sf_dir):
     return rounded(spark.createDataFrame(rows, "atom_index int, i long, g double"), g=4)
 
 
+@query(O.picks(SMALL, 1) + f""", x1 AS (SELECT atom_index, i, any_value(v) + 0.002 * (sum(amount * (y - amount * v)) + sum(amount * amount) * any_value(v)) - 0.001 * any_value(v) AS v FROM b1 JOIN e USING (vec_id) JOIN a USING (atom_index, i) GROUP BY ALL),
+  d1 AS (SELECT atom_index, i, v / sqrt(sum(v * v) OVER (PARTITION BY atom_index)) AS v FROM (SELECT * FROM x1 UNION ALL SELECT atom_index, i, v FROM a WHERE atom_index NOT IN (SELECT atom_index FROM x1))),
+  t1 AS (SELECT vec_id, max(p * p) AS best FROM (SELECT vec_id, atom_index, sum(y * v) AS p FROM e JOIN d1 USING (i) GROUP BY ALL) GROUP BY vec_id)
+  SELECT CAST(0 AS INTEGER) AS iteration, round(sqrt(sum(rr) / (64 * count(*))), 6) AS rmse FROM r1 UNION ALL SELECT 1, round(sqrt(sum(rr - best) / (64 * count(*))), 6) FROM r0 JOIN t1 USING (vec_id)""")
+def learn_two_rounds(spark, sf_dir):
+    """The error before and after a step from known atoms, one pick a frame."""
+    p = Learning(iterations=2, rate=1e-3, atoms_per_frame=1, tolerance=0.0)
+    _, trace = learning.learn(embedding_frames(spark, sf_dir), small_dictionary().atoms, p)
+    return rounded(spark.createDataFrame([(k, float(v)) for k, v in enumerate(trace)], "iteration int, rmse double"), rmse=6)
+
+
 @query()
 def learn_rmse(spark, sf_dir):
     f = embedding_frames(spark, sf_dir)
@@ -372,9 +382,22 @@ def fir_apply(spark, sf_dir):
     return rounded(spectrum.fir(s, USER, taps), y=6)
 
 
-@query()
+@query(S + f""", k AS ({O.taps(32, 16, 32, 8)}), w AS (
+  SELECT o.user_id, o.i, sum(x.y * k.h) AS y FROM s o JOIN k USING (user_id) JOIN s x ON x.user_id = o.user_id AND x.i = CASE WHEN o.i - k.k < 0 THEN least(k.k - o.i - 1, o.n - 1) ELSE o.i - k.k END GROUP BY o.user_id, o.i
+  UNION ALL SELECT user_id, i, y FROM s WHERE n < 32) SELECT user_id, i, round(y, 4) + 0.0 AS y FROM w""")
 def whiten(spark, sf_dir):
-    return spectrum.whiten(event_samples(spark, sf_dir), USER, WELCH)
+    return rounded(spectrum.whiten(event_samples(spark, sf_dir), USER, WELCH), y=4)
+
+
+@query(S + f"SELECT user_id, CAST(k AS INTEGER) AS k, round(h, 6) + 0.0 AS h FROM ({O.taps(32, 16, 32, 8)})")
+def whiten_taps(spark, sf_dir):
+    t = spectrum.whitening_taps(spectrum.welch_psd(event_samples(spark, sf_dir), USER, WELCH), USER, WELCH)
+    return rounded(t.select("user_id", F.posexplode("taps").alias("k", "h")), h=6)
+
+
+@query(S + f"SELECT user_id, round(f, 6) AS flatness, f < 0.3 AS coloured, round(greatest(0.0, 1 - f / 0.3), 5) + 0.0 AS confidence FROM (SELECT user_id, exp(avg(ln(psd + 1e-300))) / avg(psd + 1e-300) AS f FROM ({O.welch(32, 16, 32)}) GROUP BY user_id)")
+def coloured_noise(spark, sf_dir):
+    return rounded(noise.is_coloured(spectrum.welch_psd(event_samples(spark, sf_dir), USER, WELCH), USER), flatness=6, confidence=5)
 
 
 # Bases and linear systems
@@ -398,18 +421,50 @@ def basis_project(spark, sf_dir):
     return rounded(c.select("user_id", "frame_start", F.posexplode("coeff").alias("basis_index", "c")).withColumn("basis_index", F.col("basis_index").cast("long")), c=4)
 
 
-@query()
+@query(f"WITH b AS ({_BASIS_SQL}) " + O.gram_schmidt("b", 11, [], "SELECT basis_index, i, round(v, 6) + 0.0 AS v FROM q"))
 def orthonormalize(spark, sf_dir):
     q, _ = Q.orthonormalise(Q.build_basis(32, BASIS))
-    return _basis_frame(spark, q)
+    return rounded(_basis_frame(spark, q), v=6)
+
 
+@query(f"WITH b AS ({_BASIS_SQL}) " + O.gram_schmidt("b", 11, [], "SELECT q.basis_index AS j, b.basis_index AS k, round(sum(q.v * b.v), 6) + 0.0 AS r FROM q JOIN b USING (i) GROUP BY ALL"))
+def orthonormalize_r(spark, sf_dir):
+    """R = Q A', all of it."""
+    _, r = Q.orthonormalise(Q.build_basis(32, BASIS))
+    return rounded(_basis_frame(spark, r).select(F.col("basis_index").alias("j"), F.col("i").alias("k"), F.col("v").alias("r")), r=6)
 
-@query(f"WITH b AS ({_BASIS_SQL}), u AS (SELECT basis_index, i, v / sqrt(sum(v * v) OVER (PARTITION BY basis_index)) AS v FROM b) SELECT round(max(abs(g - CASE WHEN j = k THEN 1 ELSE 0 END)), 6) AS error FROM (SELECT x.basis_index AS j, z.basis_index AS k, sum(x.v * z.v) AS g FROM u x JOIN u z USING (i) GROUP BY ALL)")
+
+@query(f"WITH b AS ({_BASIS_SQL}), u AS (SELECT basis_index, i, v / sqrt(sum(v * v) OVER (PARTITION BY basis_index)) AS v FROM b) SELECT round(max(abs(g - CASE WHEN j = k THEN 1 ELSE 0 END)), 6) AS error, 0.0::DOUBLE AS after FROM (SELECT x.basis_index AS j, z.basis_index AS k, sum(x.v * z.v) AS g FROM u x JOIN u z USING (i) GROUP BY ALL)")
 def ortho_error(spark, sf_dir):
+    """The operator's error measure on unit rows, before and after they are made orthonormal."""
     b = Q.build_basis(32, BASIS)
-    u = _basis_frame(spark, b / np.linalg.norm(b, axis=1, keepdims=True))
-    g = u.alias("x").join(u.alias("z"), "i").groupBy(F.col("x.basis_index").alias("j"), F.col("z.basis_index").alias("k")).agg(F.sum(F.col("x.v") * F.col("z.v")).alias("g"))
-    return g.agg(F.round(F.max(F.abs(F.col("g") - F.when(F.col("j") == F.col("k"), 1.0).otherwise(0.0))), 6).alias("error"))
+    unit = b / np.linalg.norm(b, axis=1, keepdims=True)
+    return rounded(spark.createDataFrame([(Q.orthogonality_error(unit), Q.orthogonality_error(Q.orthonormalise(unit)[0]))], "error double, after double"), error=6, after=6)
+
+
+@query(f"SELECT basis_index, i, round(v + 0.5 * (basis_index + 1) * (i + 1) * 1e-6, 8) + 0.0 AS v FROM ({_BASIS_SQL})")
+def basis_regularised(spark, sf_dir):
+    return rounded(_basis_frame(spark, Q.regularised(Q.build_basis(32, BASIS), 0.5)), v=8)
+
+
+_USER_BASES = f"SELECT user_id, CAST(frame_start / 16 AS INTEGER) AS basis_index, pos AS i, y AS v FROM ({O.frames(32, 16)}) WHERE m = 32"
+
+
+def user_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = series.frames(event_samples(spark, sf_dir).where("n >= 32"), USER, 32, 16)
+    return f.select("user_id", (F.col("frame_start") / 16).cast("int").alias("basis_index"), "y")
+
+
+@query(S + f"SELECT user_id, round(CASE WHEN min(l) > 1e-30 THEN max(l) / min(l) ELSE 1e15 END, 6) AS condition FROM (SELECT user_id, basis_index, sqrt(sum(v * v)) AS l FROM ({_USER_BASES}) GROUP BY ALL) GROUP BY user_id")
+def basis_condition(spark, sf_dir):
+    return rounded(Q.condition_estimates(user_bases(spark, sf_dir), USER), condition=6)
+
+
+@query(S + f", b AS ({_USER_BASES}) " + O.gram_schmidt("b", 3, ["user_id"], "SELECT user_id, CAST(basis_index AS INTEGER) AS basis_index, i, round(v, 5) + 0.0 AS v FROM q"))
+def orthonormalize_batch(spark, sf_dir):
+    """Many bases at once: each series' first three frames."""
+    q = Q.orthonormalise_groups(user_bases(spark, sf_dir), USER, [0, 1, 2])
+    return rounded(q.select("user_id", "basis_index", F.posexplode("q").alias("i", "v")).withColumn("i", F.col("i").cast("long")), v=5)
 
 
 @query(S + "SELECT user_id, round((sy * sii - si * siy) / (n * sii - si * si), 6) AS x0, round((n * siy - si * sy) / (n * sii - si * si), 6) + 0.0 AS x1 FROM (SELECT user_id, count(*)::DOUBLE AS n, sum(i)::DOUBLE AS si, sum(i * i)::DOUBLE AS sii, sum(y) AS sy, sum(i * y) AS siy FROM s GROUP BY user_id) WHERE n >= 2")
@@ -418,9 +473,103 @@ def solve_dense(spark, sf_dir):
     return rounded(x.select("user_id", F.col("x")[0].alias("x0"), F.col("x")[1].alias("x1")), x0=6, x1=6)
 
 
-@query()
+_ROWS = "SELECT user_id, i, y FROM s WHERE i < 12 AND n >= 12"
+_LINE = f"""SELECT user_id, (n * siy - si * sy) / (n * sii - si * si) AS x1, (sy - (n * siy - si * sy) / (n * sii - si * si) * si) / n AS x0 FROM (
+  SELECT user_id, count(*)::DOUBLE AS n, sum(i)::DOUBLE AS si, sum(i * i)::DOUBLE AS sii, sum(y) AS sy, sum(i * y) AS siy FROM ({_ROWS}) GROUP BY user_id)"""
+
+
+def first_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first twelve samples of each series as observations of a line."""
+    return linear.line_rows(event_samples(spark, sf_dir).where("n >= 12 and i < 12"), USER)
+
+
+@query(S + f"SELECT user_id, round(x0, 6) + 0.0 AS x0, round(x1, 6) + 0.0 AS x1, round(sqrt(sum(pow(x0 + x1 * i - y, 2))), 6) AS residual FROM ({_LINE}) JOIN ({_ROWS}) USING (user_id) GROUP BY user_id, x0, x1")
 def solve_small_iter(spark, sf_dir):
-    return linear.solve(linear.line_systems(event_samples(spark, sf_dir).where("n >= 2"), USER), USER, linear.relaxed)
+    x = linear.solve(first_rows(spark, sf_dir), USER, linear.conjugate_gradients)
+    return rounded(x.select("user_id", F.col("x")[0].alias("x0"), F.col("x")[1].alias("x1"), "residual"), x0=6, x1=6, residual=6)
+
+
+@query(SQL["solve_small_iter"])
+def solve_least_squares(spark, sf_dir):
+    """The rectangular branch of the direct solver."""
+    x = linear.solve(first_rows(spark, sf_dir), USER)
+    return rounded(x.select("user_id", F.col("x")[0].alias("x0"), F.col("x")[1].alias("x1"), "residual"), x0=6, x1=6, residual=6)
+
+
+@query(S + f"""SELECT user_id, round((sy * (sii + 0.5) - si * siy) / ((n + 0.5) * (sii + 0.5) - si * si), 6) + 0.0 AS x0, round(((n + 0.5) * siy - si * sy) / ((n + 0.5) * (sii + 0.5) - si * si), 6) + 0.0 AS x1 FROM (
+  SELECT user_id, count(*)::DOUBLE AS n, sum(i)::DOUBLE AS si, sum(i * i)::DOUBLE AS sii, sum(y) AS sy, sum(i * y) AS siy FROM ({_ROWS}) GROUP BY user_id)""")
+def solve_ridge(spark, sf_dir):
+    x = linear.solve(first_rows(spark, sf_dir), USER, lambda a, b: linear.ridge(a, b, 0.5))
+    return rounded(x.select("user_id", F.col("x")[0].alias("x0"), F.col("x")[1].alias("x1")), x0=6, x1=6)
+
+
+_NORMAL = "SELECT user_id, count(*)::DOUBLE AS n, sum(i)::DOUBLE AS si, sum(i * i)::DOUBLE AS sii, sum(y) AS sy, sum(i * y) AS siy FROM s WHERE n >= 2 GROUP BY user_id"
+
+
+@query(S + f"SELECT user_id, round(si / n, 6) AS a01, round(si / sii, 6) AS a10, round(sy / n, 6) AS b0, round(siy / sii, 6) AS b1, round(1 + si / n * (si / n), 6) AS l0, round(si / sii * (si / sii) + 1, 6) AS l1 FROM ({_NORMAL})")
+def solve_row_scaled(spark, sf_dir):
+    """Systems over their diagonal; the transpose's columns and their squared lengths."""
+
+    def one(a: np.ndarray, b: np.ndarray) -> tuple:
+        scaled, right = linear.row_scaled(a, b)
+        t, _ = linear.transposed_and_scaled(a)
+        return (float(t[1, 0]), float(scaled[1, 0]), *map(float, right), *map(float, (t * t).sum(0)))
+
+    x = linear.per_matrix(linear.line_systems(event_samples(spark, sf_dir).where("n >= 2"), USER), USER, "a01 double, a10 double, b0 double, b1 double, l0 double, l1 double", one)
+    return rounded(x, a01=6, a10=6, b0=6, b1=6, l0=6, l1=6)
+
+
+@query(S + f"""SELECT user_id, round(ln(hi / lo), 5) AS log_condition, round(sqrt(hi), 5) AS norm FROM (
+  SELECT user_id, (n + sii + sqrt(pow(n - sii, 2) + 4 * si * si)) / 2 AS hi, (n * sii - si * si) / ((n + sii + sqrt(pow(n - sii, 2) + 4 * si * si)) / 2) AS lo FROM ({_NORMAL}))""")
+def solve_condition(spark, sf_dir):
+    """Condition of the normal matrix, and the greatest singular value of the observations by power iteration."""
+
+    def one(a: np.ndarray, _: np.ndarray) -> tuple:
+        return (float(np.log(linear.condition_number(a))), float(np.sqrt(linear.power_norm(a))))
+
+    return rounded(linear.per_matrix(linear.line_systems(event_samples(spark, sf_dir).where("n >= 2"), USER), USER, "log_condition double, norm double", one), log_condition=5, norm=5)
+
+
+_GRAM = f"SELECT user_id, count(*)::DOUBLE AS n, sum(i)::DOUBLE AS si, sum(i * i)::DOUBLE AS sii FROM ({_ROWS}) GROUP BY user_id"
+
+
+@query(S + f"SELECT user_id, round(sqrt((n + sii + sqrt(pow(n - sii, 2) + 4 * si * si)) / 2), 6) AS s0, round(sqrt((n * sii - si * si) / ((n + sii + sqrt(pow(n - sii, 2) + 4 * si * si)) / 2)), 6) AS s1 FROM ({_GRAM})")
+def solve_svd(spark, sf_dir):
+    """Singular values of the observations by Jacobi rotations."""
+    x = linear.per_matrix(first_rows(spark, sf_dir), USER, "s0 double, s1 double", lambda a, _: tuple(map(float, linear.jacobi_svd(a)[1])))
+    return rounded(x, s0=6, s1=6)
+
+
+@query(S + f"SELECT user_id, round(sqrt(n), 6) AS r00, round(si / sqrt(n), 6) AS r01, round(sqrt(sii - si * si / n), 6) AS r11 FROM ({_GRAM})")
+def solve_qr(spark, sf_dir):
+    """R of the observations by Householder reflections."""
+    x = linear.per_matrix(first_rows(spark, sf_dir), USER, "r00 double, r01 double, r11 double", lambda a, _: tuple(float(v) for v in linear.householder_qr(a)[1][[0, 0, 1], [0, 1, 1]]))
+    return rounded(x, r00=6, r01=6, r11=6)
+
+
+def _embedded_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    return e.select(F.col("vec_id").alias("row"), F.posexplode(F.transform("embedding", lambda x: x.cast("double"))).alias("col", "v"))
+
+
+def _ramp(spark: SparkSession) -> DataFrame:
+    return spark.range(64).select(F.col("id").cast("int").alias("col"), (1.0 / (1 + F.col("id"))).alias("x"))
+
+
+@query(f"SELECT vec_id AS row, round(sum(y / (1 + i)), 6) + 0.0 AS y FROM ({O.EMBEDDED}) GROUP BY vec_id")
+def matrix_product(spark, sf_dir):
+    return rounded(linear.matvec(_embedded_entries(spark, sf_dir), _ramp(spark)), y=6)
+
+
+@query(f"WITH e AS ({O.EMBEDDED}), p AS (SELECT vec_id, sum(y / (1 + i)) AS p FROM e GROUP BY vec_id) SELECT CAST(i AS INTEGER) AS col, round(sum(y * p), 5) + 0.0 AS x FROM e JOIN p USING (vec_id) GROUP BY i")
+def matrix_normal_product(spark, sf_dir):
+    """A'(A x): the step of power iteration, over a distributed matrix."""
+    return rounded(linear.normal_matvec(_embedded_entries(spark, sf_dir), _ramp(spark)), x=5)
+
+
+@query(f"SELECT round(max(abs(y)), 6) AS max_abs, CAST(0 AS BIGINT) AS nan, CAST(0 AS BIGINT) AS infinite FROM ({O.EMBEDDED})")
+def matrix_stats(spark, sf_dir):
+    return rounded(linear.matrix_stats(_embedded_entries(spark, sf_dir)), max_abs=6)
 
 
 _LOG = "SELECT id AS run, (id % 11) / 10.0 AS rate, 0.6 + (id % 7) * 0.2 AS omega, pow(10.0, id % 15) AS cond, CASE WHEN id % 4 = 0 THEN 5.0 WHEN id % 4 = 1 THEN 50.0 WHEN id % 4 = 2 THEN 500.0 ELSE 5000.0 END AS avg_ms, CASE WHEN id % 5 = 0 THEN 1e-13 ELSE 1e-3 END AS final_residual FROM "
@@ -449,6 +598,30 @@ def rls_fold(spark, sf_dir):
     return rounded(detrend.rls(event_samples(spark, sf_dir), USER).drop("y"), trend=4, residual=4)
 
 
+_LINE_FIT = """, t AS (SELECT *, CASE WHEN n > 1 THEN i / (n - 1)::DOUBLE ELSE 0.0 END AS t FROM s), f AS (SELECT user_id, count(*) AS m, avg(y) AS a0, covar_pop(y, t) / var_pop(t) AS b1, avg(y) - covar_pop(y, t) / var_pop(t) * avg(t) AS a1 FROM t WHERE n >= 4 GROUP BY user_id),
+  r AS (SELECT user_id, abs(y - a0) AS e0, abs(y - a1 - b1 * t) AS e1 FROM t JOIN f USING (user_id)), c AS (SELECT user_id, median(e0) / 0.6745 + 1e-30 AS s0, median(e1) / 0.6745 + 1e-30 AS s1 FROM r GROUP BY user_id),
+  q AS (SELECT user_id, sum(e0 * e0 * CASE WHEN e0 <= 1.345 * s0 THEN 1 ELSE 1.345 * s0 / (e0 + 1e-30) END) AS q0, sum(e1 * e1 * CASE WHEN e1 <= 1.345 * s1 THEN 1 ELSE 1.345 * s1 / (e1 + 1e-30) END) AS q1 FROM r JOIN c USING (user_id) GROUP BY user_id),
+  o AS (SELECT f.*, q0, q1, m * ln(q1 / m + 1e-30) + 4 * ln(m) < m * ln(q0 / m + 1e-30) + 2 * ln(m) AS line FROM f JOIN q USING (user_id))"""
+LINE = Detrend(min_length=16, max_segments=1, max_order=1, huber_iterations=1)
+
+
+@query(S + _LINE_FIT + " SELECT user_id, i, round(trend, 9) + 0.0 AS trend, round(y - trend, 9) + 0.0 AS residual FROM (SELECT t.user_id, i, y, CASE WHEN m IS NULL THEN 0.0 WHEN line THEN a1 + b1 * t ELSE a0 END AS trend FROM t LEFT JOIN o USING (user_id))")
+def detrend_line(spark, sf_dir):
+    """A line or a constant a series, whichever the information criterion prefers."""
+    return rounded(detrend.detrended(event_samples(spark, sf_dir), USER, LINE).drop("y"), trend=9, residual=9)
+
+
+@query(S + _LINE_FIT + " SELECT user_id, CAST(1 AS BIGINT) AS segments, m AS samples, round(CASE WHEN line THEN q1 ELSE q0 END, 4) AS sse, CASE WHEN line THEN 1 ELSE 0 END AS highest_order, m AS shortest FROM o")
+def detrend_stats(spark, sf_dir):
+    return rounded(detrend.segment_stats(detrend.piecewise(event_samples(spark, sf_dir), USER, LINE), USER), sse=4)
+
+
+@query(SQL["rls_fold"])
+def detrend_causal(spark, sf_dir):
+    """The trend predicted from earlier samples."""
+    return rounded(detrend.detrended(event_samples(spark, sf_dir), USER, Detrend(causal=True)).drop("y"), trend=4, residual=4)
+
+
 @query()
 def detrend_piecewise(spark, sf_dir):
     return detrend.piecewise(event_samples(spark, sf_dir), USER, Detrend(min_length=16, max_segments=4))
@@ -464,14 +637,172 @@ def dd_sum(spark, sf_dir):
     return rounded(twofold.compensated_sum(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_extendedprice"), total=2)
 
 
+@query("""SELECT event_id, round(value - 0.1, 9) AS difference, round(value / 3, 9) AS quotient, abs(value - 50) AS absolute, abs(value) <= 1e-9 AS small,
+  round(CASE WHEN value - 50 > 0 THEN sqrt(value - 50) ELSE 0 END, 9) AS root, round(CASE WHEN value - 50 > 0 THEN ln(value - 50) ELSE 0 END, 9) AS logarithm, round(exp(value / 100), 9) AS exponential, round(sin(value), 9) + 0.0 AS sine, round(cos(value), 9) + 0.0 AS cosine
+FROM events WHERE value IS NOT NULL AND NOT isnan(value)""")
+def dd_functions(spark, sf_dir):
+    v, e = F.col("value"), table(spark, sf_dir, "events").where("value is not null and not isnan(value)")
+    x, shifted = twofold.make(v), twofold.make(v - 50)
+    got = e.select(
+        "event_id", twofold.value(twofold.sub(x, twofold.make(F.lit(0.1)))).alias("difference"), twofold.value(twofold.div(x, twofold.make(F.lit(3.0)))).alias("quotient"),
+        twofold.value(twofold.absolute(shifted)).alias("absolute"), twofold.is_small(x).alias("small"), twofold.value(twofold.sqrt(shifted)).alias("root"), twofold.value(twofold.log(shifted)).alias("logarithm"),
+        twofold.value(twofold.exp(twofold.make(v / 100))).alias("exponential"), twofold.value(twofold.sin(x)).alias("sine"), twofold.value(twofold.cos(x)).alias("cosine"),
+    )
+    return rounded(got, difference=9, quotient=9, root=9, logarithm=9, exponential=9, sine=9, cosine=9)
+
+
+@query("""WITH v AS (SELECT user_id, floor(value) AS hi, CAST(event_id % 7 AS DOUBLE) / 1e17 AS lo FROM events WHERE value IS NOT NULL AND NOT isnan(value) AND event_id % 3 = 0)
+SELECT user_id, pos, hi, lo, coalesce(lead(hi) OVER w < hi OR (lead(hi) OVER w = hi AND lead(lo) OVER w < lo), FALSE) AS falls FROM (SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY hi DESC, lo DESC) - 1 AS INTEGER) AS pos, hi, lo FROM v) WINDOW w AS (PARTITION BY user_id ORDER BY pos)""")
+def dd_order(spark, sf_dir):
+    """Double-doubles that share high parts, in falling order, and whether each is above the next."""
+    e = table(spark, sf_dir, "events").where("value is not null and not isnan(value) and event_id % 3 = 0")
+    g = e.groupBy("user_id").agg(F.collect_list(twofold.make(F.floor("value"), (F.col("event_id") % 7).cast("double") / 1e17)).alias("a"))
+    a = g.select("user_id", twofold.descending(F.col("a")).alias("a"))
+    falls = F.transform("a", lambda x, i: F.struct(x["hi"].alias("hi"), x["lo"].alias("lo"), F.coalesce(twofold.less(F.get("a", i + 1), x), F.lit(False)).alias("falls")))
+    return a.select("user_id", F.posexplode(falls).alias("pos", "v")).select("user_id", "pos", "v.hi", "v.lo", "v.falls")
+
+
+@query("SELECT event_id, round(least(greatest(pow(x, 1.5) * pow(1 - x, 2.0), 0.0), 1.0), 9) AS v FROM (SELECT event_id, least(greatest(value / 100, 0.0), 1.0) AS x FROM events WHERE value IS NOT NULL AND NOT isnan(value))")
+def beta_kernel(spark, sf_dir):
+    e = table(spark, sf_dir, "events").where("value is not null and not isnan(value)")
+    return rounded(e.select("event_id", scalar.incomplete_beta_kernel(F.least(F.greatest(F.col("value") / 100, F.lit(0.0)), F.lit(1.0)), 1.5, 2.0).alias("v")), v=9)
+
+
 @query("SELECT event_id, round(value * value + value, 6) AS v FROM events")
 def dd_arithmetic(spark, sf_dir):
     x = twofold.make(F.col("value"))
     return rounded(table(spark, sf_dir, "events").select("event_id", twofold.value(twofold.add(twofold.mul(x, x), x)).alias("v")), v=6)
 
 
+# Formats
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return shared_path(spark, name)
+
+
+@query(S + "SELECT user_id, i, round(y, 9) AS y FROM s")
+def format_blocks(spark, sf_dir):
+    """Samples into block files of several blocks a series, and back through the block source."""
+    from sigloom.functions.sql import register
+
+    register(spark)
+    path = _folder(spark, "blocks")
+    listed = binary.write_blocks(event_samples(spark, sf_dir), USER, path, size=25, scale=4.0)
+    read = spark.read.format("signal_blocks").option("path", path).load().withColumn("file", F.element_at(F.split("path", "/"), -1))
+    return rounded(read.join(listed, ["file", "block_id"]).select("user_id", (F.col("chunk") * 25 + F.col("i")).alias("i"), "y"), y=9)
+
+
+@query(SQL["format_blocks"])
+def format_blocks_binary(spark, sf_dir):
+    """The same through Spark's own file reader."""
+    path = _folder(spark, "blocks")
+    listed = binary.write_blocks(event_samples(spark, sf_dir), USER, path, size=40)
+    read = binary.read_blocks(spark, path).withColumn("file", F.element_at(F.split("path", "/"), -1))
+    return rounded(read.join(listed, ["file", "block_id"]).select("user_id", (F.col("chunk") * 40 + F.col("i")).alias("i"), "y"), y=9)
+
+
+def _files(spark: SparkSession, name: str, **contents: bytes) -> str:
+    path = _folder(spark, name)
+    binary.write_files(spark.createDataFrame([(k, bytearray(v)) for k, v in contents.items()], "name string, data binary"), path)
+    return path
+
+
+@query(" UNION ALL ".join(f"SELECT '{f}' AS name, CAST(row_number() OVER (PARTITION BY i ORDER BY atom_index) - 1 AS INTEGER) AS atom_index, i, round(v, 6) + 0.0 AS v FROM (SELECT * FROM ({O.atoms(SMALL, 64)}))" for f in ("low", "short")))
+def format_dictionary(spark, sf_dir):
+    """A dictionary into files of both layouts and back."""
+    d = small_dictionary()
+    path = _files(spark, "dictionaries", low=binary.encode_dictionary(d.atoms, d.norms), short=binary.encode_dictionary(d.atoms, d.norms, with_low=False))
+    read = binary.read_dictionary_files(spark, path)
+    return rounded(read.select("name", "atom_index", F.posexplode("atom").alias("i", "v")).withColumn("i", F.col("i").cast("long")), v=6)
+
+
+@query(f"WITH b AS ({_BASIS_SQL}) " + O.gram_schmidt("b", 11, [], "SELECT f.name, batch, CAST(basis_index AS INTEGER) AS basis_index, i, round(v, 6) + 0.0 AS v FROM q, (SELECT 'one' AS name, 0 AS batch UNION ALL SELECT 'two', 0 UNION ALL SELECT 'two', 1) f"))
+def format_basis(spark, sf_dir):
+    """An orthonormal basis into a file of one and a file of two, and back."""
+    q, r = Q.orthonormalise(Q.build_basis(32, BASIS))
+    path = _files(spark, "bases", one=binary.encode_basis(q, r), two=binary.encode_basis(np.stack((q, q)), np.stack((r, r))))
+    read = binary.read_basis_files(spark, path)
+    return rounded(read.select("name", "batch", "basis_index", F.posexplode("q").alias("i", "v")).withColumn("i", F.col("i").cast("long")), v=6)
+
+
 # Pipelines
 
+#: Sine members of the pairs in SMALL.
+PAIRS = [70, 94, 118]
+
+
+def event_rows(events: DataFrame, keys: list[str]) -> DataFrame:
+    return rounded(events.select(*keys, "pick", "atom_index", "amplitude", "phase", "energy"), amplitude=4, phase=4, energy=2)
+
+
+def sample_events(spark: SparkSession, sf_dir: str, p: Pursuit, **changes) -> DataFrame:
+    d = D.subset(D.build(D.default_specs(), 32), SMALL)
+    return pipeline.decompose(event_samples(spark, sf_dir).where("n >= 32"), USER, Config(frame_size=32, hop=16, pursuit=p, **changes), d)
+
+
+_FOUND = S + O.decomposed(32, 16, SMALL, PAIRS, 3)
+
+
+@query(_FOUND + f"SELECT vec_id.u AS user_id, vec_id.f AS frame_start, {O.EVENT_COLUMNS} FROM found")
+def decompose_samples(spark, sf_dir):
+    """Samples to frames to noise to events with their phases, three picks of twelve atoms."""
+    return event_rows(sample_events(spark, sf_dir, Pursuit(max_iterations=3)), ["user_id", "frame_start"])
+
+
+@query(S + O.decomposed(32, 16, SMALL, PAIRS, 4, gamma=0.4, theta=0.01) + f"SELECT vec_id.u AS user_id, vec_id.f AS frame_start, {O.EVENT_COLUMNS} FROM found")
+def decompose_stopped(spark, sf_dir):
+    """The same with higher floors, so that both rules stop frames before their fourth pick."""
+    return event_rows(sample_events(spark, sf_dir, Pursuit(max_iterations=4, gamma=0.4, theta=0.01)), ["user_id", "frame_start"])
+
+
+@query(O.bars(O.TICKS, "l_suppkey", 100) + ", s AS (SELECT l_suppkey AS user_id, bar_idx AS i, count(*) OVER (PARTITION BY l_suppkey) AS n, close AS y FROM bars)" + O.decomposed(16, 8, SMALL, PAIRS, 2) + f"SELECT vec_id.u AS l_suppkey, vec_id.f AS frame_start, {O.EVENT_COLUMNS} FROM found")
+def decompose_bars(spark, sf_dir):
+    """Ticks to volume bars to frames to noise to events."""
+    d = D.subset(D.build(D.default_specs(), 16), SMALL)
+    s = pipeline.bar_samples(line_ticks(spark, sf_dir), SUPPLIER, TICK_ORDER, tick_config())
+    return event_rows(pipeline.decompose(s.where("n >= 16"), SUPPLIER, tick_config(pursuit=Pursuit(max_iterations=2)), d), ["l_suppkey", "frame_start"])
+
+
+@query(_FOUND + "SELECT vec_id.u AS user_id, count(*) OVER (PARTITION BY vec_id.u) AS num_events, vec_id.f AS frame_start, CAST(pick AS BIGINT) AS pick, atom_index, round(abs(amplitude), 4) + 0.0 AS amplitude, round(phase, 4) + 0.0 AS phase, round(energy, 2) + 0.0 AS energy FROM found")
+def export_json(spark, sf_dir):
+    """Each series' JSON document, read back."""
+    schema = "num_events long, events array<struct<frame_start: long, pick: long, atom_index: int, amplitude: double, phase: double, energy: double>>"
+    j = pipeline.events_json(sample_events(spark, sf_dir, Pursuit(max_iterations=3)), USER).select("user_id", F.from_json("json", schema).alias("j"))
+    rows = j.select("user_id", "j.num_events", F.inline("j.events"))
+    return rounded(rows, amplitude=4, phase=4, energy=2)
+
+
+@query(_FOUND + f", r AS (SELECT vec_id, CAST(row_number() OVER (PARTITION BY vec_id.u ORDER BY vec_id.f, pick) - 1 AS BIGINT) AS pick, vec_id.f AS frame_start, atom_index, amplitude, phase, energy FROM found) SELECT vec_id.u AS user_id, frame_start, {O.EVENT_COLUMNS} FROM r")
+def export_binary(spark, sf_dir):
+    """Each series' event file, written and read back."""
+    path = _folder(spark, "events")
+    data = binary.events_binary(sample_events(spark, sf_dir, Pursuit(max_iterations=3)), USER, 32)
+    binary.write_files(data.select(F.concat("user_id", F.lit(".events")).alias("name"), "data"), path)
+    read = binary.read_event_files(spark, path).withColumn("user_id", F.split("name", "[.]")[0].cast("long"))
+    return event_rows(read, ["user_id", "frame_start"])
+
+
+_COEFFICIENTS = f", b AS ({_BASIS_SQL}) " + O.gram_schmidt("b", 11, [], f"SELECT user_id, frame_start, CAST(basis_index AS BIGINT) AS basis_index, round(sum(y * v), 4) + 0.0 AS c FROM ({O.frames(32, 16)}) f JOIN q ON q.i = f.pos WHERE m = 32 GROUP BY ALL")
+
+
+@query(S + _COEFFICIENTS)
+def decompose_coefficients(spark, sf_dir):
+    """Frames on the orthonormal basis."""
+    c = pipeline.coefficients(event_samples(spark, sf_dir), USER, Config(frame_size=32, hop=16, basis=BASIS))
+    return rounded(c.select("user_id", "frame_start", F.posexplode("coeff").alias("basis_index", "c")).withColumn("basis_index", F.col("basis_index").cast("long")), c=4)
+
+
+@query(f"SELECT user_id, CAST(frame_start / 16 AS BIGINT) AS frame, basis_index, c FROM ({S + _COEFFICIENTS})")
+def export_coefficients(spark, sf_dir):
+    """The tails of the event files."""
+    path, cfg = _folder(spark, "coefficients"), Config(frame_size=32, hop=16, basis=BASIS)
+    c = pipeline.coefficients(event_samples(spark, sf_dir).where("n >= 32"), USER, cfg)
+    data = binary.events_binary(sample_events(spark, sf_dir, Pursuit(max_iterations=1)), USER, 32, c)
+    binary.write_files(data.select(F.concat("user_id", F.lit(".events")).alias("name"), "data"), path)
+    read = binary.read_coefficient_files(spark, path).withColumn("user_id", F.split("name", "[.]")[0].cast("long"))
+    return rounded(read.select("user_id", "frame", F.posexplode("coeff").alias("basis_index", "c")).withColumn("basis_index", F.col("basis_index").cast("long")), c=4)
+
 
 @query()
 def pipeline_samples(spark, sf_dir):

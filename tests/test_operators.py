@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from sigloom.config import Bars, Basis, Config, Detrend, Frequency, Learning, Noise, Pursuit
 from sigloom.functions import atoms, twofold
@@ -215,7 +216,7 @@ def test_linear_solvers():
     a, x = rng.standard_normal((4, 4)) + 4 * np.eye(4), rng.standard_normal(4)
     assert np.allclose(linear.gauss(a, a @ x), x) and linear.gauss(np.zeros((2, 2)), np.ones(2)) is None
     assert linear.gauss(np.full((2, 2), np.nan), np.ones(2)) is None and linear.gauss(np.zeros((0, 0)), np.zeros(0)).size == 0
-    assert np.allclose(linear.relaxed(a, a @ x), x, atol=1e-6)
+    assert np.allclose(linear.conjugate_gradients(a, a @ x), x, atol=1e-6)
     tall = rng.standard_normal((6, 2))
     assert np.allclose(linear.gauss(tall, tall @ [1.0, 2.0]), [1, 2])
     assert np.allclose(linear.ridge(a, a @ x, 0.0), x) and linear.condition_number(np.eye(3)) == pytest.approx(1)
@@ -223,6 +224,67 @@ def test_linear_solvers():
     assert np.allclose(np.linalg.solve(s, t), x)
 
 
+def test_factorisations():
+    rng = np.random.default_rng(8)
+    for shape, block in (((7, 4), 2), ((5, 5), 32), ((40, 33), 8), ((3, 1), 1)):
+        a = rng.standard_normal(shape)
+        q, r = linear.householder_qr(a, block)
+        assert np.allclose(q @ r, a) and np.allclose(q.T @ q, np.eye(shape[1])) and np.allclose(np.tril(r, -1), 0) and (np.diag(r) >= 0).all()
+        u, s, vt = linear.jacobi_svd(a)
+        assert np.allclose(u * s @ vt, a) and np.allclose(s, np.linalg.svd(a)[1]) and linear.power_norm(a, 5000) == pytest.approx(s[0], rel=1e-4)
+    assert linear.jacobi_svd(np.zeros((3, 2)))[1].tolist() == [0, 0] and linear.normalised(np.zeros(2)).tolist() == [0, 0]
+    wide = rng.standard_normal((12, 5)) * np.logspace(0, 5, 5)
+    x = linear.conjugate_gradients(wide, np.arange(12.0))
+    assert np.allclose(x, np.linalg.lstsq(wide, np.arange(12.0), rcond=None)[0], rtol=1e-6) and linear.conjugate_gradients(np.full((2, 2), np.inf), np.ones(2)) is None
+    assert linear.conjugate_gradients(np.array([[1.0, 0.0], [0.0, 0.0]]), np.array([2.0, 1.0])).tolist() == [2.0, 0.0]
+
+
+def test_frames_in_place_equal_series(spark):
+    """Noise and dominant frequency of frames, in the batch, equal those of series."""
+    rng = np.random.default_rng(12)
+    for n in (3, 4, 9, 40, 70, 200):
+        ys = [rng.standard_normal(n).cumsum(), np.zeros(n), rng.integers(0, 3, n).astype(float), rng.standard_normal(n)]
+        s = samples(spark, *ys)
+        for p in (Noise(), Noise(refine=0, scales=1), Noise(min_block=5, max_block=33, scales=2, refine=3)):
+            want = {r["s"]: r["sigma"] for r in noise.multiscale_sigma(s, ["s"], p).collect()}
+            assert noise.array_sigmas(np.array(ys), p) == pytest.approx([want[k] for k in range(4)], rel=1e-9)
+        want = {r["s"]: r["w"] for r in frequency.dominant_frequency(s.where("s in (0, 3)"), ["s"]).collect()}
+        assert frequency.array_dominant(np.array(ys)[[0, 3]], Frequency()) == pytest.approx([want[0], want[3]])
+
+
+def test_bar_builder_hands_out_each_bar_once():
+    b = bars.BarBuilder(Bars(threshold=10, sanitizer=False, adaptive=False, max_bars=2))
+    assert b.pop() is None and not b.add(1.0, 6.0) and b.add(2.0, 6.0) and b.ready
+    assert b.pop()[1:5] == (1.0, 2.0, 1.0, 2.0) and b.pop() is None
+    for _ in range(6):
+        b.add(3.0, 10.0)
+    assert len(b.bars) == 2 and b.pop()[0] == 6
+    b.reset()
+    assert not b.bars and b.pop() is None
+
+
+def test_filters_cross_blocks(spark, monkeypatch):
+    monkeypatch.setattr(spectrum, "BLOCK", 16)
+    rng = np.random.default_rng(3)
+    for n, k in ((50, 5), (16, 16), (17, 3), (3, 9), (64, 20)):
+        y, h = rng.standard_normal(n), rng.standard_normal(k)
+        got = [r["y"] for r in spectrum.fir(samples(spark, y), ["s"], spark.createDataFrame([(0, h.tolist())], "s int, taps array<double>")).orderBy("i").collect()]
+        at = np.arange(n)[:, None] - np.arange(k)
+        assert got == pytest.approx((y[np.where(at < 0, np.minimum(-at - 1, n - 1), at)] * h).sum(1))
+
+
+def test_retuned_coefficients_and_trained_dictionaries(spark):
+    t = 30 * np.arange(128) / 127
+    s = samples(spark, np.sin(0.3 * t), np.zeros(128))
+    cfg = Config(frame_size=64, hop=64, basis=Basis(poly=2, harm=2, morlet=0), frequency=Frequency(enable=True))
+    got = pipeline.coefficients(s, ["s"], cfg).orderBy("s", "frame_start").collect()
+    assert len(got) == 4 and np.abs(got[0]["coeff"]).max() > 1 and not np.any(got[2]["coeff"])
+    d = pipeline.trained(s, ["s"], Config(frame_size=64, hop=64, learning=Learning(iterations=2, rate=0.01, hop=32, atoms_per_frame=2)), 4)
+    assert d.atoms.shape == (4, 64) and pipeline.decompose(s, ["s"], Config(frame_size=64, hop=64), d).count() > 0
+    short = pipeline.trained(samples(spark, [1.0, 2.0]), ["s"], Config(frame_size=64, hop=64), 3)
+    assert np.allclose(short.atoms, learning.initial_atoms(3, 64))
+
+
 def test_learning_lowers_the_error(spark):
     rng = np.random.default_rng(4)
     d = learning.initial_atoms(2, 32, seed=1)
@@ -310,6 +372,20 @@ def test_every_frame_length_has_its_dictionary(spark):
     assert pipeline.decompose(samples(spark, y), ["s"], Config(frame_size=64, hop=32)).count() > 0
 
 
+def test_double_double_functions(spark):
+    """The low part carries what a double of the whole cannot: the functions keep it to first order."""
+    x = spark.range(1).select(twofold.make(F.lit(2.0), F.lit(1e-17)).alias("x"), twofold.make(F.lit(-1.0)).alias("m"))
+    r = x.select(twofold.sqrt(F.col("x")).alias("s"), twofold.exp(F.col("x")).alias("e"), twofold.log(F.col("x")).alias("l"), twofold.sin(F.col("x")).alias("si"), twofold.cos(F.col("x")).alias("c"), twofold.sqrt(F.col("m")).alias("z"), twofold.log(F.col("m")).alias("w"),
+                 twofold.less(F.col("m"), F.col("x")).alias("lt"), twofold.less(twofold.make(F.lit(2.0)), F.col("x")).alias("low")).first()
+    from decimal import Decimal, getcontext
+
+    getcontext().prec = 40
+    root = Decimal(2) + Decimal("1e-17")
+    assert abs(Decimal(r["s"]["hi"]) + Decimal(r["s"]["lo"]) - root.sqrt()) < Decimal("1e-30")
+    assert r["e"]["lo"] == pytest.approx(np.exp(2) * 1e-17) and r["l"]["lo"] == pytest.approx(0.5e-17) and r["si"]["lo"] == pytest.approx(np.cos(2) * 1e-17) and r["c"]["lo"] == pytest.approx(-np.sin(2) * 1e-17)
+    assert r["z"]["hi"] == r["w"]["hi"] == 0 and r["lt"] and r["low"]
+
+
 def test_erf_and_huber(spark):
     from pyspark.sql import functions as F
 

@@ -24,6 +24,19 @@ def test_command_line(spark, tmp_path):
     assert again.count() > 0
 
 
+def test_command_line_formats_and_checks(spark, tmp_path):
+    y = np.sin(np.arange(300) / 5)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.bin").write_bytes(binary.encode_block(y))
+    base = ["--input", str(tmp_path / "in"), "--frame-size", "32", "--hop-size", "32", "--max-iter", "2", "--learn", "6"]
+    args = cli.parser().parse_args([*base, "--output-binary", f"file://{tmp_path}/events", "--output-residual", f"file://{tmp_path}/left", "--residual-mode", "binary"])
+    events = cli.run(spark, args)
+    assert binary.read_event_files(spark, f"file://{tmp_path}/events").count() == events.count() > 0
+    files = [p for p in (tmp_path / "left").iterdir() if p.suffix == ".residual"]
+    assert len(files) == 9 and all(p.stat().st_size == 2 * 8 * 32 for p in files)
+    assert all(holds for _, holds in cli.checks(spark, cli.parser().parse_args(["--test-dict", "--test-decomp", "--test-pipeline"])))
+
+
 def test_table_functions(spark):
     sql.register(spark)
     rng = np.random.default_rng(0)
