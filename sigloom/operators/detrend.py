@@ -48,12 +48,18 @@ def huber_fit(y: np.ndarray, order: int, p: Detrend) -> tuple[np.ndarray, float]
     x = np.vander(np.linspace(0, 1, len(y)), order + 1, increasing=True)
     w = np.ones(len(y))
     for _ in range(max(1, p.huber_iterations)):
-        c = np.linalg.lstsq(x * np.sqrt(w)[:, None], y * np.sqrt(w), rcond=None)[0]
+        weighed = x.T * w
+        try:
+            c = np.linalg.solve(weighed @ x, weighed @ y)
+        except np.linalg.LinAlgError:
+            c = np.linalg.lstsq(x.T @ weighed.T, weighed @ y, rcond=None)[0]
         e = np.abs(y - x @ c)
-        scale = np.median(e) / 0.6745 + 1e-30
-        w = np.where(e <= p.huber * scale, 1.0, p.huber * scale / (e + 1e-30))
-    r = y - x @ c
-    return c, float((w * r * r).sum())
+        middle = np.partition(e, (k := len(e) // 2, k - (len(e) % 2 == 0)))
+        limit = p.huber * ((middle[k] + middle[k - (len(e) % 2 == 0)]) / 2 / 0.6745 + 1e-30)
+        before, w = w, np.where(e <= limit, 1.0, limit / (e + 1e-30))
+        if np.abs(w - before).max() < 1e-9:
+            break
+    return c, float((w * e * e).sum())
 
 
 def segment(y: np.ndarray, p: Detrend) -> list[tuple[int, int, int, np.ndarray, float]]:
