@@ -1,16 +1,16 @@
 """Benchmark decontamination with suffix arrays over the training text.
 
-Each task turns the documents it reads into shards of words and builds a suffix array per shard. Every suffix of the
-benchmark is binary-searched in it: the array interval whose suffixes agree on a whole window gives all verbatim
-occurrences, and running on from each of them, along all benchmark suffixes that still agree, gives the longest match. Suffixes that start with a word the benchmark
-lacks, or whose run of benchmark words is shorter than the shortest window, agree with no benchmark suffix on a window;
-the array leaves them out, which changes no result.
+Each task turns the documents it reads into shards of words and builds a suffix array over all words of a shard, the benchmark's
+numbered, all others alike. Every suffix of the benchmark is binary-searched in it, those that begin with the same window
+together: the array interval whose suffixes agree on a whole window gives all verbatim occurrences, and running on from each of
+them, along all benchmark suffixes that still agree, gives the longest match and where it lies.
 
 A window is `window` consecutive words of an item; an item with fewer words, but not none, is one window. Words are
 maximal runs of a-z (A-Z lowered), digits and characters beyond ASCII.
 
-The benchmark is cut into blocks of `block_items` items, stored in the shared folder. A task holds one block and one
-shard of at most `shard_words` words (or one longer document) at a time, whatever the sizes of the tables.
+The benchmark is cut into blocks of `block_items` items, stored in the shared folder. A worker keeps the blocks it has read, up
+to about `HELD_WORDS` words and one more; a task holds one shard of at most `shard_words` words (or one longer document) at a
+time, whatever the sizes of the tables.
 
 Defined cases: a null or wordless text has no words and is clean; a null or wordless item has no windows; equal items
 are found each under its own id; items without an id count as hits but are not listed; repeated documents are judged one
@@ -33,6 +33,8 @@ from .common import extended, fresh_name, shared_path
 WINDOW = 10
 SHARD_WORDS = 1_000_000
 BLOCK_ITEMS = 20_000
+#: Words of the benchmark that a worker may keep at hand before it drops the blocks it holds.
+HELD_WORDS = 2_000_000
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 _RESULT = {"n_words": "long", "n_hit": "long", "items": "array<string>", "longest_match": "long", "spans": "array<struct<start:long,stop:long>>"}
 _blocks: dict[tuple[str, int], "Block"] = {}
@@ -76,14 +78,28 @@ class Block:
 
 
 def suffix_array(words: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
-    """`starts` in lexicographic order of the suffixes' first `depth` words at least, by prefix doubling."""
-    rank, have = words - words.min(initial=0), 1
-    while have < depth:
-        after = np.zeros_like(rank)
-        after[:-have] = rank[have:] + 1
-        rank = np.unique(rank * (after.max(initial=0) + 1) + after, return_inverse=True)[1]
+    """`starts` in lexicographic order of the suffixes' first `depth` words at least: as many words as fit a number are ordered
+    at once, then prefixes are doubled."""
+    value = words - words.min(initial=0) + 1  # 0 stands behind the end
+    bits = int(value.max(initial=1)).bit_length()
+    have = max(1, min(depth, 62 // bits))
+    key = np.zeros(len(words), np.int64)
+    for k in range(have):
+        key <<= bits
+        key[: max(0, len(words) - k)] |= value[k:]
+    while True:
+        order = np.argsort(key)
+        ordered = key[order]
+        if have >= depth:
+            break
+        rank = np.empty(len(words), np.int64)
+        rank[order] = np.cumsum(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+        key = rank << 31
+        key[: max(0, len(words) - have)] |= rank[have:]
         have *= 2
-    return starts[np.argsort(rank[starts], kind="stable")]
+    wanted = np.zeros(len(words), bool)
+    wanted[starts] = True
+    return order[wanted[order]]
 
 
 def _bounds(words: np.ndarray, order: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -116,22 +132,11 @@ def match_shard(documents: list[list[bytes]], block: Block) -> tuple[np.ndarray,
     known = block.vocabulary.get
     ids = np.full(bounds[-1], -1, np.int64)
     ids[np.delete(np.arange(bounds[-1]), bounds[1:] - 1)] = np.fromiter((known(w, -1) for d in documents for w in d), np.int64, int(lengths.sum()))
-    inside = np.concatenate(([False], ids >= 0, [False]))
-    edges = np.flatnonzero(inside[1:] != inside[:-1])
-    first, last = edges[::2], edges[1::2]  # runs of benchmark words
-    wide = last - first >= block.shortest
-    first, last = first[wide], last[wide]
-    if not len(first):
-        return bounds, hit, none, none, none
-    size = last - first + 1  # and a separator
-    shift = np.concatenate(([0], np.cumsum(size)))
-    origin = np.arange(shift[-1]) - np.repeat(shift[:-1] - first, size)
-    words = ids[np.minimum(origin, len(ids) - 1)]
-    words[shift[1:] - 1] = -1
     longest = max(block.windows)
-    starts = np.setdiff1d(np.arange(shift[-1]), shift[1:] - 1)
-    order = suffix_array(words, starts, longest)
-    padded = np.concatenate((words, np.full(longest + 1, -1)))
+    starts = np.delete(np.arange(bounds[-1]), bounds[1:] - 1)
+    ids[bounds[1:] - 1] = -2
+    order = suffix_array(ids, starts, longest)
+    padded = np.concatenate((ids, np.full(longest + 1, -2)))
     got_doc, got_window, got_length = [], [], []
     for n, (numbers, wanted) in block.windows.items():
         low, high = _bounds(padded, order, wanted)
@@ -139,9 +144,9 @@ def match_shard(documents: list[list[bytes]], block: Block) -> tuple[np.ndarray,
         count = (high - low)[some]
         which = np.repeat(numbers[some], count)
         at = order[np.repeat(low[some], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)]
-        np.add.at(hit, origin[at], 1)
-        np.add.at(hit, origin[at] + n, -1)
-        got_doc.append(np.searchsorted(bounds, origin[at], "right") - 1)
+        np.add.at(hit, at, 1)
+        np.add.at(hit, at + n, -1)
+        got_doc.append(np.searchsorted(bounds, at, "right") - 1)
         got_window.append(which)
         got_length.append(_extended(padded, at, which, n, block))
     return bounds, np.cumsum(hit), np.concatenate(got_doc), np.concatenate(got_window), np.concatenate(got_length)
@@ -180,7 +185,8 @@ def _load(path: str, window: int) -> Block:
 
         store, inner = fs.FileSystem.from_uri(path)
         t = pq.read_table(inner, filesystem=store, columns=["item", "text"])
-        _blocks.clear()  # one block at a time
+        if sum(len(b.words) for b in _blocks.values()) > HELD_WORDS:
+            _blocks.clear()
         _blocks[path, window] = Block(list(zip(t["item"].to_pylist(), t["text"].to_pylist(), strict=True)), window)
     return _blocks[path, window]
 
