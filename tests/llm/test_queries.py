@@ -1,3 +1,7 @@
+import collections
+import hashlib
+import html
+import re
 import zlib
 
 import numpy as np
@@ -39,10 +43,62 @@ def test_near_duplicate_query(spark, sf_dir, docs):
     assert all(r["class_id"] == want[r["doc_id"], texts[r["doc_id"]]] for r in QUERIES["op4_weighted_minhash"](spark, sf_dir).collect())
 
 
-def test_remaining_queries_cover_all_rows(spark, sf_dir, docs):
-    for name in ("op1_boosted_toxicity", "op5_virtual_slots", "op7_string_kernel", "op10_ogg"):
-        assert {r["doc_id"] for r in QUERIES[name](spark, sf_dir).select("doc_id").collect()} == {i for i, _ in docs}
-    assert QUERIES["op8_wrappers"](spark, sf_dir).count() == spark.read.parquet(f"{sf_dir}/pages.parquet").count()
+def test_toxicity_query(spark, sf_dir, docs):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    want = toxicity.fit(spark.read.parquet(f"{sf_dir}/documents.parquet"), labels).score([t for _, t in docs])
+    got = {r["doc_id"]: r for r in QUERIES["op1_boosted_toxicity"](spark, sf_dir).collect()}
+    assert len(got) == len(docs)
+    for (i, _), s in zip(docs, want, strict=True):
+        assert got[i]["score"] == pytest.approx(s) and got[i]["predicted"] == int(s >= 0.5) and got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0)
+    marked = {r["doc_id"]: r["toxic"] for r in labels.collect() if r["toxic"] is not None}
+    held = [i for i in marked if i in got and got[i]["held_out"]]
+    assert np.mean([got[i]["predicted"] == marked[i] for i in held]) > 0.9
+
+
+def test_language_query(spark, sf_dir, docs):
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    names, scores = langid.fit(table).decide([t for _, t in docs])
+    got = {r["doc_id"]: r for r in QUERIES["op7_string_kernel"](spark, sf_dir).collect()}
+    truth = {r["doc_id"]: r["lang"] for r in table.collect()}
+    for (i, t), n, s in zip(docs, names, scores, strict=True):
+        assert (got[i]["lang_pred"], got[i]["held_out"]) == (n, zlib.crc32(str(i).encode()) % 3 == 1) and got[i]["score"] == pytest.approx(s, abs=1e-4)
+        assert langid.has_letter(t) or n == "und"
+    assert np.mean([got[i]["lang_pred"] == truth[i] for i in got if got[i]["held_out"] and truth[i]]) > 0.95
+
+
+def test_sharding_query(spark, sf_dir, docs):
+    loads, places, texts = collections.Counter(), collections.defaultdict(list), dict(docs)
+    for r in QUERIES["op5_virtual_slots"](spark, sf_dir).collect():
+        raw = (texts[r["doc_id"]] or "").encode()
+        assert (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(raw) + 8, zlib.crc32(raw), "bytes", None)
+        loads[r["shard"]] += r["size"]
+        places[r["shard"]].append(r["slot"])
+    assert set(loads) <= set(range(24)) and sum(map(len, places.values())) == len(docs)
+    assert all(sorted(p) == list(range(len(p))) for p in places.values())
+
+
+def test_media_query(spark, sf_dir, docs):
+    got = {r["doc_id"]: r for r in QUERIES["op10_ogg"](spark, sf_dir).collect()}
+    by_text = collections.defaultdict(set)
+    for i, t in docs:
+        raw = (t or "").encode()
+        payload = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
+        r = got[i]
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        by_text[t or ""].add((r["media_bytes"], r["media_sha256"], r["feature"]))
+    assert len(got) == len(docs) and all(len(x) == 1 for x in by_text.values())
+
+
+def test_page_query(spark, sf_dir):
+    """The pages of this table have one article each, of headings and paragraphs: what an expression finds between its tags."""
+    got = {r["page_id"]: r for r in QUERIES["op8_wrappers"](spark, sf_dir).collect()}
+    rows = spark.read.parquet(f"{sf_dir}/pages.parquet").collect()
+    for r in rows:
+        inside = re.search(r"<article>(.*?)</article>", r["html"] or "", re.S)[1]
+        blocks = re.split(r"</?(?:p|h1|article)>", re.sub(r"<br>", " ", inside))
+        want = "\n".join(x for b in blocks if (x := " ".join(html.unescape(re.sub(r"<[^>]*>", "", b)).split())))
+        assert (got[r["page_id"]]["url"], got[r["page_id"]]["text"], got[r["page_id"]]["n_chars"]) == (r["url"], want, len(want))
+    assert len(got) == len(rows)
 
 
 def test_pipeline_on_odd_tables(spark, tmp_path):
