@@ -16,16 +16,15 @@ from pyspark.sql import functions as F
 from sigloom.config import EPSILON, Noise
 from sigloom.functions.scalar import clean
 
-from .series import with_blocks
+from .series import numbered, with_blocks
 
 IQR, MAD = 1.349, 0.67448975
 
 
-def exact_median(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
-    """Median per key by rank, which spills, where an aggregate would hold all values of a key."""
-    w = Window.partitionBy(*keys)
-    ranked = df.select(*keys, value, F.row_number().over(w.orderBy(value)).alias("r"), F.count(F.lit(1)).over(w).alias("m"))
-    middle = (F.col("r") == F.floor((F.col("m") + 1) / 2)) | (F.col("r") == F.floor(F.col("m") / 2) + 1)
+def exact_median(df: DataFrame, keys: list[str], value: str, name: str, spread: bool = False) -> DataFrame:
+    """Median per key by rank, which spills, where an aggregate would hold all values of a key; `spread` as in `numbered`."""
+    ranked = numbered(df.select(*keys, value), keys, [value], spread)
+    middle = (F.col("i") + 1 == F.floor((F.col("n") + 1) / 2)) | (F.col("i") == F.floor(F.col("n") / 2))
     return ranked.where(middle).groupBy(*keys).agg(F.avg(value).alias(name))
 
 

@@ -15,18 +15,36 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from sigloom.functions.scalar import clean
-
-
-def samples(df: DataFrame, keys: list[str], order: list[str], value: str | Column) -> DataFrame:
-    """keys, i, n, y. One shuffle, by series; i and n come from the same sorted partitions."""
-    w = Window.partitionBy(*keys)
+from sigloom.session import written
+
+
+def numbered(df: DataFrame, keys: list[str], order: list[str], spread: bool = False) -> DataFrame:
+    """df with i, the row's number in its series from 0, and n, the series' length.
+
+    By a window, which sorts a series in one task; or, with `spread`, over range partitions of (keys, order): a task numbers the
+    rows it holds, and adds how many of the series lie in the tasks before, so that one long series takes all tasks. The sorted
+    rows are written in between, because both steps must see the same partitions."""
+    if not spread:
+        w = Window.partitionBy(*keys)
+        return df.withColumn("i", (F.row_number().over(w.orderBy(*order)) - 1).cast("long")).withColumn("n", F.count(F.lit(1)).over(w))
+    place, task, first, base = "place_", "task_", "first_", "base_"
+    sorted_ = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    table = written(sorted_.withColumn(place, F.monotonically_increasing_id()), "sorted-samples").withColumn(task, F.shiftright(place, 33))
+    counts = table.groupBy(*keys, task).agg(F.min(place).alias(first), F.count(F.lit(1)).alias("count_"))
+    w = Window.partitionBy(*keys)  # a row for each task that holds some of the series
+    before = w.orderBy(task).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*(F.col(k).alias(f"{k}_key_") for k in keys), F.col(task).alias("at_"), first, F.coalesce(F.sum("count_").over(before), F.lit(0)).alias(base), F.sum("count_").over(w).alias("n"))
+    same = F.col(task) == F.col("at_")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"{k}_key_"))
+    return table.join(offsets, same).select(*df.columns, (F.col(base) + F.col(place) - F.col(first)).alias("i"), "n")
+
+
+def samples(df: DataFrame, keys: list[str], order: list[str], value: str | Column, spread: bool = False) -> DataFrame:
+    """keys, i, n, y. One shuffle, by series; `spread` numbers series too long for one task, see `numbered`."""
     column = F.col(value) if isinstance(value, str) else value
-    return df.select(
-        *keys,
-        (F.row_number().over(w.orderBy(*order)) - 1).cast("long").alias("i"),
-        F.count(F.lit(1)).over(w).alias("n"),
-        clean(column).alias("y"),
-    )
+    rows = df.select(*dict.fromkeys([*keys, *order]), clean(column).alias("y_"))
+    return numbered(rows, keys, order, spread).select(*keys, "i", "n", F.col("y_").alias("y"))
 
 
 def with_blocks(s: DataFrame, size: Column | int, hop: Column | int, partial: bool, name: str = "block") -> DataFrame:

@@ -78,6 +78,17 @@ def signal_clean(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", scalar.clean("value").alias("y"))
 
 
+@query(S + "SELECT user_id, i, n, y FROM s")
+def signal_spread(spark, sf_dir):
+    """Samples numbered over range partitions, as series too long for one task are."""
+    return series.samples(table(spark, sf_dir, "events"), USER, ["ts", "event_id"], "value", spread=True)
+
+
+@query(S + "SELECT user_id, round(median(y), 6) AS m FROM s GROUP BY user_id")
+def signal_median(spark, sf_dir):
+    return rounded(noise.exact_median(event_samples(spark, sf_dir).select("user_id", "y"), USER, "y", "m", spread=True), m=6)
+
+
 @query(S + "SELECT user_id, round(CASE WHEN m < 1e-12 THEN 1e-9 ELSE m / (0.67448975 * sqrt(2.0)) END, 6) AS sigma FROM (SELECT user_id, median(d) AS m FROM (SELECT user_id, abs(y - lag(y) OVER (PARTITION BY user_id ORDER BY i)) AS d FROM s) WHERE d IS NOT NULL GROUP BY user_id)")
 def noise_diff(spark, sf_dir):
     return rounded(noise.difference_sigma(event_samples(spark, sf_dir), USER), sigma=6)

@@ -102,6 +102,16 @@ def test_series_clean_values_and_empty(spark):
     assert series.frames(none, ["s"], 4, 2).count() == 0 and noise.multiscale_sigma(none, ["s"]).count() == 0
 
 
+def test_one_long_series_spreads_over_tasks(spark):
+    df = spark.range(300_000).select(F.when(F.col("id") % 100 > 0, F.lit("hot")).otherwise(F.concat(F.lit("s"), F.col("id") % 7)).alias("s"), (F.col("id") * 7919 % 300_007).alias("t"), F.rand(1).alias("v"))
+    df = df.unionByName(spark.createDataFrame([(None, 2, 1.0), (None, 1, 3.0)], "s string, t long, v double"))
+    spread, plain = (series.samples(df, ["s"], ["t"], "v", spread=x) for x in (True, False))
+    total = lambda x: x.agg(F.count("*"), F.sum(F.xxhash64("s", "i", "n", "y").cast("decimal(38,0)"))).first()
+    assert total(spread) == total(plain) and spread.where("s is null").count() == 2
+    held = spread.where("s = 'hot'").groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(held) >= 2 and max(r["count"] for r in held) < 0.7 * 297_000
+
+
 def test_frames_clip_and_drop_tails(spark):
     f = series.frames(samples(spark, range(10), range(3)), ["s"], 4, 3).orderBy("s", "frame_start").collect()
     assert [(r["s"], r["frame_start"], r["y"]) for r in f] == [(0, 0, [0, 1, 2, 3]), (0, 3, [3, 4, 5, 6]), (0, 6, [6, 7, 8, 9]), (1, 0, [0, 1, 2])]
