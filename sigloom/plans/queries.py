@@ -16,7 +16,7 @@ from sigloom.operators import detrend, frequency, learning, linear, noise, pursu
 from sigloom.plans import dictionary as D
 from sigloom.plans import oracles as O
 from sigloom.plans import pipeline
-from sigloom.session import shared_path, table
+from sigloom.session import shared_path, table, written
 from sigloom.sources import binary, generated
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -194,6 +194,34 @@ def bars_stream(spark, sf_dir):
     return bar_rows(spark.read.schema(bars.schema).parquet(out), "user_id")
 
 
+def _streamed(spark: SparkSession, rows: DataFrame, fold: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What a streaming fold makes of a written table, all that is there, read from its sink."""
+    source = written(rows, "stream-source")
+    found = fold(spark.readStream.schema(source.schema).parquet(source.inputFiles()[0].rsplit("/", 1)[0]))
+    out = shared_path(spark, "stream")
+    found.writeStream.format("parquet").option("path", out).option("checkpointLocation", out + "-state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(found.schema).parquet(out)
+
+
+@query(O.rls())
+def rls_streamed(spark, sf_dir):
+    """Recursive least squares over a stream of samples."""
+    from sigloom.streaming.folds import rls_stream
+
+    return rounded(_streamed(spark, event_samples(spark, sf_dir).drop("n"), lambda x: rls_stream(x, "user_id")), trend=4, residual=4)
+
+
+@query(f"""WITH RECURSIVE s AS (SELECT user_id, i, least(greatest(y / 200, 0.0), 0.6) AS g FROM ({O.EVENTS})), f AS (SELECT DISTINCT user_id, CAST(-1 AS BIGINT) AS "at", 0.0::DOUBLE AS f FROM s
+  UNION ALL SELECT s.user_id, s.i, least(greatest(CASE WHEN f > 0 THEN 0.5 * g + 0.5 * f ELSE g END, 0.01), 0.49) FROM f JOIN s ON s.user_id = f.user_id AND s.i = f."at" + 1)
+  SELECT user_id, "at", f FROM f WHERE "at" >= 0""")
+def inertia_streamed(spark, sf_dir):
+    """Frequencies pulled towards the one before, over a stream."""
+    from sigloom.streaming.folds import inertia_stream
+
+    found = event_samples(spark, sf_dir).select("user_id", F.col("i").alias("at"), F.least(F.greatest(F.col("y") / 200, F.lit(0.0)), F.lit(0.6)).alias("f"))
+    return _streamed(spark, found, lambda x: inertia_stream(x, "user_id"))
+
+
 # Frames and frequencies
 
 
