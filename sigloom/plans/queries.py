@@ -795,6 +795,13 @@ def decompose_stopped(spark, sf_dir):
     return event_rows(sample_events(spark, sf_dir, Pursuit(max_iterations=4, gamma=0.4, theta=0.01)), ["user_id", "frame_start"])
 
 
+# 2 pi times any scanned frequency lies below the least carrier, 5, so that is what all Morlet waves are tuned to
+@query(_FOUND.replace('least(greatest("w", 1), 50) AS "w"', '5.0::DOUBLE AS "w"') + f"SELECT vec_id.u AS user_id, vec_id.f AS frame_start, {O.EVENT_COLUMNS} FROM found")
+def decompose_retuned(spark, sf_dir):
+    """Each frame's atoms follow its dominant frequency."""
+    return event_rows(sample_events(spark, sf_dir, Pursuit(max_iterations=3), frequency=Frequency(enable=True)), ["user_id", "frame_start"])
+
+
 @query(O.bars(O.TICKS, "l_suppkey", 100) + ", s AS (SELECT l_suppkey AS user_id, bar_idx AS i, count(*) OVER (PARTITION BY l_suppkey) AS n, close AS y FROM bars)" + O.decomposed(16, 8, SMALL, PAIRS, 2) + f"SELECT vec_id.u AS l_suppkey, vec_id.f AS frame_start, {O.EVENT_COLUMNS} FROM found")
 def decompose_bars(spark, sf_dir):
     """Ticks to volume bars to frames to noise to events."""
