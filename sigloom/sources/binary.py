@@ -10,6 +10,7 @@ import json
 import struct
 import uuid
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -27,6 +28,8 @@ from sigloom.session import written
 
 #: Fixed values of the formats.
 BLOCK_MAGIC, DICTIONARY_MAGIC, BASIS_MAGIC, EVENT_MAGIC = b"ALW", 0x4C454152, 0x414C5742, 0x45564E54
+#: Bytes of a partition of the block source, and of a file that is written unless one block is longer.
+SPLIT = 1 << 24
 SAMPLE_SCHEMA = "path string, block_id int, n long, i long, y double"
 
 
@@ -71,7 +74,8 @@ def read_blocks(spark: SparkSession, path: str) -> DataFrame:
 
 
 class BlockSource(DataSource):
-    """spark.read.format("signal_blocks").load(path): one partition a block; path is a file or folder URI or path."""
+    """spark.read.format("signal_blocks").load(path): path is a file or folder URI or path. A partition holds about `SPLIT`
+    bytes: many small blocks and files, or a piece of a long block."""
 
     @classmethod
     def name(cls) -> str:
@@ -84,18 +88,34 @@ class BlockSource(DataSource):
         return _BlockReader(self.options["path"])
 
 
-class _Block(InputPartition):
-    def __init__(self, path: str, number: int, at: int, n: int, scale: float, low: int):
-        super().__init__(path)
-        self.place = (path, number, at, n, scale, low)
+class _Blocks(InputPartition):
+    """Runs (path, number of the first block, first byte, end), and of a piece of a long block also its `_Long`."""
+
+    def __init__(self, runs: list[tuple]):
+        super().__init__(runs[0][0])
+        self.runs = runs
+
+
+class _Long(NamedTuple):
+    """Samples from `first` to before `last` of a block of n, whose samples begin at byte `at`; `low` low parts are there."""
+
+    at: int
+    n: int
+    scale: float
+    low: int
+    first: int
+    last: int
 
 
 def _headers(f, length: int) -> Iterator[tuple[int, int, int, float, int]]:
-    """(number, byte of the samples, how many, scale, low parts that are there) of each block, reading headers only."""
-    at, number = 0, 0
+    """(number, byte of the samples, how many, scale, low parts that are there) of each block. Headers of neighbouring small
+    blocks come with one read."""
+    at, number, begin, window = 0, 0, 0, b""
     while at < length:
-        f.seek(at)
-        head = f.read(22)
+        if at + 22 > begin + len(window):
+            f.seek(at)
+            begin, window = at, f.read(1 << 16)
+        head = window[at - begin : at - begin + 22]
         if head[:3] != BLOCK_MAGIC or len(head) < 22:
             raise ValueError(f"no block at byte {at}")
         n, scale = struct.unpack_from("<Qd", head, 3)
@@ -109,12 +129,35 @@ def _headers(f, length: int) -> Iterator[tuple[int, int, int, float, int]]:
 
 
 class _BlockReader(DataSourceReader):
-    """A partition a block; a task reads its block in pieces and hands on Arrow batches."""
+    """Files up to `split` bytes are read whole, their headers by the task; of longer ones the driver reads the headers, and
+    cuts them between blocks and inside blocks longer than that. A task hands on Arrow batches of at most `PIECE` samples."""
 
     PIECE = 1 << 17
 
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, split: int = SPLIT):
+        self.path, self.split = path, split
+
+    def _runs(self, store, path: str, length: int) -> Iterator[tuple[int, tuple]]:
+        """(bytes, run) of a file."""
+        if length <= self.split:
+            yield length, (path, 0, 0, length, None)
+            return
+        with store.open_input_file(path) as f:
+            first, begin, end = 0, 0, 0  # blocks that wait: number of the first, its byte, where they end
+            for number, at, n, scale, low in _headers(f, length):
+                to = at + 16 * n if low == n else length
+                if end > begin and to - begin > self.split:
+                    yield end - begin, (path, first, begin, end, None)
+                    first, begin = number, at - 22
+                end = to
+                if end - begin > self.split:
+                    step = max(self.split // 16, 1)
+                    for a in range(0, n, step):
+                        last = min(a + step, n)
+                        yield 16 * (last - a), (path, number, begin, end, _Long(at, n, scale, low, a, last))
+                    first, begin = number + 1, end
+            if end > begin:
+                yield end - begin, (path, first, begin, end, None)
 
     def partitions(self) -> list[InputPartition]:
         from pyarrow import fs
@@ -123,31 +166,65 @@ class _BlockReader(DataSourceReader):
         info = store.get_file_info(inner)
         files = [info] if info.type == fs.FileType.File else store.get_file_info(fs.FileSelector(inner))
         found: list[InputPartition] = []
+        held: list[tuple] = []
+        weight = 0
         for file in sorted(files, key=lambda f: f.path):
             if file.type == fs.FileType.File:
-                with store.open_input_file(file.path) as f:
-                    found += [_Block(file.path, *head) for head in _headers(f, file.size)]
-        return found
-
-    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+                for size, run in self._runs(store, file.path, file.size):
+                    if held and weight + size > self.split:
+                        found.append(_Blocks(held))
+                        held, weight = [], 0
+                    held.append(run)
+                    weight += size
+        return [*found, _Blocks(held)] if held else found
+
+    def _read(self, partition: InputPartition) -> Iterator[tuple[str, int, int, int, np.ndarray]]:
+        """(path, block, its length, first index, samples), at most `PIECE` samples at once."""
         from pyarrow import fs
 
         store, _ = fs.FileSystem.from_uri(self.path)
-        path, number, at, n, scale, low = partition.place
-        with store.open_input_file(path) as f:
-            for start in range(0, n, self.PIECE):
-                size = min(self.PIECE, n - start)
-                f.seek(at + 8 * start)
-                y = np.frombuffer(f.read(8 * size), "<f8").copy()
-                have = min(max(low - start, 0), size)
-                f.seek(at + 8 * (n + start))
-                y[:have] += np.frombuffer(f.read(8 * have), "<f8")
-                yield pa.RecordBatch.from_pydict({"path": [path] * size, "block_id": pa.array([number] * size, pa.int32()), "n": pa.array([n] * size, pa.int64()), "i": np.arange(start, start + size), "y": y / scale if scale else y})
-
-
-def write_blocks(s: DataFrame, keys: list[str], path: str, size: int = 1 << 16, scale: float = 1.0) -> DataFrame:
-    """Indexed samples (keys, i, y) as block files, one a task, of blocks of at most `size` samples. Returns keys, chunk (its
-    samples start at chunk * size), file (name under path) and block_id, a row a block; only listed files count."""
+        for path, first, begin, end, long in partition.runs:
+            with store.open_input_file(path) as f:
+                if long is None:
+                    f.seek(begin)
+                    for number, _, y in decode_blocks(f.read(end - begin)):
+                        for start in range(0, len(y), self.PIECE):
+                            yield path, first + number, len(y), start, y[start : start + self.PIECE]
+                    continue
+                for start in range(long.first, long.last, self.PIECE):
+                    size = min(self.PIECE, long.last - start)
+                    f.seek(long.at + 8 * start)
+                    y = np.frombuffer(f.read(8 * size), "<f8").copy()
+                    have = min(max(long.low - start, 0), size)
+                    f.seek(long.at + 8 * (long.n + start))
+                    y[:have] += np.frombuffer(f.read(8 * have), "<f8")
+                    yield path, first, long.n, start, y / long.scale if long.scale else y
+
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[str, int, int, int, np.ndarray]] = []
+        waiting = 0
+        for part in self._read(partition):
+            if waiting + len(part[4]) > self.PIECE:
+                yield self._batch(held)
+                held, waiting = [], 0
+            held.append(part)
+            waiting += len(part[4])
+        if held:
+            yield self._batch(held)
+
+    @staticmethod
+    def _batch(parts: list[tuple[str, int, int, int, np.ndarray]]) -> pa.RecordBatch:
+        paths, blocks, lengths, starts, ys = zip(*parts, strict=True)
+        sizes = [len(y) for y in ys]
+        path = pa.array(paths, pa.string()).take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
+        i = np.concatenate([np.arange(a, a + k) for a, k in zip(starts, sizes, strict=True)])
+        return pa.RecordBatch.from_pydict({"path": path, "block_id": np.repeat(np.array(blocks, np.int32), sizes), "n": np.repeat(np.array(lengths, np.int64), sizes), "i": i, "y": np.concatenate(ys)})
+
+
+def write_blocks(s: DataFrame, keys: list[str], path: str, size: int = 1 << 16, scale: float = 1.0, file_bytes: int = SPLIT) -> DataFrame:
+    """Indexed samples (keys, i, y) as block files of at most `file_bytes` or one block, of blocks of at most `size` samples.
+    Returns keys, chunk (its samples start at chunk * size), file (name under path) and block_id, a row a block; only listed
+    files count."""
     chunk = s.select(*keys, F.floor(F.col("i") / size).cast("long").alias("chunk"), F.struct("i", "y").alias("v")).groupBy(*keys, "chunk").agg(F.array_sort(F.collect_list("v")).alias("v"))
     schema = StructType([*chunk.select(*keys).schema.fields, *StructType.fromDDL("chunk long, file string, block_id int").fields])
     width = len(keys)
@@ -156,16 +233,24 @@ def write_blocks(s: DataFrame, keys: list[str], path: str, size: int = 1 << 16,
         from pyarrow import fs
 
         store, inner = fs.FileSystem.from_uri(path)
-        name, out, number = f"{uuid.uuid4().hex}.alw", None, 0
+        name, out, number, length = "", None, 0, 0
         try:
             for b in batches:
-                if out is None and b.num_rows:
-                    store.create_dir(inner, recursive=True)
-                    out = store.open_output_stream(f"{inner}/{name}")
+                files, numbers = [], []
                 for y in b.column(width + 1).to_pylist():
-                    out.write(encode_block(np.array(y, dtype=float) * scale, scale))
-                yield pa.RecordBatch.from_arrays([*b.columns[: width + 1], pa.array([name] * b.num_rows, pa.string()), pa.array(range(number, number + b.num_rows), pa.int32())], names=schema.names)
-                number += b.num_rows
+                    data = encode_block(np.array(y, dtype=float) * scale, scale)
+                    if out is not None and length + len(data) > file_bytes:
+                        out.close()
+                        out = None
+                    if out is None:
+                        store.create_dir(inner, recursive=True)
+                        name, number, length = f"{uuid.uuid4().hex}.alw", 0, 0
+                        out = store.open_output_stream(f"{inner}/{name}")
+                    out.write(data)
+                    files.append(name)
+                    numbers.append(number)
+                    number, length = number + 1, length + len(data)
+                yield pa.RecordBatch.from_arrays([*b.columns[: width + 1], pa.array(files, pa.string()), pa.array(numbers, pa.int32())], names=schema.names)
         finally:
             if out is not None:
                 out.close()

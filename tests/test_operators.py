@@ -319,6 +319,39 @@ def test_long_series_are_segmented_whole(spark):
     assert [(r["start"], r["stop"]) for r in rows] == [(0, 500_002)]
 
 
+def test_block_source_packs_small_blocks_and_cuts_long_ones(tmp_path):
+    """Partitions follow the bytes, not the number of blocks or files, and give each sample once."""
+    rng = np.random.default_rng(5)
+    small = [binary.encode_block(4 * rng.standard_normal(25), 4.0) for _ in range(400)]
+    (tmp_path / "a.alw").write_bytes(b"".join(small))
+    (tmp_path / "b.alw").write_bytes(b"".join(small[:40]) + binary.encode_block(rng.standard_normal(5000), 2.0, 1e-9 * rng.standard_normal(5000)) + binary.encode_block(np.zeros(0)) + small[0] + binary.encode_block(rng.standard_normal(7))[:-24])
+    (tmp_path / "c.alw").write_bytes(b"")
+    for k in range(60):
+        (tmp_path / f"d{k:02}.alw").write_bytes(small[k])
+    files = sorted(tmp_path.iterdir())
+    expected = [(str(f), number, len(y), i, v) for f in files for number, _, y in binary.decode_blocks(f.read_bytes()) for i, v in enumerate(y)]
+    for split in (binary.SPLIT, 1 << 14, 500, 100):
+        reader = binary._BlockReader(str(tmp_path), split)
+        reader.PIECE = 700
+        parts = reader.partitions()
+        batches = [b for p in parts for b in reader.read(p)]
+        assert [tuple(r.values()) for b in batches for r in b.to_pylist()] == expected and max(b.num_rows for b in batches) <= 700
+        assert split < 1000 or len(parts) <= 2 * sum(f.stat().st_size for f in files) // split + 1
+    assert len(binary._BlockReader(str(tmp_path)).partitions()) == 1
+    (tmp_path / "e.alw").write_bytes(small[0] + b"XXX" + small[1])
+    reader = binary._BlockReader(str(tmp_path / "e.alw"))
+    with pytest.raises(ValueError, match="no block"):
+        list(reader.read(reader.partitions()[0]))
+
+
+def test_block_files_are_cut_at_a_size(spark, tmp_path):
+    listed = binary.write_blocks(samples(spark, list(map(float, range(400)))), ["s"], "file://" + str(tmp_path / "blocks"), size=25, file_bytes=1000)
+    got = binary.read_blocks(spark, "file://" + str(tmp_path / "blocks")).withColumn("file", F.element_at(F.split("path", "/"), -1)).join(listed, ["file", "block_id"])
+    assert sorted((r["chunk"] * 25 + r["i"], r["y"]) for r in got.collect()) == [(i, float(i)) for i in range(400)]
+    assert listed.select("file", "block_id").distinct().count() == listed.count() == 16
+    assert all(f.stat().st_size <= 1000 for f in (tmp_path / "blocks").glob("*.alw"))
+
+
 def test_rls_follows_a_line(spark):
     rows = detrend.rls(samples(spark, [2.0 + 0.5 * i for i in range(100)]), ["s"]).orderBy("i").collect()
     assert abs(rows[-1]["residual"]) < 1e-3
